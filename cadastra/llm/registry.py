@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cadastra.llm import mixing
+from cadastra.llm import mixing, packing, planes
 
 QUERIES = {
     "op3_poisson_mix": mixing.op3_poisson_mix,
+    "op4_best_fit": packing.op4_best_fit,
+    "op9_bit_planes": planes.op9_bit_planes,
 }
 ORACLE_SQL = {
     "op3_poisson_mix": mixing.OP3_SQL,
