@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from cadastra.llm import mixing, packing, planes
+from cadastra.llm import exact, knn, language, mixing, packing, planes, quality, urls, warc
 
 QUERIES = {
+    "op1_crf_quality": quality.op1_crf_quality,
+    "op2_warc_revisits": warc.op2_warc_revisits,
     "op3_poisson_mix": mixing.op3_poisson_mix,
     "op4_best_fit": packing.op4_best_fit,
+    "op5_url_ratio": urls.op5_url_ratio,
+    "op7_cross_parse": language.op7_cross_parse,
+    "op8_extendible_hash": exact.op8_extendible_hash,
     "op9_bit_planes": planes.op9_bit_planes,
+    "op10_voronoi_knn": knn.op10_voronoi_knn,
 }
 ORACLE_SQL = {
     "op3_poisson_mix": mixing.OP3_SQL,
+    "op8_extendible_hash": exact.OP8_SQL,
+    "op10_voronoi_knn": knn.OP10_SQL,
 }
