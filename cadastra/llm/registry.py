@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadastra.llm import exact, knn, language, mixing, packing, planes, quality, urls, warc
+from cadastra.llm import exact, knn, language, mixing, near, packing, planes, quality, urls, warc
 
 QUERIES = {
     "op1_crf_quality": quality.op1_crf_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_poisson_mix": mixing.op3_poisson_mix,
     "op4_best_fit": packing.op4_best_fit,
     "op5_url_ratio": urls.op5_url_ratio,
+    "op6_superminhash": near.op6_superminhash,
     "op7_cross_parse": language.op7_cross_parse,
     "op8_extendible_hash": exact.op8_extendible_hash,
     "op9_bit_planes": planes.op9_bit_planes,
