@@ -1,8 +1,58 @@
-"""The training-corpus pipeline (stages follow as the operators do)."""
+"""The training-corpus pipeline: five stages, each over all that the one before kept."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from cadastra.llm import exact, mixing, near, packing, quality
+from cadastra.llm.shared import importable, table, written
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality field accepts; it learns from the labelled ones of the documents table."""
+    importable(spark)
+    return quality.keep_good(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of every group of equal texts."""
+    importable(spark)
+    return exact.keep_rows(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates."""
+    importable(spark)
+    return near.keep_first(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated by Poisson counts towards the target weights of their sources, in a random order."""
+    importable(spark)
+    return mixing.mix_sources(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1024 ids."""
+    importable(spark)
+    return packing.pack_best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("exact dedup", exact_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("mixing sources", mix),
+    ("best-fit packing", pack),
+]
+#: Neither the learned field nor the tokenizer can be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each stage's rows written as Parquet in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
