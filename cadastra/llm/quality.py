@@ -16,9 +16,9 @@ from cadastra.llm.tokens import slices
 from cadastra.llm.words import word_hashes
 
 #: The field learns from so many labelled documents at most, those of smallest hash of the id.
-SAMPLE = 6000
+SAMPLE = 4000
 #: Longer documents are not learned from; they are scored whole like all others.
-LONGEST = 30_000
+LONGEST = 10_000
 CUT = 0.3
 #: Byte classes, counted two at a time.
 CLASSES = {
@@ -173,16 +173,18 @@ class Field:
         x, size, per_text = features(texts)
         return marginals(x @ self.weights, per_text, self.moves)[0], size, per_text
 
-    def goodness(self, texts: pa.Array) -> np.ndarray:
-        """Log-odds of each text's mean marginal, a line weighing its bytes."""
-        good, size, per_text = self.lines(texts)
-        first = np.cumsum(per_text) - per_text
-        mean = np.add.reduceat(good * size, first) / np.add.reduceat(size, first)
-        mean = np.clip(mean, 1e-4, 1 - 1e-4)
-        return np.log(mean / (1 - mean))
-
     def score(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.goodness(texts) + self.shift, -40, 40))) if len(texts) else np.zeros(0)
+        return self.scaled(*self.lines(texts)) if len(texts) else np.zeros(0)
+
+    def scaled(self, good: np.ndarray, size: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * mean_odds(good, size, per_text) + self.shift, -40, 40)))
+
+
+def mean_odds(good: np.ndarray, size: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    """Log-odds of each text's mean marginal, a line weighing its bytes."""
+    first = np.cumsum(per_text) - per_text
+    mean = np.clip(np.add.reduceat(good * size, first) / np.add.reduceat(size, first), 1e-4, 1 - 1e-4)
+    return np.log(mean / (1 - mean))
 
 
 def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 2, steps: int = 120, decay: float = 1e-4, rate: float = 0.1) -> Field:
@@ -191,7 +193,8 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 2, steps: int = 120,
     A line first has its document's label. As a bad document may hold good lines, a second round takes those of its lines
     for good that the first one's features call good, unless that were all of them. Then score is fitted to the labels.
     """
-    x, size, per_text = features(texts)
+    parts = [features(texts.slice(a, b - a)) for a, b in slices(texts, 1 << 20)]  # a part's temporary arrays are many times its text
+    x, size, per_text = (np.concatenate(p) for p in zip(*parts, strict=True))
     owner = np.repeat(np.arange(len(per_text)), per_text)
     y = labels.astype(float)[owner]
     field = Field(np.zeros(x.shape[1]), np.zeros((2, 2)))
@@ -211,7 +214,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 2, steps: int = 120,
             move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
             field.weights = field.weights + move[:-4]
             field.moves = field.moves + move[-4:].reshape(2, 2)
-    at, target = field.goodness(texts), labels.astype(float)
+    at, target = mean_odds(marginals(x @ field.weights, per_text, field.moves)[0], size, per_text), labels.astype(float)
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of a logistic regression on one number, held back a little
         p = 1 / (1 + np.exp(-np.clip(a * at + b, -40, 40)))
@@ -257,9 +260,7 @@ def score_documents(docs: DataFrame, field: Field, cut: float = CUT) -> DataFram
 
 def scored(batch: pa.RecordBatch, field: Field, cut: float) -> pa.RecordBatch:
     good, size, per_text = field.lines(batch.column("text"))
-    first = np.cumsum(per_text) - per_text
-    mean = np.clip(np.add.reduceat(good * size, first) / np.add.reduceat(size, first), 1e-4, 1 - 1e-4)
-    score = 1 / (1 + np.exp(-np.clip(field.slope * np.log(mean / (1 - mean)) + field.shift, -40, 40)))
+    score, first = field.scaled(good, size, per_text), np.cumsum(per_text) - per_text
     fine = np.add.reduceat((good >= 0.5).astype(np.int64), first)
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= cut).astype(np.int32)), pa.array(per_text.astype(np.int64)), pa.array(fine)], ["doc_id", "held_out", "score", "predicted", "n_lines", "good_lines"])
 
