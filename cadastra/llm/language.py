@@ -69,7 +69,7 @@ class Parser:
     """Greedy parses of many texts at once against every language's automaton.
 
     A step is one look-up: table[state + symbol] is the next state, times the number of symbols and two, plus one where
-    the phrase could not go on and a new one began.
+    the phrase could not go on and a new one began. A character that the learned text lacks is a phrase of its own.
     """
 
     def __init__(self, samples: tuple[tuple[str, str], ...], symbols: int = SYMBOLS):
@@ -94,7 +94,9 @@ class Parser:
             for i, ways in enumerate(automaton.next):
                 own[i, list(ways)] = list(ways.values())
             root = np.where(own[0] < 0, 0, own[0])
-            moved = (np.where(own < 0, root[None, :], own) + base) * self.width * 2 + (own < 0)
+            new = own < 0
+            new[0] = True  # the root is where a text starts and where an unknown character leads
+            moved = (np.where(own < 0, root[None, :], own) + base) * self.width * 2 + new
             rows.append(moved)
             self.roots.append(base * self.width * 2)
             self.bits.append(math.log2(max(2, len(text))))
@@ -111,7 +113,7 @@ class Parser:
         order = np.argsort(-size, kind="stable")
         first, size = first[order], size[order]
         many = np.searchsorted(-size, -np.arange(1, BLOCK + 1), "right")  # lanes that have a character at each step
-        counts = np.ones((len(self.langs), len(first)), np.int32)
+        counts = np.zeros((len(self.langs), len(first)), np.int32)
         states = [np.full(len(first), r, self.table.dtype) for r in self.roots]
         for step in range(int(size[0]) if len(size) else 0):
             n = many[step]
