@@ -54,7 +54,7 @@ def read_release(spark: SparkSession, folder: str) -> DataFrame:
     """(path, bytes, sha256) of every file of a release; text files count with line feeds only."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     text = F.lower("path").rlike(r"\.(json|csv|md|txt|geojson|ndjson|html|js|css)$")
-    content = F.when(text, F.encode(F.regexp_replace(F.decode("content", F.lit("UTF-8")), "\r\n?", "\n"), F.lit("UTF-8"))).otherwise(F.col("content"))
+    content = F.when(text, F.encode(F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n"), "UTF-8")).otherwise(F.col("content"))
     return files.select("path", F.length(content).cast("long").alias("bytes"), F.sha2(content, 256).alias("sha256"))
 
 
