@@ -51,3 +51,12 @@ def shown(c: Column | str, places: int, suffix: str = "") -> Column:
 def share(part: Column, whole: Column) -> Column:
     """part of whole; 0 where whole is 0."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(part.cast("double") / whole)
+
+
+def step(c: Column | str, limits: list[float], labels: list[str], ascending: bool = True) -> Column:
+    """The label of the first limit that the value is at most (ascending) or at least; the last label beyond all, null for null."""
+    c = F.col(c) if isinstance(c, str) else c
+    out = F.lit(labels[-1])
+    for limit, label in reversed(list(zip(limits, labels, strict=False))):
+        out = F.when(c <= limit if ascending else c >= limit, F.lit(label)).otherwise(out)
+    return F.when(c.isNotNull(), out)

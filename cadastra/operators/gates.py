@@ -101,6 +101,19 @@ def invalid_boxes(features: DataFrame, key: str, lon: Sequence[str], lat: Sequen
     return features.where(F.coalesce(bad, F.lit(True))).select(key)
 
 
+def capped(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """rows, or an error if there are more than ``most``: a source that reaches its cap may have been cut."""
+    if rows.limit(most + 1).count() > most:
+        raise GateError(f"more than {most} rows")
+    return rows
+
+
+def not_ready(sources: DataFrame) -> DataFrame:
+    """(source_id, problem) of sources (policy, approved, pending) that production may not load."""
+    problem = F.when(F.col("policy") == "restricted", "restricted").when(F.col("pending"), "pending").when(~F.coalesce("approved", F.lit(False)), "not approved")
+    return sources.select("source_id", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def geometry_problem(geometry: dict) -> str | None:
     """What is wrong with a GeoJSON geometry of any of the seven types, or None."""
     import math

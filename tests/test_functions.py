@@ -137,3 +137,9 @@ def test_identities(spark):
     assert one(spark, ids.payload_hash("v"), v='{"b": 1, "a": [2, "x"]}') == hashlib.sha256('{"a":[2,"x"],"b":1}'.encode()).hexdigest()
     assert one(spark, ids.pointer("v", "/a~1b/0"), v='{"a/b": [7]}') == "7"
     assert one(spark, ids.group_id(F.lit("a"), F.lit("b"))) == hashlib.sha256(b"a\x1fb").hexdigest()[:16]
+
+
+def test_step(spark):
+    up = lambda v: one(spark, numbers.step("v", [1.0, 2.0], ["low", "mid", "high"]), v=v)
+    assert [up(v) for v in (0.5, 1.0, 1.5, 9.0)] == ["low", "low", "mid", "high"]
+    assert one(spark, numbers.step("v", [2.0, 1.0], ["high", "mid", "low"], ascending=False), v=1.5) == "mid"

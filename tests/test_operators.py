@@ -172,6 +172,18 @@ def test_gates(spark):
     assert rows(gt.invalid_boxes(boxes, "id", ["lon"], ["lat"])) == {(2,), (3,), (4,)}
 
 
+def test_more_gates_and_walks(spark):
+    rows_of = spark.range(5)
+    assert gt.capped(rows_of, 5).count() == 5
+    with pytest.raises(gt.GateError):
+        gt.capped(rows_of, 4)
+    sources = spark.createDataFrame([("a", "public", True, False), ("b", "restricted", True, False), ("c", "public", None, False), ("d", "public", True, True)], "source_id string, policy string, approved boolean, pending boolean")
+    assert rows(gt.not_ready(sources)) == {("b", "restricted"), ("c", "not approved"), ("d", "pending")}
+    df = spark.createDataFrame([('{"m": {"x": {"as_of": "2569"}, "y": {"as_of": ""}, "z": 1}}',), ('{"x": {"v": 1}, "y": 2}',)], "p string")
+    assert rows(ns.walk(df, "p", "temporal")) == {("$/m/x/as_of", "2569")}
+    assert ("x", '{"v":1,"$key":"x"}') in rows(ns.walk(df, "p", "keyed"))
+
+
 def test_geometry():
     ring = [[0, 0], [1, 0], [1, 1], [0, 0]]
     for fine in ({"type": "Point", "coordinates": [1, 2]}, {"type": "Polygon", "coordinates": [ring]}, {"type": "MultiPolygon", "coordinates": [[ring]]}, {"type": "GeometryCollection", "geometries": [{"type": "LineString", "coordinates": ring}]}):
