@@ -6,14 +6,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.llm.components import components
-from cadastra.llm.shared import spread_join, table, written
-from cadastra.llm.superminhash import band_keys, short_codes, signatures
+from cadastra.llm.shared import handing_back, spread_join, table, written
+from cadastra.llm.superminhash import band_keys, packed_codes, signatures
 from cadastra.llm.tokens import slices
 from cadastra.llm.words import mix, shingle_sets
 
@@ -23,11 +22,17 @@ PERCENT = 85
 #: A pair at the limit shares no band with probability (1 - 0.85 ** ROWS) ** BANDS < 1e-7.
 BANDS, ROWS = 28, 5
 PLACES = BANDS * ROWS
-#: Pairs that agree in fewer places are not verified: 5.5 standard deviations below what a pair at the limit expects.
-AGREE = math.floor(PLACES * 0.85 - 5.5 * math.sqrt(PLACES * 0.85 * 0.15))
+#: Texts that share a bucket get a second signature of so many places, 2 bits a place, so that a quarter of the places in
+#: which two differ agree by chance. Pairs that agree in too few are not verified: 5.5 standard deviations below what a
+#: pair at the limit expects.
+WIDE = 1024
+#: In how many of the first 256 places, and of all, they may differ: the first count spares most of the second.
+FIRST = 256
+DIFFER = {n: math.ceil(n * 0.1125 + 5.5 * math.sqrt(n * 0.8875 * 0.1125)) for n in (FIRST, WIDE)}
+ODD_BITS = np.uint64(0x5555555555555555)
 #: Members of a bucket are compared in chunks of about this many.
 CHUNK = 1024
-SLICE = 6 << 20
+SLICE = 2 << 20
 
 
 def set_ids(values: np.ndarray, counts: np.ndarray) -> list[str | None]:
@@ -43,9 +48,10 @@ def set_ids(values: np.ndarray, counts: np.ndarray) -> list[str | None]:
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_id, bands, codes) of every row; set_id, bands and codes are null for an empty set."""
+    """(doc_id, n_shingles, set_id, bands) of every row; set_id and bands are null for an empty set."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    @handing_back
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
@@ -54,11 +60,10 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 places = signatures(values, counts, PLACES)
                 empty = counts == 0
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(places, ROWS).astype(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
-                codes = [None if e else c.tobytes() for e, c in zip(empty, short_codes(places), strict=True)]
                 keys = pa.array([None if e else k for e, k in zip(empty, keys.to_pylist(), strict=True)], pa.list_(pa.int64())) if empty.any() else keys
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(set_ids(values, counts), pa.string()), keys, pa.array(codes, pa.binary())], ["doc_id", "n_shingles", "set_id", "bands", "codes"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(set_ids(values, counts), pa.string()), keys], ["doc_id", "n_shingles", "set_id", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {id_type}, n_shingles long, set_id string, bands array<long>, codes binary")
+    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {id_type}, n_shingles long, set_id string, bands array<long>")
 
 
 def name_of(column: str):
@@ -67,8 +72,9 @@ def name_of(column: str):
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, shingles) of the wanted (node, first_id, set_id): the sets of those documents' whole texts."""
+    """(node, shingles, codes) of the wanted (node, first_id, set_id): the sets of those documents' whole texts."""
 
+    @handing_back
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
@@ -77,11 +83,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFra
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 sets = pa.ListArray.from_arrays(ends, values.view(np.int64))
                 same = pa.array([x == y for x, y in zip(set_ids(values, counts), batch.column("set_id").slice(a, b - a).to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), sets], ["node", "shingles"]).filter(same)
+                codes = pa.array([c.tobytes() for c in packed_codes(signatures(values, counts, WIDE))], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), sets, codes], ["node", "shingles", "codes"]).filter(same)
 
     named = wanted.select("node", "set_id", name_of("first_id").alias("_name"))
     texts = docs.select(name_of("doc_id").alias("_name"), "text").join(named, "_name").select("node", "set_id", "text")
-    return texts.mapInArrow(build, "node long, shingles array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(build, "node long, shingles array<long>, codes binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -93,41 +100,48 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.select("a", "b").distinct().join(one, "a").join(two, "b").where(alike).select("a", "b")
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many places the rows of a agree with those of b."""
-    out = np.zeros((len(a), len(b)), np.int32)
-    for i in range(len(a)):
-        out[i] = (b == a[i]).sum(1)
-    return out
+def codes_of(codes: pa.Array) -> np.ndarray:
+    """Packed codes as rows of 64-bit numbers, 32 places each."""
+    return np.frombuffer(b"".join(codes.to_pylist()), np.uint64).reshape(-1, WIDE // 32)
 
 
-def star_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Each member's most similar bucket pivot, if it is similar enough: (a, b). The pivot is a bucket's smallest node."""
-    codes = sets.select("node", "codes", "n_shingles")
+def agreeing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether each row of one differs from two's in few enough places."""
+
+    def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        bits = a ^ b
+        return np.bitwise_count((bits | (bits >> np.uint64(1))) & ODD_BITS).sum(axis=1)
+
+    enough = differences(one[:, : FIRST // 32], two[..., : FIRST // 32]) <= DIFFER[FIRST]
+    where = np.flatnonzero(enough)
+    enough[where] = differences(one[where], two if two.ndim == 1 else two[where]) <= DIFFER[WIDE]
+    return enough
+
+
+def star_pairs(members: DataFrame, full: DataFrame) -> DataFrame:
+    """(a, b): the members of each bucket with its pivot, the smallest node, where they agree in enough places."""
     pivots = members.groupBy("key").agg(F.min("node").alias("pivot"))
     pairs = spread_join(members, pivots, ["key"], ["node"]).where("node <> pivot").select("node", "pivot").distinct()
-    theirs = codes.select(F.col("node").alias("pivot"), F.col("codes").alias("_codes"), F.col("n_shingles").alias("_n"))
-    with_codes = pairs.join(codes, "node").join(theirs, "pivot")
+    mine = full.select("node", "codes", F.size("shingles").alias("n"))
+    theirs = full.select(F.col("node").alias("pivot"), F.col("codes").alias("_codes"), F.size("shingles").alias("_n"))
+    sized = pairs.join(mine, "node").join(theirs, "pivot").where(F.least("n", "_n") * 100 >= F.greatest("n", "_n") * PERCENT)
 
+    @handing_back
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, PLACES) for c in ("codes", "_codes"))
-            agree = (one == two).sum(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("pivot"), pa.array(agree)], ["node", "pivot", "agree"]).filter(pa.array(agree >= AGREE))
+            one, two = codes_of(batch.column("codes")), codes_of(batch.column("_codes"))
+            yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("node")], ["a", "b"]).filter(pa.array(agreeing(one, two)))
 
-    fits = (F.least("n_shingles", "_n") * 100 >= F.greatest("n_shingles", "_n") * PERCENT)
-    rated = with_codes.where(fits).mapInArrow(rate, "node long, pivot long, agree int")
-    # of a node's pivots the one that agrees in most places, then the smallest: one number orders both
-    order = F.struct(F.col("agree"), (-F.col("pivot")).alias("_back"))
-    return rated.groupBy(F.col("node").alias("b")).agg((-F.max(order)["_back"]).alias("a")).select("a", "b")
+    return sized.select("node", "pivot", "codes", "_codes").mapInArrow(rate, "a long, b long")
 
 
-def open_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+def open_pairs(members: DataFrame, sets: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame:
     """All pairs within a bucket that are similar enough but not yet in one component: (a, b).
 
     labels: (node, component) so far. Only buckets with several components are gone through. In each, the members
     outside its smallest component are compared with one another and with that component's, a chunk against a chunk, so
-    that a group of near copies that is already joined is not paired up within itself.
+    that a group of near copies that is already joined is not paired up within itself. A pair is looked at in the
+    first of the buckets that it shares.
     """
     rows = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where("_least < _most").select("key", "_least")
@@ -146,29 +160,62 @@ def open_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFr
         F.transform(F.sequence(F.lit(0), F.col("_cd") - 1), lambda y: cell(F.col("_own"), y, F.lit(True))),
     )
     dealt = rows.select("key", "node", "component", "joined", "_own", F.explode(F.when(F.col("joined"), for_joined).otherwise(for_open)).alias("c"))
-    dealt = dealt.select("key", "c.x", "c.y", "c.d", "node", "component", "joined", "_own").join(sets.select("node", "codes", "n_shingles"), "node")
+    dealt = dealt.select("key", "c.x", "c.y", "c.d", "node", "component", "joined", "_own").join(sets.select("node", "bands", "n_shingles").join(full.select("node", "codes"), "node"), "node")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes = np.frombuffer(b"".join(pdf["codes"]), np.uint16).reshape(-1, PLACES)
-        node, component, n = (pdf[c].to_numpy() for c in ("node", "component", "n_shingles"))
-        joined, own, x, d = pdf["joined"].to_numpy(), pdf["_own"].to_numpy(), pdf["x"].iat[0], pdf["d"].iat[0]
+    def compare(batch: pa.RecordBatch) -> set[tuple[int, int]]:
+        """The pairs of one chunk against another, which is what the batch holds."""
+        key, x, y, d = (batch.column(c)[0].as_py() for c in ("key", "x", "y", "d"))
+        node, component, joined, own, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "joined", "_own", "n_shingles"))
         left = np.flatnonzero(~joined & (own == x))
-        right = np.flatnonzero(joined if d else ~joined & (own == pdf["y"].iat[0]))
-        found: list[tuple[int, int]] = []
+        right = np.flatnonzero(joined if d else ~joined & (own == y))
+        found: set[tuple[int, int]] = set()
+        if not len(left) or not len(right):
+            return found
+        codes = codes_of(batch.column("codes"))
+        bands = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        before = bands[:, : int(np.argmax(bands[0] == key))].astype(np.uint32)  # enough to tell them apart
+        twice = not d and x == y
         for i in left:
-            fits = right[(component[right] != component[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * PERCENT)]
-            for j in fits[(codes[fits] == codes[i]).sum(1) >= AGREE]:
-                found.append((min(node[i], node[j]), max(node[i], node[j])))
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype=np.int64)
+            fits = right[right > i] if twice else right
+            fits = fits[component[fits] != component[i]]
+            fits = fits[(n[fits] * 100 >= n[i] * PERCENT) & (n[i] * 100 >= n[fits] * PERCENT)]
+            if len(fits):
+                fits = fits[~(before[fits] == before[i]).any(axis=1)]
+            if len(fits):
+                found.update((int(min(node[i], node[j])), int(max(node[i], node[j]))) for j in fits[agreeing(codes[fits], codes[i])])
+        return found
+
+    @handing_back
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None  # the last group so far, which may go on in the next batch
+
+        def pack(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*sorted(pairs), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.groupBy("key", "x", "y", "d").applyInPandas(compare, "a long, b long")
+        for batch in batches:
+            if rest is not None and rest.num_rows:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            names = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "x", "y", "d")])
+            cuts = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
+            pairs: set[tuple[int, int]] = set()
+            for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False):
+                pairs |= compare(batch.slice(a, b - a))
+            rest = batch.slice(int(cuts[-1]) if len(cuts) else 0)
+            if pairs:
+                yield pack(pairs)
+        if rest is not None and rest.num_rows and (pairs := compare(rest)):
+            yield pack(pairs)
+
+    cell_of = ["key", "x", "y", "d"]
+    return dealt.repartition(*cell_of).sortWithinPartitions(*cell_of).mapInArrow(stream, "a long, b long")
 
 
 def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
     Rows of equal shingle sets are one node. Nodes meet in the buckets of their bands. First each node is held against
-    the most similar of its buckets' pivots; what the full sets confirm is joined. Then, in every bucket, each pair that is
+    its buckets' pivots; what the full sets confirm is joined. Then, in every bucket, each pair that is
     not yet in one component and agrees in enough places is held against the full sets as well. So a link between
     components is missed only if its pair meets in no band or falls short by chance: under 1e-6 at the limit.
 
@@ -177,16 +224,15 @@ def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     rows = written(sketches(docs, words), "near-sketches")
-    grouped = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("codes").alias("codes"))
+    grouped = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     sets = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-sets")
     keys = sets.select("node", F.explode("bands").alias("key"))
     shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("key"), "near-keys")
     members = written(keys.join(shared, "key"), "near-members")
     wanted = written(members.select("node").distinct().join(sets.select("node", "first_id", "set_id"), "node"), "near-wanted")
     full = written(full_sets(docs, wanted, words), "near-full")
-    nodes = sets.select("node", "n_shingles", "codes")
-    first = written(components(verified(star_pairs(members, nodes), full)), "near-first")
-    links = verified(open_pairs(members, nodes, first), full)
+    first = written(components(verified(star_pairs(members, full), full)), "near-first")
+    links = verified(open_pairs(members, sets, full, first), full)
     # the second round's links, between the components of the first
     one = first.select(F.col("node").alias("a"), F.col("component").alias("_a"))
     two = first.select(F.col("node").alias("b"), F.col("component").alias("_b"))
@@ -210,3 +256,18 @@ def keep_first(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE
+ t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ u AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t),
+ f AS (SELECT doc_id, n, i, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS x FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ e AS (SELECT DISTINCT doc_id, hash(x) AS x FROM f WHERE i <= greatest(1, n - 4)),
+ n AS (SELECT t.doc_id, count(x) AS n_shingles FROM t LEFT JOIN e ON e.doc_id = t.doc_id GROUP BY 1),
+ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n_shingles + q.n_shingles - k)),
+ r(doc_id, top) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.top FROM r JOIN l ON l.a = r.doc_id WHERE r.top < l.b),
+ m AS (SELECT doc_id, min(top) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)
+"""

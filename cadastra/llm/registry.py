@@ -17,7 +17,9 @@ QUERIES = {
     "op10_voronoi_knn": knn.op10_voronoi_knn,
 }
 ORACLE_SQL = {
+    "op2_warc_revisits": warc.OP2_SQL,
     "op3_poisson_mix": mixing.OP3_SQL,
+    "op6_superminhash": near.OP6_SQL,
     "op8_extendible_hash": exact.OP8_SQL,
     "op10_voronoi_knn": knn.OP10_SQL,
 }
