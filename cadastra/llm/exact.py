@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm.shared import spread_join, table, written
+from cadastra.llm.shared import handing_back, spread_join, table, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: A bucket with more different keys is split.
@@ -36,6 +36,7 @@ def headers(docs: DataFrame, bits: int = KEY_BITS) -> DataFrame:
     """(doc_id, _key, text_sha256, _points) per row of docs."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    @handing_back
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
@@ -86,6 +87,7 @@ def entries(docs: DataFrame, places: list[int], bits: int) -> DataFrame:
     depth = len(places).bit_length() - 1
     schema = f"_bucket int, _key long, text_sha256 string, _bytes binary, _n long, _points long, _best {id_type}"
 
+    @handing_back
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[bytes, list] = {}
         size = 0
@@ -133,6 +135,7 @@ def index(found: DataFrame) -> DataFrame:
     id_type = found.schema["_best"].dataType.simpleString()
     schema = f"_bucket int, _key long, _chain int, text_sha256 string, keep_id {id_type}, group_size long"
 
+    @handing_back
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, chain, kind = None, [], None
 

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadastra.llm.shared import table, written
-from cadastra.llm.tokens import END_ID, encoder, slices, with_end
+from cadastra.llm.shared import handing_back, table, written
+from cadastra.llm.tokens import END_ID, encoder, gathered, slices, with_end
 
 CAPACITY = 1024
 
@@ -80,9 +80,10 @@ def piece_rows(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
+    @handing_back
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in batches:
+        for batch in gathered(batches):
             texts = batch.column("text")
             for a, b in slices(texts):
                 flat, counts = with_end(*own.encode(texts.slice(a, b - a)), end_id)
@@ -134,6 +135,7 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
     shared = spark.sparkContext.broadcast(plan.slots)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
+    @handing_back
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = shared.value
         firsts = {length: [s[0] for s in own] for length, own in slots.items()}

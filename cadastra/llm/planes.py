@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadastra.llm.shared import held, new_folder, open_fs, put_file, table
-from cadastra.llm.tokens import END_ID, encoder, slices, with_end
+from cadastra.llm.tokens import END_ID, encoder, gathered, slices, with_end
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 LEVEL = 3
+#: Chunks that a worker remembers, and bytes of text that it encodes at once.
+CHUNKS = 900_000
+TEXT_BYTES = 16 << 20
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -131,13 +134,13 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        writer, path, own = PlaneWriter(kind), f"{folder}/ids-{part:06d}.planes", encoder(tokenizer)
+        writer, path, own = PlaneWriter(kind), f"{folder}/ids-{part:06d}.planes", encoder(tokenizer, CHUNKS)
 
         def content():
             yield MAGIC
-            for batch in batches:
+            for batch in gathered(batches, TEXT_BYTES):
                 texts = batch.column("text")
-                for a, b in slices(texts):
+                for a, b in slices(texts, TEXT_BYTES):
                     flat, counts = with_end(*own.encode(texts.slice(a, b - a)), end_id)
                     yield from writer.add(batch.column("doc_id").slice(a, b - a).to_pylist(), flat, counts)
             yield from writer.end()

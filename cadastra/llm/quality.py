@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm.shared import held_out, table
+from cadastra.llm.shared import handing_back, held_out, table
 from cadastra.llm.tokens import slices
 from cadastra.llm.words import word_hashes
 
@@ -20,6 +20,8 @@ SAMPLE = 4000
 #: Longer documents are not learned from; they are scored whole like all others.
 LONGEST = 10_000
 CUT = 0.3
+#: Bytes of text at a time: the temporary arrays take some 60 times as much.
+SLICE = 1 << 20
 #: Byte classes, counted two at a time.
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -193,7 +195,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 2, steps: int = 120,
     A line first has its document's label. As a bad document may hold good lines, a second round takes those of its lines
     for good that the first one's features call good, unless that were all of them. Then score is fitted to the labels.
     """
-    parts = [features(texts.slice(a, b - a)) for a, b in slices(texts, 1 << 20)]  # a part's temporary arrays are many times its text
+    parts = [features(texts.slice(a, b - a)) for a, b in slices(texts, SLICE)]  # a part's temporary arrays are many times its text
     x, size, per_text = (np.concatenate(p) for p in zip(*parts, strict=True))
     owner = np.repeat(np.arange(len(per_text)), per_text)
     y = labels.astype(float)[owner]
@@ -249,10 +251,11 @@ def score_documents(docs: DataFrame, field: Field, cut: float = CUT) -> DataFram
     """(doc_id, held_out, score, predicted, n_lines, good_lines) of every row of docs, from its whole text alone."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    @handing_back
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            for a, b in slices(texts, 4 << 20):
+            for a, b in slices(texts, SLICE):
                 yield scored(batch.slice(a, b - a), field, cut)
 
     return docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(judge, f"doc_id {id_type}, held_out boolean, score double, predicted int, n_lines long, good_lines long")
@@ -269,9 +272,10 @@ def keep_good(docs: DataFrame, field: Field, cut: float = CUT) -> DataFrame:
     """The rows of docs whose score reaches cut, with docs' columns. Rows are judged where they are: nothing is shuffled."""
     schema = docs.schema
 
+    @handing_back
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column("text"), 4 << 20):
+            for a, b in slices(batch.column("text"), SLICE):
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(field.score(part.column("text")) >= cut))
 
@@ -282,9 +286,10 @@ def label_lines(docs: DataFrame, field: Field) -> DataFrame:
     """(doc_id, line, start, length, p_good, good): every line of every text, start and length in bytes of UTF-8."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    @handing_back
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column("text"), 4 << 20):
+            for a, b in slices(batch.column("text"), SLICE):
                 part = batch.slice(a, b - a)
                 _, starts, ends, per_text = lines_of(part.column("text"))
                 good = field.lines(part.column("text"))[0]

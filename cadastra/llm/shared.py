@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +20,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 SALTS = 8
 
 
+#: Rows of long texts that go to a Python worker at once, where the session has Spark's default of 10,000.
+BATCH_ROWS = 2000
+
+
 def importable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it, as --py-files would."""
+    """Lets Python workers import this package from where the driver has it, as --py-files would; bounds their batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
@@ -81,6 +91,24 @@ def held_out(doc_id: str | Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % 5 == 0
 
 
+def handing_back(function):
+    """Wraps a function over Arrow batches so that its worker, which lives on, gives free memory back when a task ends."""
+
+    @wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def open_fs(uri: str):
     """(file system, path) by pyarrow; a bare path is local."""
     from pyarrow import fs

@@ -10,6 +10,7 @@ delimiter.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +22,8 @@ END_ID = 2
 DELIMITER = "<|endoftext|>"
 #: Any Unicode white space, then a blank.
 SPACED = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
-MAX_CHUNKS = 700_000
-SLICE_BYTES = 16 << 20
+MAX_CHUNKS = 250_000
+SLICE_BYTES = 12 << 20
 
 
 class Encoder:
@@ -115,9 +116,21 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, max_chunks: int = MAX_CHUNKS) -> Encoder:
     """One encoder per vocabulary and Python worker."""
-    return Encoder(path)
+    return Encoder(path, max_chunks)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches as one of about ``limit`` bytes: the more text at once, the fewer different words a byte."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.nbytes for b in waiting) >= limit:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting = []
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES):
