@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm.shared import held, table
+from cadastra.llm.shared import spread_join, table, written
 
 #: (verdict, host, path)
 RULES = (
@@ -19,15 +19,12 @@ RULES = (
 )
 #: Characters of context at most.
 ORDER = 4
-#: The model keeps this many n-grams, those counted most often (ties: the smaller text first). A gram is some 40 bytes, so
-#: the table that is broadcast stays under 10 MB whatever the number of URLs. Other positions use a shorter context.
-MAX_GRAMS = 150_000
 #: How much the next shorter context counts against a context's own counts.
 STRENGTH = 2.0
 #: Scores are cut into bins of this width to set the threshold.
 BIN = 0.005
 START = "\x02"
-MORE = ("_url", "_row", "_at", "_padded", "_sum", "_score")
+MORE = ("_url", "_row", "_at", "_gram", "_value", "_window", "_sum", "_score", "_salt")
 
 
 def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -60,46 +57,48 @@ def grams(urls: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.select("*", F.explode(every).alias("_gram"))
 
 
-def ratio_model(labelled: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, strength: float = STRENGTH) -> DataFrame:
-    """(_gram, _value): the log of P(character | context) accepted over rejected, from (_url, _accept).
+def ratio_model(labelled: DataFrame, order: int = ORDER, strength: float = STRENGTH) -> DataFrame:
+    """(_gram, _value): the log of P(character | context) accepted over rejected, from (_url, _accept), of every n-gram.
 
     A context's distribution is its counts plus strength times the distribution of the context one character shorter;
     the shortest one adds a uniform distribution over 128 characters. A gram stands for every position whose longest
     known gram it is.
     """
     counted = grams(labelled.select("_url", "_accept"), order).groupBy("_gram").agg(F.count_if("_accept").alias("a"), F.count_if(~F.col("_accept")).alias("r"))
-    kept = held(counted.orderBy(F.desc(F.col("a") + F.col("r")), F.length("_gram"), "_gram").limit(max_grams))
+    every = written(counted, "url-grams")
     context = F.expr("substring(_gram, 1, length(_gram) - 1)")
-    totals = kept.groupBy(context.alias("_context")).agg(F.sum("a").alias("na"), F.sum("r").alias("nr"))
-    level = held(kept.withColumn("_context", context).join(totals, "_context").withColumn("_n", F.length("_gram")))
+    totals = every.groupBy(context.alias("_context")).agg(F.sum("a").alias("na"), F.sum("r").alias("nr"))
+    level = written(every.withColumn("_context", context).join(totals, "_context").withColumn("_n", F.length("_gram")), "url-levels")
     uniform = F.lit(1.0 / 128)
     smooth = lambda c, n, shorter: (F.col(c) + strength * shorter) / (F.col(n) + strength)
     done = level.where("_n = 1").select("_gram", smooth("a", "na", uniform).alias("pa"), smooth("r", "nr", uniform).alias("pr"))
     found = done
-    for n in range(2, order + 2):  # the suffix of a kept gram is counted at least as often, so it was kept too
+    for n in range(2, order + 2):  # a suffix has as many longer grams as there are characters at most
         shorter = done.select(F.col("_gram").alias("_suffix"), F.col("pa").alias("sa"), F.col("pr").alias("sr"))
         own = level.where(F.col("_n") == n).withColumn("_suffix", F.expr("substring(_gram, 2)")).join(shorter, "_suffix", "left")
         done = own.select("_gram", smooth("a", "na", F.coalesce("sa", uniform)).alias("pa"), smooth("r", "nr", F.coalesce("sr", uniform)).alias("pr"))
         found = found.unionByName(done)
-    return held(found.select("_gram", F.log(F.col("pa") / F.col("pr")).alias("_value")))
+    return written(found.select("_gram", F.log(F.col("pa") / F.col("pr")).alias("_value")), "url-model")
 
 
-def scored(urls: DataFrame, model: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> DataFrame:
+def scored(urls: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     """urls, which have _url, with _score: the mean over positions of the longest known gram's value, 0 for no text.
 
-    A url's positions never leave its partition before they are summed up; only one row per url is shuffled.
+    Each different url is scored once. The different windows, which are the longest grams of its positions, get the value
+    of their longest known suffix; then windows meet positions. Both joins are dealt over parts, as a gram may be in most urls.
     """
-    if max_grams > MAX_GRAMS:
-        raise ValueError(f"a model of over {MAX_GRAMS} grams is not broadcast")
-    own = urls.withColumn("_row", F.monotonically_increasing_id()).withColumn("_padded", F.concat(F.lit(START), F.col("_url")))
-    names = [c for c in urls.columns]
-    rows = own.select("*", F.explode_outer(F.when(F.length("_url") > 0, F.sequence(F.lit(2), F.length("_url") + 1))).alias("_at"))
-    for n in range(1, order + 2):
-        gram = F.when(F.col("_at") >= n, F.substr("_padded", F.col("_at") - n + 1, F.lit(n)))
-        rows = rows.join(F.broadcast(model.select(F.col("_gram").alias(f"_gram{n}"), F.col("_value").alias(f"_value{n}"))), gram == F.col(f"_gram{n}"), "left")
-    value = F.coalesce(*(f"_value{n}" for n in range(order + 1, 0, -1)), F.lit(0.0))
-    total = rows.groupBy("_row", *names).agg(F.sum(value).alias("_sum"))
-    return total.withColumn("_score", F.col("_sum") / F.greatest(F.length("_url"), F.lit(1))).drop("_row", "_sum")
+    texts = urls.where("length(_url) > 0").select("_url").distinct()
+    texts = written(texts.withColumn("_row", F.monotonically_increasing_id()), "url-texts")
+    padded = F.concat(F.lit(START), F.col("_url"))
+    size = F.least(F.lit(order + 1), F.col("_at"))
+    places = texts.select("*", F.explode(F.sequence(F.lit(2), F.length("_url") + 1)).alias("_at"))
+    places = places.select("_row", "_at", F.substr(padded, F.col("_at") - size + 1, size).alias("_window"))
+    suffixes = F.transform(F.sequence(F.lit(1), F.length("_window")), lambda n: F.substr(F.col("_window"), F.length("_window") - n + 1, n))
+    ends = places.select("_window").distinct().select("_window", F.explode(suffixes).alias("_gram"))
+    values = spread_join(ends, model, ["_gram"], ["_window"]).groupBy("_window").agg(F.max_by("_value", F.length("_gram")).alias("_value"))
+    total = spread_join(places, values, ["_window"], ["_row", "_at"]).groupBy("_row").agg(F.sum("_value").alias("_sum"))
+    scores = texts.join(total, "_row").select("_url", (F.col("_sum") / F.length("_url")).alias("_score"))
+    return spread_join(urls, scores, ["_url"], urls.columns, "left").select(*urls.columns, F.coalesce("_score", F.lit(0.0)).alias("_score"))
 
 
 def threshold(scores: DataFrame) -> float:

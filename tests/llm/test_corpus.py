@@ -387,6 +387,21 @@ def test_url_filter_learns(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_model_keeps_every_gram(spark):
+    rng = random.Random(5)
+    labelled = [("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=60)), i % 2 == 0) for i in range(1200)]
+    padded = [urls.START + url for url, _ in labelled]
+    every = {t[at - n + 1 : at + 1] for t in padded for at in range(1, len(t)) for n in range(1, min(5, at + 1) + 1)}
+    assert len(every) > 150_000
+    frame = spark.createDataFrame(labelled, "_url string, _accept boolean")
+    model = urls.ratio_model(frame)
+    assert model.count() == len(every)
+    value = {r["_gram"]: r["_value"] for r in model.collect()}
+    for r in urls.scored(frame.limit(50), model).collect():
+        t = urls.START + r["_url"]
+        assert np.isclose(r["_score"], sum(value[t[max(0, at - 4) : at + 1]] for at in range(1, len(t))) / 60)
+
+
 # --- all together
 
 def test_queries_are_registered():
