@@ -17,24 +17,35 @@ from cadastra.llm.tokens import slices
 from cadastra.llm.words import mix, shingle_sets
 
 WORDS = 5
-#: Linked from 100 * intersection >= PERCENT * union on.
+#: Linked from 100 * intersection >= percent * union on; this is the default.
 PERCENT = 85
-#: A pair at the limit shares no band with probability (1 - 0.85 ** ROWS) ** BANDS < 1e-7.
-BANDS, ROWS = 28, 5
-PLACES = BANDS * ROWS
+#: Places of a signature that make a band.
+ROWS = 5
 #: Texts that share a bucket get a second signature of so many places, 2 bits a place, so that a quarter of the places in
 #: which two differ agree by chance. Pairs that agree in too few are not verified: 5.5 standard deviations below what a
 #: pair at the limit expects.
 WIDE = 1024
 #: In how many of the first 256 places, and of all, they may differ: the first count spares most of the second.
 FIRST = 256
-DIFFER = {n: math.ceil(n * 0.1125 + 5.5 * math.sqrt(n * 0.8875 * 0.1125)) for n in (FIRST, WIDE)}
 ODD_BITS = np.uint64(0x5555555555555555)
 #: Members of a bucket are compared in chunks of about this many.
 CHUNK = 1024
 SLICE = 2 << 20
 
 
+def bands_for(percent: int) -> int:
+    """So many bands that a pair at the limit shares none with probability (1 - (percent / 100) ** ROWS) ** bands < 1e-7."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent is over 0 and at most 100")
+    return 1 if percent == 100 else math.ceil(math.log(1e-7) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+def differ_for(percent: int) -> dict[int, int]:
+    """In how many of the first so many places of the second signature two texts at the limit may differ."""
+    p = (1 - percent / 100) * 0.75
+    return {n: math.ceil(n * p + 5.5 * math.sqrt(n * (1 - p) * p)) for n in (FIRST, WIDE)}
+
+
 def set_ids(values: np.ndarray, counts: np.ndarray) -> list[str | None]:
     """A 128-bit name of each set, None for empty ones."""
     first = np.cumsum(counts) - counts
@@ -47,9 +58,10 @@ def set_ids(values: np.ndarray, counts: np.ndarray) -> list[str | None]:
     return names
 
 
-def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def sketches(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, set_id, bands) of every row; set_id and bands are null for an empty set."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    bands = bands_for(percent)
 
     @handing_back
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,9 +69,9 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             texts = batch.column("text")
             for a, b in slices(texts, SLICE):
                 values, counts = shingle_sets(texts.slice(a, b - a), words)
-                places = signatures(values, counts, PLACES)
+                places = signatures(values, counts, bands * ROWS)
                 empty = counts == 0
-                keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(places, ROWS).astype(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(places, ROWS).astype(np.int64).reshape(-1)), bands).cast(pa.list_(pa.int64()))
                 keys = pa.array([None if e else k for e, k in zip(empty, keys.to_pylist(), strict=True)], pa.list_(pa.int64())) if empty.any() else keys
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(set_ids(values, counts), pa.string()), keys], ["doc_id", "n_shingles", "set_id", "bands"])
 
@@ -105,37 +117,38 @@ def codes_of(codes: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(codes.to_pylist()), np.uint64).reshape(-1, WIDE // 32)
 
 
-def agreeing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+def agreeing(one: np.ndarray, two: np.ndarray, limits: dict[int, int]) -> np.ndarray:
     """Whether each row of one differs from two's in few enough places."""
 
     def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         bits = a ^ b
         return np.bitwise_count((bits | (bits >> np.uint64(1))) & ODD_BITS).sum(axis=1)
 
-    enough = differences(one[:, : FIRST // 32], two[..., : FIRST // 32]) <= DIFFER[FIRST]
+    enough = differences(one[:, : FIRST // 32], two[..., : FIRST // 32]) <= limits[FIRST]
     where = np.flatnonzero(enough)
-    enough[where] = differences(one[where], two if two.ndim == 1 else two[where]) <= DIFFER[WIDE]
+    enough[where] = differences(one[where], two if two.ndim == 1 else two[where]) <= limits[WIDE]
     return enough
 
 
-def star_pairs(members: DataFrame, full: DataFrame) -> DataFrame:
+def star_pairs(members: DataFrame, full: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): the members of each bucket with its pivot, the smallest node, where they agree in enough places."""
     pivots = members.groupBy("key").agg(F.min("node").alias("pivot"))
     pairs = spread_join(members, pivots, ["key"], ["node"]).where("node <> pivot").select("node", "pivot").distinct()
     mine = full.select("node", "codes", F.size("shingles").alias("n"))
     theirs = full.select(F.col("node").alias("pivot"), F.col("codes").alias("_codes"), F.size("shingles").alias("_n"))
-    sized = pairs.join(mine, "node").join(theirs, "pivot").where(F.least("n", "_n") * 100 >= F.greatest("n", "_n") * PERCENT)
+    sized = pairs.join(mine, "node").join(theirs, "pivot").where(F.least("n", "_n") * 100 >= F.greatest("n", "_n") * percent)
+    limits = differ_for(percent)
 
     @handing_back
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = codes_of(batch.column("codes")), codes_of(batch.column("_codes"))
-            yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("node")], ["a", "b"]).filter(pa.array(agreeing(one, two)))
+            yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("node")], ["a", "b"]).filter(pa.array(agreeing(one, two, limits)))
 
     return sized.select("node", "pivot", "codes", "_codes").mapInArrow(rate, "a long, b long")
 
 
-def open_pairs(members: DataFrame, sets: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame:
+def open_pairs(members: DataFrame, sets: DataFrame, full: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
     """All pairs within a bucket that are similar enough but not yet in one component: (a, b).
 
     labels: (node, component) so far. Only buckets with several components are gone through. In each, the members
@@ -162,6 +175,8 @@ def open_pairs(members: DataFrame, sets: DataFrame, full: DataFrame, labels: Dat
     dealt = rows.select("key", "node", "component", "joined", "_own", F.explode(F.when(F.col("joined"), for_joined).otherwise(for_open)).alias("c"))
     dealt = dealt.select("key", "c.x", "c.y", "c.d", "node", "component", "joined", "_own").join(sets.select("node", "bands", "n_shingles").join(full.select("node", "codes"), "node"), "node")
 
+    limits, width = differ_for(percent), bands_for(percent)
+
     def compare(batch: pa.RecordBatch) -> set[tuple[int, int]]:
         """The pairs of one chunk against another, which is what the batch holds."""
         key, x, y, d = (batch.column(c)[0].as_py() for c in ("key", "x", "y", "d"))
@@ -172,17 +187,17 @@ def open_pairs(members: DataFrame, sets: DataFrame, full: DataFrame, labels: Dat
         if not len(left) or not len(right):
             return found
         codes = codes_of(batch.column("codes"))
-        bands = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        bands = batch.column("bands").flatten().to_numpy().reshape(-1, width)
         before = bands[:, : int(np.argmax(bands[0] == key))].astype(np.uint32)  # enough to tell them apart
         twice = not d and x == y
         for i in left:
             fits = right[right > i] if twice else right
             fits = fits[component[fits] != component[i]]
-            fits = fits[(n[fits] * 100 >= n[i] * PERCENT) & (n[i] * 100 >= n[fits] * PERCENT)]
+            fits = fits[(n[fits] * 100 >= n[i] * percent) & (n[i] * 100 >= n[fits] * percent)]
             if len(fits):
                 fits = fits[~(before[fits] == before[i]).any(axis=1)]
             if len(fits):
-                found.update((int(min(node[i], node[j])), int(max(node[i], node[j]))) for j in fits[agreeing(codes[fits], codes[i])])
+                found.update((int(min(node[i], node[j])), int(max(node[i], node[j]))) for j in fits[agreeing(codes[fits], codes[i], limits)])
         return found
 
     @handing_back
@@ -211,10 +226,10 @@ def open_pairs(members: DataFrame, sets: DataFrame, full: DataFrame, labels: Dat
     return dealt.repartition(*cell_of).sortWithinPartitions(*cell_of).mapInArrow(stream, "a long, b long")
 
 
-def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
-    Rows of equal shingle sets are one node. Nodes meet in the buckets of their bands. First each node is held against
+    Sets are linked from 100 * intersection >= percent * union on. Rows of equal shingle sets are one node. Nodes meet in the buckets of their bands. First each node is held against
     its buckets' pivots; what the full sets confirm is joined. Then, in every bucket, each pair that is
     not yet in one component and agrees in enough places is held against the full sets as well. So a link between
     components is missed only if its pair meets in no band or falls short by chance: under 1e-6 at the limit.
@@ -223,7 +238,7 @@ def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     text without words, or null, has the set size 0 and is a component of its own. Rows of equal doc_id each have a row.
     """
     docs = docs.select("doc_id", "text")
-    rows = written(sketches(docs, words), "near-sketches")
+    rows = written(sketches(docs, words, percent), "near-sketches")
     grouped = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     sets = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-sets")
     keys = sets.select("node", F.explode("bands").alias("key"))
@@ -231,8 +246,8 @@ def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     members = written(keys.join(shared, "key"), "near-members")
     wanted = written(members.select("node").distinct().join(sets.select("node", "first_id", "set_id"), "node"), "near-wanted")
     full = written(full_sets(docs, wanted, words), "near-full")
-    first = written(components(verified(star_pairs(members, full), full)), "near-first")
-    links = verified(open_pairs(members, sets, full, first), full)
+    first = written(components(verified(star_pairs(members, full, percent), full, percent)), "near-first")
+    links = verified(open_pairs(members, sets, full, first, percent), full, percent)
     # the second round's links, between the components of the first
     one = first.select(F.col("node").alias("a"), F.col("component").alias("_a"))
     two = first.select(F.col("node").alias("b"), F.col("component").alias("_b"))
@@ -248,14 +263,14 @@ def near_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_first(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose doc_id is its component's smallest, with docs' columns."""
-    kept = near_components(docs, words).where("kept").select(name_of("doc_id").alias("_name")).distinct()
+    kept = near_components(docs, words, percent).where("kept").select(name_of("doc_id").alias("_name")).distinct()
     return docs.select("*", name_of("doc_id").alias("_name")).join(kept, "_name").select(*docs.columns)
 
 
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(table(spark, sf_dir, "documents"))
+    return near_components(table(spark, sf_dir, "documents"), percent=85)
 
 
 OP6_SQL = r"""

@@ -217,6 +217,20 @@ def test_near_of_awkward_rows(edges, nothing):
     assert kept.columns == edges.columns and near.keep_first(nothing).count() == 0
 
 
+def test_near_at_another_limit(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(0, 80, 2):  # 5-word shingles: 96 and 96, of which 86 are common (86 / 106 = 0.811)
+        words = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+        other = words[:-10] + [f"v{rng.randrange(10**9)}" for _ in range(10)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert docs.count() == near.keep_first(docs, percent=85).count() == 80
+    assert {r["doc_id"] for r in near.keep_first(docs, percent=80).collect()} == set(range(0, 80, 2))
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(range(0, 80, 2))
+    assert near.bands_for(85) == 28 and (1 - 0.8**near.ROWS) ** near.bands_for(80) < 1e-7
+
+
 def slow_superminhash(values, m):
     h = [None] * m
     for v in values:
