@@ -16,9 +16,10 @@ from cadastra.llm.tokens import slices
 from cadastra.llm.words import word_hashes
 
 #: The field learns from so many labelled documents at most, those of smallest hash of the id.
-SAMPLE = 4000
-#: Longer documents are not learned from; they are scored whole like all others.
-LONGEST = 10_000
+SAMPLE = 6000
+#: Of a longer document the field learns from so many characters, half from its start and half from its end; it is scored
+#: whole like all others.
+LONGEST = 30_000
 CUT = 0.3
 #: Bytes of text at a time: the temporary arrays take some 60 times as much.
 SLICE = 1 << 20
@@ -70,10 +71,11 @@ def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, line_starts, line_ends, per_text
 
 
-def repeats(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """How many words of each line are the word before them again."""
-    first, ends, hashes = word_hashes(np.append(data, np.uint8(10)))
-    line = np.searchsorted(starts, first, "right") - 1
+def repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    """How many words of each line are the word before them again. No word goes on from one text into the next."""
+    parted = np.insert(data, ends[np.cumsum(per_text) - 1], np.uint8(10))  # a line feed after each text
+    first, _, hashes = word_hashes(parted)
+    line = np.searchsorted(starts + np.repeat(np.arange(len(per_text)), per_text), first, "right") - 1
     again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (line[1:] == line[:-1])) + 1
     return np.bincount(line[again], minlength=len(starts)).astype(np.float64)
 
@@ -107,7 +109,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own[:, 13] = np.minimum(2, n / words / 10)
     own[:, 14] = (last == ord("|")) | (last == ord(">"))
     own[:, 15] = size > 400
-    own[:, 16] = repeats(data, starts) / words
+    own[:, 16] = repeats(data, starts, ends, per_text) / words
     width = 3 * OWN + 3
     out = np.zeros((len(size), width))
     out[:, :OWN] = own
@@ -231,15 +233,20 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 2, steps: int = 120,
     return field
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Field:
     """A field from a bounded sample of labelled documents that are not held out.
 
-    The sample is drawn from the labels, so only its documents' texts are moved. Null labels and ids are left out; of
-    several labels of an id the largest holds. Without a label of each kind every line is as good as bad.
+    The sample is drawn from the labels of documents that are there, of any length, so only its documents' texts are
+    moved. Null labels and ids are left out; of several labels of an id the largest holds. Without a label of each kind
+    every line is as good as bad.
     """
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= LONGEST).join(F.broadcast(chosen), "doc_id")  # sample rows of two numbers
+    there = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    half = longest // 2
+    ends = F.concat(F.substring("text", 1, longest - half - 1), F.lit("\n"), F.expr(f"right(text, {half})"))
+    text = F.when(F.length("text") > longest, ends).otherwise(F.col("text"))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")  # sample rows of two numbers
     found = rows.orderBy("doc_id", "text").limit(2 * sample).toArrow()
     quality = found["quality"].to_numpy()
     if not len(quality) or quality.min() == quality.max():

@@ -102,6 +102,21 @@ def test_quality_of_awkward_rows(spark, edges, nothing):
     assert quality.learn(nothing, spark.createDataFrame([], "doc_id long, quality int")).weights.sum() == 0
 
 
+def test_quality_learns_from_long_documents(spark):
+    good, bad = "The river was calm, and the people of the town walked home.\n", "BUY NOW!!! | $$$ | CLICK | HERE | 100%\n"
+    docs = spark.createDataFrame([(i, (good if i % 2 else bad) * 1200) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 0) for i in range(1000, 3000)], "doc_id long, quality int")
+    field = quality.learn(docs, labels, sample=100)  # most labels are of documents that are not there
+    low, high = field.score(pa.array([bad * 20, good * 20]))
+    assert low < 0.2 and high > 0.8
+
+
+def test_repeated_words_end_with_their_text():
+    alone, pair = quality.features(pa.array(["a b b"]))[0], quality.features(pa.array(["a b b", "b b c", "", None, "c c\nd"]))[0]
+    assert np.array_equal(alone[0, : quality.OWN], pair[0, : quality.OWN])
+    assert (pair[:, 16] * (np.array([2, 2, 0, 0, 1, 0]) + 1)).round(6).tolist() == [1, 1, 0, 0, 1, 0]
+
+
 def test_automaton_has_all_substrings():
     text = [0, 1, 0, 2, 1, 0, 1, 0, 0]
     automaton = language.SuffixAutomaton(text)
