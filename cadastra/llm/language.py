@@ -18,9 +18,11 @@ from cadastra.llm.shared import held_out, table
 #: Per language the learned text is whole documents of smallest hash, at most SAMPLE_DOCS, until SAMPLE_CHARS are reached.
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 40_000
-#: Documents over this length are not learned from, so that no single one makes a language's text.
+#: Longer documents are learned from only where a language's others are too few, in pieces of this length, a piece of each
+#: before a second one of any, so that no single one makes a language's text.
 LONGEST = 8_000
-#: Symbols of an automaton; rarer characters of the learned texts share one that no phrase contains.
+#: Columns of an automaton's table: its commonest characters, and one for those that its text lacks. Rarer characters of
+#: its text are looked up in a sorted list of their transitions.
 SYMBOLS = 96
 #: A text is parsed in blocks of this many characters; a phrase ends where its block does.
 BLOCK = 512
@@ -68,43 +70,75 @@ class SuffixAutomaton:
 class Parser:
     """Greedy parses of many texts at once against every language's automaton.
 
-    A step is one look-up: table[state + symbol] is the next state, times the number of symbols and two, plus one where
-    the phrase could not go on and a new one began. A character that the learned text lacks is a phrase of its own.
+    Each automaton has the alphabet of its own learned text. A step is one look-up: table[state + symbol] is the next
+    state's place in the table, times two, plus one where the phrase could not go on and a new one began. A character that
+    the learned text lacks is a phrase of its own. A symbol beyond the table's columns is searched for among the
+    transitions by such symbols; where there is none, a new phrase begins with it.
     """
 
     def __init__(self, samples: tuple[tuple[str, str], ...], symbols: int = SYMBOLS):
         texts = {lang: "".join(map(folded, map(ord, text))) for lang, text in samples}
-        found: dict[str, int] = {}
-        for text in texts.values():
-            for c in text:
-                found[c] = found.get(c, 0) + 1
-        alphabet = sorted(found, key=lambda c: (-found[c], c))[: symbols - 1]
+        every = sorted(set().union(*texts.values()))
+        code = {c: i for i, c in enumerate(every)}
         self.langs = list(texts)
-        self.width = len(alphabet) + 1  # the last symbol is every other character
-        code = {c: i for i, c in enumerate(alphabet)}
-        self.codes = np.full(0x110000, self.width - 1, np.uint8)
+        self.codes = np.full(0x110000, len(every), np.int32)  # the last one is every character that no text has
         for cp in range(0x110000):
             if (i := code.get(folded(cp) if cp < 0x3000 or chr(cp).isalpha() else " ")) is not None:
                 self.codes[cp] = i
-        rows, self.roots, self.bits = [], [], []
+        parts, self.roots, self.bits, self.own, self.widths, self.rare = [], [], [], [], [], []
+        base = 0
         for text in texts.values():
-            automaton = SuffixAutomaton([code.get(c, self.width - 1) for c in text if code.get(c, 0) != self.width - 1])
-            base = sum(map(len, rows))
-            own = np.full((len(automaton.next), self.width), -1, np.int64)
+            found: dict[str, int] = {}
+            for c in text:
+                found[c] = found.get(c, 0) + 1
+            alphabet = sorted(found, key=lambda c: (-found[c], c))
+            width = min(len(alphabet) + 1, symbols)
+            # the last column is for characters that the text lacks; symbols from width on have none
+            number = {c: i if i < width - 1 else i + 1 for i, c in enumerate(alphabet)}
+            own = np.full(len(every) + 1, width - 1, np.int32)
+            own[[code[c] for c in alphabet]] = list(number.values())
+            automaton = SuffixAutomaton([number[c] for c in text])
+            dense = np.full((len(automaton.next), width), -1, np.int64)
+            keys, ends = [], []  # state and rare symbol, next state
+            rares = len(alphabet) + 1 - width
             for i, ways in enumerate(automaton.next):
-                own[i, list(ways)] = list(ways.values())
-            root = np.where(own[0] < 0, 0, own[0])
-            new = own < 0
+                for symbol, end in ways.items():
+                    if symbol < width:
+                        dense[i, symbol] = end
+                    else:
+                        keys.append(i * rares + symbol - width)
+                        ends.append(end)
+            root = np.where(dense[0] < 0, 0, dense[0])
+            new = dense < 0
             new[0] = True  # the root is where a text starts and where an unknown character leads
-            moved = (np.where(own < 0, root[None, :], own) + base) * self.width * 2 + new
-            rows.append(moved)
-            self.roots.append(base * self.width * 2)
+            parts.append(((np.where(dense < 0, root[None, :], dense) * width + base) * 2 + new).reshape(-1))
+            order = np.argsort(np.array(keys, np.int64), kind="stable")
+            keys, ends = np.array(keys, np.int64)[order], np.array(ends, np.int64)[order]
+            # the root's transitions, one per rare symbol, come first
+            self.rare.append((base, rares, keys, (ends * width + base) * 2 + (keys < rares)))
+            self.roots.append(base * 2)
+            self.widths.append(width)
+            self.own.append(own)
             self.bits.append(math.log2(max(2, len(text))))
-        size = sum(map(len, rows)) * self.width * 2
-        self.table = np.concatenate(rows).astype(np.int32 if size < 1 << 31 else np.int64).reshape(-1) if rows else np.zeros(0, np.int32)
+            base += dense.size
+        self.table = np.concatenate(parts).astype(np.int32 if base * 2 < 1 << 31 else np.int64) if parts else np.zeros(0, np.int32)
+
+    def step(self, lang: int, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The next states of the lang-th automaton by the symbols, which are codes."""
+        width, own = self.widths[lang], self.own[lang][symbols]
+        base, rares, keys, ends = self.rare[lang]
+        if not rares or not len(far := np.flatnonzero(own >= width)):
+            return self.table[(state >> 1) + own]
+        rare = own[far].astype(np.int64) - width
+        own[far] = width - 1
+        got = self.table[(state >> 1) + own]
+        wanted = ((state[far].astype(np.int64) >> 1) - base) // width * rares + rare
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        got[far] = np.where(keys[at] == wanted, ends[at], ends[rare])
+        return got
 
     def phrases(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases per language (rows) and text (columns); text has the symbols of all texts, one after another."""
+        """Phrases per language (rows) and text (columns); text has the codes of all texts, one after another."""
         blocks = -(-lengths // BLOCK)
         owner = np.repeat(np.arange(len(lengths)), blocks)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -119,7 +153,7 @@ class Parser:
             n = many[step]
             symbols = text[first[:n] + step]
             for lang, state in enumerate(states):
-                got = self.table[(state[:n] >> 1) + symbols]
+                got = self.step(lang, state[:n], symbols)
                 counts[lang, :n] += got & 1
                 state[:n] = got
         out = np.zeros((len(self.langs), len(lengths)), np.int64)
@@ -131,7 +165,7 @@ class Parser:
         """(language, score) of non-empty texts: the fewest phrases, each weighed by the bits that point to one."""
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        need = self.phrases(self.codes[points].astype(np.int32), np.cumsum(lengths) - lengths, lengths) * np.array(self.bits)[:, None]
+        need = self.phrases(self.codes[points], np.cumsum(lengths) - lengths, lengths) * np.array(self.bits)[:, None]
         best = need.argmin(0)
         least = need.min(0)
         if len(self.langs) == 1:
@@ -147,12 +181,19 @@ def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
 
 
 def learned_texts(docs: DataFrame) -> tuple[tuple[str, str], ...]:
-    """(lang, text) per language in alphabetical order, from a bounded sample of whole documents."""
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id") & F.length("text").between(1, LONGEST))
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    chosen = rows.select("lang", "text", F.row_number().over(rank).alias("n")).where(F.col("n") <= SAMPLE_DOCS)
+    """(lang, text) per language in alphabetical order, from a bounded sample of whole documents.
+
+    Where those of at most LONGEST characters are too few, pieces of longer ones follow, as many as one alone would need.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id") & (F.length("text") > 0))
+    size = F.least(F.length("text"), F.lit(SAMPLE_CHARS))
+    pieces = F.when(F.length("text") <= LONGEST, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.floor((size - 1) / LONGEST).cast("int")))
+    rows = rows.select("lang", "text", (F.length("text") > LONGEST).alias("long"), F.explode(pieces).alias("piece"))
+    rows = rows.select("lang", F.substring("text", F.col("piece") * LONGEST + 1, F.lit(LONGEST)).alias("text"), "long", "piece")
+    rank = Window.partitionBy("lang", "long").orderBy("piece", F.xxhash64("text"), "text")
+    chosen = rows.select("lang", "long", "text", F.row_number().over(rank).alias("n")).where(F.col("n") <= SAMPLE_DOCS)
     texts: dict[str, list[str]] = {}
-    for row in sorted(chosen.collect(), key=lambda r: (r["lang"], r["n"])):
+    for row in sorted(chosen.collect(), key=lambda r: (r["lang"], r["long"], r["n"])):
         own = texts.setdefault(row["lang"], [])
         if sum(map(len, own)) < SAMPLE_CHARS:
             own.append(row["text"])

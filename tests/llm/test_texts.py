@@ -170,3 +170,31 @@ def test_languages_of_awkward_rows(edges, nothing):
     assert language.identify(nothing).count() == 0
     unlabelled = edges.withColumn("lang", edges["score"])
     assert {r["lang_pred"] for r in language.identify(unlabelled).collect()} == {"und"}
+
+
+def test_each_automaton_has_all_characters_of_its_text():
+    rng = np.random.default_rng(3)
+    han, kana, latin = ([chr(first + i) for i in range(n)] for first, n in ((0x4E00, 500), (0x3042, 60), (0x61, 26)))
+    samples = tuple((lang, "".join(rng.choice(letters, 2000))) for lang, letters in (("a", han), ("b", [*kana, *han[:200]]), ("c", latin)))
+    parser = language.Parser(samples)
+    for text in (samples[0][1][100:900], samples[1][1][5:400] + samples[0][1][:50], "abc" + samples[1][1][:9] + "\u00df\u0436", samples[2][1][:700]):
+        got = parser.phrases(parser.codes[np.frombuffer(text.encode("utf-32-le"), np.uint32)], np.array([0]), np.array([len(text)]))
+        for k, (_, learned) in enumerate(samples):
+            want = 0
+            for block in range(0, len(text), language.BLOCK):
+                rest = text[block : block + language.BLOCK]
+                while rest:
+                    n = 1
+                    while n < len(rest) and rest[: n + 1] in learned:
+                        n += 1
+                    want, rest = want + 1, rest[n:]
+            assert got[k, 0] == want
+    assert parser.judge([text[300:700] for _, text in samples])[0] == ["a", "b", "c"]
+
+
+def test_languages_of_long_documents(spark):
+    rows = [(i, text * 900, lang) for i in range(12) for lang, text in (("en", "the dog and the cat "), ("fr", "le chien et le chat "))]
+    docs = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    learned = dict(language.learned_texts(docs))
+    assert {lang: len(text) >= language.SAMPLE_CHARS for lang, text in learned.items()} == {"en": True, "fr": True}
+    assert {r["lang_pred"] for r in language.identify(docs.where("lang = 'fr'"), docs).collect()} == {"fr"}
