@@ -92,19 +92,19 @@ def by_pattern(records: DataFrame, grains: DataFrame, key: str, pattern: str = "
 
 
 def by_prefix(urls: DataFrame, rules: DataFrame, origin: str = "origin", path: str = "path") -> DataFrame:
-    """Each url with its best rule (rule_origin, rule_path, source_id, denied) of the same origin.
+    """Each row of urls with its best rule (rule_path, source_id, denied) of the same origin; rows of equal urls all stay.
 
     A rule's path must be the url's or an ancestor of it. The exact path is best, then the longest, then the smallest source.
+    The rules are ranked once for each origin and path.
     """
-    joined = urls.join(small(rules), F.col(origin) == F.col("rule_origin"), "left")
+    places = urls.select(F.col(origin).alias("_origin"), F.col(path).alias("_path")).where(F.col(origin).isNotNull() & F.col(path).isNotNull()).distinct()
     base = F.rtrim(F.col("rule_path"), F.lit("/"))
-    exact = F.rtrim(F.col(path), F.lit("/")) == base
-    below = F.startswith(F.col(path), F.concat(base, F.lit("/")))
-    ranked = joined.withColumn("_fits", exact | below).withColumn("_exact", exact)
-    best = Window.partitionBy("url").orderBy(F.desc_nulls_last("_fits"), F.desc("_exact"), F.desc(F.length("rule_path")), "source_id")
-    first = ranked.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    keep = [F.when(F.col("_fits"), F.col(c)).alias(c) for c in ("rule_path", "source_id", "denied")]
-    return first.select(*urls.columns, *keep)
+    exact = F.rtrim(F.col("_path"), F.lit("/")) == base
+    below = F.startswith(F.col("_path"), F.concat(base, F.lit("/")))
+    fitting = places.join(small(rules), F.col("_origin") == F.col("rule_origin")).withColumn("_exact", exact).where(exact | below)
+    best = Window.partitionBy("_origin", "_path").orderBy(F.desc("_exact"), F.desc(F.length("rule_path")), "source_id")
+    first = fitting.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("_origin", "_path", "rule_path", "source_id", "denied")
+    return urls.join(first, (F.col(origin) == F.col("_origin")) & (F.col(path) == F.col("_path")), "left").select(*urls.columns, "rule_path", "source_id", "denied")
 
 
 def compare_releases(base: DataFrame, head: DataFrame, key: str, value: str) -> DataFrame:

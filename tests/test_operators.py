@@ -270,3 +270,11 @@ def test_stream(spark, tmp_path, readings):
     once = new_versions(stream, ["station", "metric"], "ts").writeStream.format("memory").queryName("once").option("checkpointLocation", f"{tmp_path}/d").trigger(availableNow=True).start()
     once.awaitTermination(120)
     assert spark.table("once").count() == 3
+
+
+def test_prefix_rules_keep_every_page(spark):
+    pages = [(1, "http://a/x/y", "http://a", "/x/y"), (2, "http://a/x/y", "http://a", "/x/y"), (3, None, None, None), (4, None, None, None), (5, "http://b/x", "http://b", "/x"), (6, "http://a/xy", "http://a", "/xy"), (7, "http://a/x/?q", "http://a", "/x/")]
+    rules = spark.createDataFrame([("http://a", "/x", "s1", False), ("http://a", "/x/y", "s3", True), ("http://a", "/x/y", "s2", False)], "rule_origin string, rule_path string, source_id string, denied boolean")
+    found = jn.by_prefix(spark.createDataFrame(pages, "page_id long, url string, origin string, path string"), rules).collect()
+    assert {(r["page_id"], r["rule_path"], r["source_id"], r["denied"]) for r in found} == {(1, "/x/y", "s2", False), (2, "/x/y", "s2", False), (3, None, None, None), (4, None, None, None), (5, None, None, None), (6, None, None, None), (7, "/x", "s1", False)}
+    assert len(found) == 7
