@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +30,17 @@ class Plan:
     slots: dict[int, list[tuple[int, int, int, int]]]
     sequences: int
 
+    def columns(self) -> np.ndarray:
+        """Rows of keys, first ranks, first sequences, pieces a sequence takes, and offsets, in the order of the keys."""
+        rows = [(length, *slot) for length in sorted(self.slots) for slot in self.slots[length]]
+        length, rank, sequence, each, offset = np.array(rows, np.int64).reshape(-1, 5).T
+        return np.stack([key_of(length, rank), rank, sequence, each, offset])
+
+
+def key_of(length: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """One number by which slots are ordered and looked up; a length has under 2 ** 44 pieces."""
+    return (length << 44) | rank
+
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Best fit, longest first, over counts of lengths.
@@ -69,10 +79,13 @@ def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return Plan(slots, used)
 
 
-def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n ids: one where they fit, else capacity each but for a shorter first."""
-    first = n % capacity or capacity
-    return [(0, n)] if n <= capacity else [(0, first), *((at, capacity) for at in range(first, n, capacity))]
+def pieces_of(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, piece, start, length) of the pieces of texts of so many ids: one where they fit, else capacity each but for a shorter first."""
+    many = -(-counts // capacity)
+    text = np.repeat(np.arange(len(counts)), many)
+    piece = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    first = (counts - (many - 1) * capacity)[text]
+    return text, piece, np.where(piece == 0, 0, first + (piece - 1) * capacity), np.where(piece == 0, first, capacity)
 
 
 def piece_rows(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
@@ -87,19 +100,14 @@ def piece_rows(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep
             texts = batch.column("text")
             for a, b in slices(texts):
                 flat, counts = with_end(*own.encode(texts.slice(a, b - a)), end_id)
-                starts = np.cumsum(counts) - counts
-                rows, cuts = [], []
-                for i, (base, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
-                    for k, (at, length) in enumerate(pieces_of(n, capacity)):
-                        ids = flat[base + at : base + at + length]
-                        rows.append((i, k, at, length, zlib.crc32(ids.astype("<u4").tobytes())))
-                        if keep_ids:
-                            cuts.append(ids.astype(np.int32))
-                i, k, at, length, crc = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-                arrays = [batch.column("doc_id").slice(a, b - a).take(pa.array(i)), pa.array(k.astype(np.int32)), pa.array(at), pa.array(length), pa.array(crc)]
+                text, piece, start, length = pieces_of(counts, capacity)
+                ends = np.cumsum(length)
+                raw = memoryview(flat.astype("<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip((ends - length).tolist(), ends.tolist(), strict=True)]
+                arrays = [batch.column("doc_id").slice(a, b - a).take(pa.array(text)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
-                    arrays.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), np.concatenate(cuts)))
+                    arrays.append(pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), flat.astype(np.int32)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
@@ -132,21 +140,19 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
     pieces = written(piece_rows(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     plan = plan_best_fit(counts, capacity)
-    shared = spark.sparkContext.broadcast(plan.slots)
+    shared = spark.sparkContext.broadcast(plan.columns())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
     @handing_back
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = shared.value
-        firsts = {length: [s[0] for s in own] for length, own in slots.items()}
+        keys, firsts, sequences, each, offsets = shared.value
         for batch in batches:
-            sequences, offsets = [], []
-            for length, rank in zip(batch.column("length").to_pylist(), batch.column("_rank").to_pylist(), strict=True):
-                first, sequence, each, offset = slots[length][bisect.bisect_right(firsts[length], rank) - 1]
-                sequences.append(sequence + (rank - first) // each)
-                offsets.append(offset + (rank - first) % each * length)
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
+            at = np.searchsorted(keys, key_of(length, rank), "right") - 1
+            past = rank - firsts[at]
             kept = [n for n in batch.schema.names if n != "_rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], [*kept, "sequence_id", "offset"])
+            places = [pa.array(sequences[at] + past // each[at]), pa.array(offsets[at] + past % each[at] * length)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *places], [*kept, "sequence_id", "offset"])
 
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return ranked(pieces, parts).select(*pieces.columns, "_rank").mapInArrow(place, schema)

@@ -22,15 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadastra.llm.shared import held, new_folder, open_fs, put_file, table
+from cadastra.llm.shared import arrow_type, handing_back, held, new_folder, open_fs, put_file, table
 from cadastra.llm.tokens import END_ID, encoder, gathered, slices, with_end
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 LEVEL = 3
-#: Chunks that a worker remembers, and bytes of text that it encodes at once.
-CHUNKS = 900_000
-TEXT_BYTES = 16 << 20
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -74,7 +71,7 @@ class PlaneWriter:
         self.waiting, self.n_waiting = [ids[stop:]], len(ids) - stop
 
     def add(self, doc_ids: list, flat: np.ndarray, counts: np.ndarray) -> Iterator[bytes]:
-        self.docs += zip(doc_ids, counts.tolist(), strict=True)
+        self.docs += zip(map(plain, doc_ids), counts.tolist(), strict=True)
         self.waiting.append(flat)
         self.n_waiting += len(flat)
         self.n_ids += len(flat)
@@ -86,6 +83,11 @@ class PlaneWriter:
         yield index + struct.pack("<Q", len(index)) + MAGIC
 
 
+def plain(doc_id):
+    """A document's id as JSON can hold it: whole numbers and null as they are, all else as text."""
+    return doc_id if doc_id is None or isinstance(doc_id, int) else str(doc_id)
+
+
 def read_index(source) -> dict:
     """The index of an open random-access file."""
     size = source.size()
@@ -131,16 +133,17 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte
     """
     schema = "part int, path string, n_docs long, n_ids long, n_bytes long"
 
+    @handing_back
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        writer, path, own = PlaneWriter(kind), f"{folder}/ids-{part:06d}.planes", encoder(tokenizer, CHUNKS)
+        writer, path, own = PlaneWriter(kind), f"{folder}/ids-{part:06d}.planes", encoder(tokenizer)
 
         def content():
             yield MAGIC
-            for batch in gathered(batches, TEXT_BYTES):
+            for batch in gathered(batches):
                 texts = batch.column("text")
-                for a, b in slices(texts, TEXT_BYTES):
+                for a, b in slices(texts):
                     flat, counts = with_end(*own.encode(texts.slice(a, b - a)), end_id)
                     yield from writer.add(batch.column("doc_id").slice(a, b - a).to_pylist(), flat, counts)
             yield from writer.end()
@@ -156,7 +159,7 @@ def read_planes(files: DataFrame, id_type: str = "bigint", keep_ids: bool = Fals
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files, and ids if asked for."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     based = files.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    schema = f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    schema, ids_type = f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids, arrow_type(id_type)
     # the rows are a path each: deal them out, else one task would read all files
     based = based.repartition(max(files.sparkSession.sparkContext.defaultParallelism, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
 
@@ -167,7 +170,7 @@ def read_planes(files: DataFrame, id_type: str = "bigint", keep_ids: bool = Fals
                 with system.open_input_file(local) as source:
                     rows: list[tuple] = []
                     for doc_id, ids in read_documents(source):
-                        rows.append((doc_id, base, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *([ids.astype(np.int32)] * keep_ids)))
+                        rows.append((doc_id, base, len(ids), zlib.crc32(ids.astype("<u4", copy=False)), *([ids.astype(np.int32)] * keep_ids)))
                         base += len(ids)
                         if len(rows) == 4096:
                             yield pack(rows)
@@ -177,8 +180,8 @@ def read_planes(files: DataFrame, id_type: str = "bigint", keep_ids: bool = Fals
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True))
-        ids_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-        arrays = [pa.array(columns[0], ids_type), *(pa.array(c, pa.int64()) for c in columns[1:4]), *([pa.array(columns[4], pa.list_(pa.int32()))] if keep_ids else [])]
+        own = pa.array(columns[0], pa.int64() if any(isinstance(i, int) for i in columns[0]) else pa.string()).cast(ids_type)
+        arrays = [own, *(pa.array(c, pa.int64()) for c in columns[1:4]), *([pa.array(columns[4], pa.list_(pa.int32()))] if keep_ids else [])]
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if keep_ids else [])])
 
     return based.mapInArrow(read, schema)

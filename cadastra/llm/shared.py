@@ -57,8 +57,38 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: The folders made so far that are still there.
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the folders that new_folder() has named; no frame that reads them can be used from then on."""
+    while len(_made) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, the folders named within it: for work whose results are written elsewhere by then."""
+    since = len(_made)
+    try:
+        yield
+    finally:
+        clear(spark, since)
+
+
+def arrow_type(spark_type: str):
+    """The Arrow type of a Spark type in DDL."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DataType
+
+    return to_arrow_type(DataType.fromDDL(spark_type))
 
 
 def held(df: DataFrame) -> DataFrame:
@@ -110,9 +140,12 @@ def handing_back(function):
 
 
 def open_fs(uri: str):
-    """(file system, path) by pyarrow; a bare path is local."""
+    """(file system, path) by pyarrow; a bare path is local, and Spark's names for S3 are pyarrow's one."""
     from pyarrow import fs
 
+    for scheme in ("s3a://", "s3n://"):
+        if uri.startswith(scheme):
+            uri = "s3://" + uri.removeprefix(scheme)
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 

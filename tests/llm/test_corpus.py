@@ -36,6 +36,15 @@ def one_by_one(counts, capacity):
     return len(rooms)
 
 
+def brute_pieces(n, capacity):
+    """(start, length) of each piece, cut from the end."""
+    out = []
+    while n > capacity:
+        n -= capacity
+        out.insert(0, (n, capacity))
+    return [(0, n), *out]
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(5)
     for _ in range(150):
@@ -59,7 +68,7 @@ def test_packed_pieces(spark, edges):
     want = Counter()
     for r in edge_rows():
         ids = [*library.encode(r[1] or "", add_special_tokens=False).ids, 2]
-        for k, (start, length) in enumerate(packing.pieces_of(len(ids), 64)):
+        for k, (start, length) in enumerate(brute_pieces(len(ids), 64)):
             want[r[0], k, start, length, zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())] += 1
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
     by = defaultdict(list)
@@ -75,7 +84,11 @@ def test_packed_pieces(spark, edges):
 
 
 def test_pieces_of():
-    assert packing.pieces_of(5, 10) == [(0, 5)] and packing.pieces_of(20, 10) == [(0, 10), (10, 10)] and packing.pieces_of(23, 10) == [(0, 3), (3, 10), (13, 10)]
+    counts = [5, 20, 1, 23, 10, 11]
+    text, piece, start, length = packing.pieces_of(np.array(counts), 10)
+    want = [(i, k, *p) for i, n in enumerate(counts) for k, p in enumerate(brute_pieces(n, 10))]
+    assert list(zip(text.tolist(), piece.tolist(), start.tolist(), length.tolist(), strict=True)) == want
+    assert brute_pieces(23, 10) == [(0, 3), (3, 10), (13, 10)]
 
 
 def test_packing_nothing(nothing):
@@ -436,7 +449,8 @@ def test_pipeline(spark, small_dir):
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > 0
     rows = corpus_pipeline.run(spark, small_dir)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns)
-    want = sum(len(packing.pieces_of(len(Tokenizer.from_file(BYTE_BPE).encode(r["text"], add_special_tokens=False).ids) + 1, 1024)) for r in docs.collect())
+    library = Tokenizer.from_file(BYTE_BPE)
+    want = sum(len(brute_pieces(len(library.encode(r["text"], add_special_tokens=False).ids) + 1, 1024)) for r in docs.collect())
     assert rows.count() == want
 
 

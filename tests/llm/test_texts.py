@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cadastra.llm import language, planes, quality
@@ -25,6 +27,13 @@ def test_ids_are_those_of_whole_texts(name, small_dir):
     flat, counts = own.encode(pa.array(texts))
     for text, ids in zip(texts, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
         assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids
+    alphabet = [*"abzAZéßÿ×÷ñ \n\t\r\x1c\x85\xa0\u2003\u2028\u3000\u200b.,!?'<|>-_\u201c\u2014\u037e01²½日кر\u0301\u0338\x01\u212aİΣ", "<|endoftext|>", "'s", "'ll", " the", "\n\n", "  ", " \x01 "]
+    rng, narrow = random.Random(4), Encoder(public_tokenizers.path(name), max_chunks=300, window=97)
+    for _ in range(20):  # borders of every kind, windows that end anywhere, chunks forgotten and learned again
+        texts = ["".join(rng.choices(alphabet, k=rng.choice([0, 1, 2, 5, 20, 300]))) for _ in range(50)]
+        for encoder in (own, narrow):
+            flat, counts = encoder.encode(pa.array(["before", *texts]).slice(1))
+            assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     flat, counts = with_end(*own.encode(pa.array(["", None])))
     assert flat.tolist() == [2, 2] and counts.tolist() == [1, 1]
 
@@ -54,6 +63,17 @@ def test_id_files(spark, edges, kind):
     assert order == sorted(order, key=lambda x: -1 if x is None else x)
 
 
+@pytest.mark.parametrize("kind", ["smallint", "decimal(9,2)", "string", "date"])
+def test_id_files_with_other_ids(spark, kind):
+    docs = spark.createDataFrame([(1, "a"), (2, "b c"), (None, "d"), (7, None)], "n int, text string")
+    own = F.date_add(F.lit("2020-01-01").cast("date"), F.col("n")) if kind == "date" else F.col("n").cast(kind)
+    docs = docs.select(own.alias("doc_id"), "text")
+    files = planes.write_planes(docs, new_folder(spark, "t"), public_tokenizers.path("word_bpe_49k.json"))
+    found = planes.read_planes(files, kind)
+    assert found.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert Counter(r["doc_id"] for r in found.collect()) == Counter(r["doc_id"] for r in docs.collect())
+
+
 def test_id_files_of_nothing(spark, nothing):
     files = planes.write_planes(nothing, new_folder(spark, "t"), public_tokenizers.path("word_bpe_49k.json"))
     assert planes.read_planes(files).count() == 0
