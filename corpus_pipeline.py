@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cadastra.llm import exact, mixing, near, packing, quality
-from cadastra.llm.shared import importable, table, written
+from cadastra.llm.shared import importable, new_folder, scratch, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each stage's rows written as Parquet in the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        path = new_folder(spark, f"stage-{name.replace(' ', '-')}")
+        with scratch(spark):  # a stage's own tables go once its rows are written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
