@@ -24,7 +24,9 @@ LONGEST = 8_000
 #: Columns of an automaton's table: its commonest characters, and one for those that its text lacks. Rarer characters of
 #: its text are looked up in a sorted list of their transitions.
 SYMBOLS = 96
-#: A text is parsed in blocks of this many characters; a phrase ends where its block does.
+#: Bytes that the automata's tables may take together: with many languages they have fewer columns.
+TABLE_BYTES = 256 << 20
+#: A text is parsed in blocks of this many characters at once; phrases go on across blocks.
 BLOCK = 512
 UNKNOWN = "und"
 SLICE_CHARS = 4 << 20
@@ -76,7 +78,7 @@ class Parser:
     transitions by such symbols; where there is none, a new phrase begins with it.
     """
 
-    def __init__(self, samples: tuple[tuple[str, str], ...], symbols: int = SYMBOLS):
+    def __init__(self, samples: tuple[tuple[str, str], ...], symbols: int = SYMBOLS, table_bytes: int = TABLE_BYTES):
         texts = {lang: "".join(map(folded, map(ord, text))) for lang, text in samples}
         every = sorted(set().union(*texts.values()))
         code = {c: i for i, c in enumerate(every)}
@@ -86,6 +88,8 @@ class Parser:
             if (i := code.get(folded(cp) if cp < 0x3000 or chr(cp).isalpha() else " ")) is not None:
                 self.codes[cp] = i
         parts, self.roots, self.bits, self.own, self.widths, self.rare = [], [], [], [], [], []
+        # an automaton has at most twice as many states as its text has characters
+        symbols = max(4, min(symbols, table_bytes // (8 * max(1, sum(map(len, texts.values()))))))
         base = 0
         for text in texts.values():
             found: dict[str, int] = {}
@@ -138,29 +142,62 @@ class Parser:
         return got
 
     def phrases(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases per language (rows) and text (columns); text has the codes of all texts, one after another."""
+        """Phrases per language (rows) and text (columns); text has the codes of all texts, one after another.
+
+        All blocks of all texts are parsed at once, each as if a phrase began there. Then each parse is carried on from the
+        end of the block before, side by side with the other, until both are in the same state, from where on they are one.
+        """
         blocks = -(-lengths // BLOCK)
         owner = np.repeat(np.arange(len(lengths)), blocks)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         first = starts[owner] + number * BLOCK
         size = np.minimum(BLOCK, lengths[owner] - number * BLOCK)
         order = np.argsort(-size, kind="stable")
-        first, size = first[order], size[order]
-        many = np.searchsorted(-size, -np.arange(1, BLOCK + 1), "right")  # lanes that have a character at each step
-        counts = np.zeros((len(self.langs), len(first)), np.int32)
+        sorted_first, sorted_size = first[order], size[order]
+        many = np.searchsorted(-sorted_size, -np.arange(1, BLOCK + 1), "right")  # blocks that have a character at each step
+        counts = np.zeros((len(self.langs), len(first)), np.int64)
+        ends = np.zeros((len(self.langs), len(first)), self.table.dtype)
         states = [np.full(len(first), r, self.table.dtype) for r in self.roots]
-        for step in range(int(size[0]) if len(size) else 0):
+        for step in range(int(sorted_size[0]) if len(size) else 0):
             n = many[step]
-            symbols = text[first[:n] + step]
+            symbols = text[sorted_first[:n] + step]
             for lang, state in enumerate(states):
                 got = self.step(lang, state[:n], symbols)
-                counts[lang, :n] += got & 1
+                counts[lang, order[:n]] += got & 1
                 state[:n] = got
         out = np.zeros((len(self.langs), len(lengths)), np.int64)
-        for lang in range(len(self.langs)):
-            out[lang] = np.bincount(owner[order], counts[lang], len(lengths))
+        for lang, state in enumerate(states):
+            ends[lang, order] = state
+            counts[lang] += self._carried_on(lang, text, first, size, number > 0, ends[lang])
+            out[lang] = np.bincount(owner, counts[lang], len(lengths))
         return out
 
+    def _carried_on(self, lang: int, text: np.ndarray, first: np.ndarray, size: np.ndarray, follows: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """How many more phrases each block has when its parse goes on from the block before; alone: the ends of the others."""
+        more, ends = np.zeros(len(first), np.int64), alone.copy()
+        waiting = np.flatnonzero(follows)
+        while len(waiting):  # a second time only for blocks after one that never met its other parse
+            own, other = ends[waiting - 1], np.full(len(waiting), self.roots[lang], alone.dtype)
+            live, found, at_end = np.arange(len(waiting)), np.zeros(len(waiting), np.int64), alone[waiting]
+            step = 0
+            while len(live):
+                over = size[waiting[live]] <= step
+                at_end[live[over]] = own[over]
+                live, own, other = live[~over], own[~over], other[~over]
+                symbols = text[first[waiting[live]] + step]
+                own, other = self.step(lang, own, symbols), self.step(lang, other, symbols)
+                found[live] += (own & 1).astype(np.int64) - (other & 1)
+                apart = own >> 1 != other >> 1
+                live, own, other = live[apart], own[apart], other[apart]
+                step += 1
+            more[waiting] = found
+            changed = waiting[ends[waiting] >> 1 != at_end >> 1]
+            ends[waiting] = at_end
+            following = changed + 1
+            following = following[following < len(first)]
+            waiting = following[follows[following]]
+        return more
+
     def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """(language, score) of non-empty texts: the fewest phrases, each weighed by the bits that point to one."""
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -192,11 +229,11 @@ def learned_texts(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     rows = rows.select("lang", F.substring("text", F.col("piece") * LONGEST + 1, F.lit(LONGEST)).alias("text"), "long", "piece")
     rank = Window.partitionBy("lang", "long").orderBy("piece", F.xxhash64("text"), "text")
     chosen = rows.select("lang", "long", "text", F.row_number().over(rank).alias("n")).where(F.col("n") <= SAMPLE_DOCS)
+    before = Window.partitionBy("lang").orderBy("long", "n").rowsBetween(Window.unboundedPreceding, -1)  # some hundred rows a language
+    chosen = chosen.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("before") < SAMPLE_CHARS)
     texts: dict[str, list[str]] = {}
-    for row in sorted(chosen.collect(), key=lambda r: (r["lang"], r["long"], r["n"])):
-        own = texts.setdefault(row["lang"], [])
-        if sum(map(len, own)) < SAMPLE_CHARS:
-            own.append(row["text"])
+    for row in sorted(chosen.select("lang", "long", "n", "text").collect(), key=lambda r: (r["lang"], r["long"], r["n"])):
+        texts.setdefault(row["lang"], []).append(row["text"])
     return tuple((lang, " ".join(own)) for lang, own in texts.items())
 
 
