@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,13 @@ from cadastra.llm.shared import handing_back, spread_join, table, written
 WHITE = b" \t\n\x0b\x0c\r"
 #: A bucket with more different keys is split.
 CAPACITY = 512
-#: The directory doubles up to 2 ** MAX_DEPTH entries; from there on buckets grow, which costs sorting but no memory.
+#: The directory that the driver holds doubles up to 2 ** MAX_DEPTH entries. A bucket that is still overfull at that depth
+#: is split on by as many more bits as its count asks for, so there is no bound on the number of buckets.
 MAX_DEPTH = 16
 KEY_BITS = 60
-#: A task sends on the texts it has met once they have this size together.
+#: A task sends on the texts it has met once they have this size together, each counting ENTRY_BYTES beside its own.
 HELD_BYTES = 32 << 20
+ENTRY_BYTES = 400
 
 
 def normalised(text: str | None) -> bytes:
@@ -77,15 +80,31 @@ def directory(cells: dict[int, int], capacity: int = CAPACITY, max_depth: int =
     return entries
 
 
-def entries(docs: DataFrame, places: list[int], bits: int) -> DataFrame:
+def bucket_depths(cells: dict[int, int], capacity: int, max_depth: int, bits: int) -> np.ndarray:
+    """How many bits of a key name its bucket, by the first max_depth bits of the key.
+
+    Where a bucket of the directory is as deep as the directory can be, its keys are split on evenly: they are hashes.
+    """
+    places = np.array(directory(cells, capacity, max_depth))
+    depth = len(places).bit_length() - 1
+    spans = np.bincount(places)[places]  # a bucket of less depth stands in 2 ** (depth - its own) places
+    own = (depth - np.log2(spans).round().astype(np.int64)).repeat(1 << (max_depth - depth))
+    for prefix, n in cells.items():
+        if n > capacity:
+            own[prefix] = min(bits, max_depth + math.ceil(math.log2(n / capacity)))
+    return own.astype(np.int8)
+
+
+def entries(docs: DataFrame, depths: np.ndarray, bits: int) -> DataFrame:
     """What the owners get: each task's different texts with their bucket, count and best row.
 
     The best of equal texts is the row with the most code points, then the smallest doc_id; a null id counts as the
     largest. As a task sends a text once, a text that fills a third of the table reaches its owner once a task.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    depth = len(places).bit_length() - 1
-    schema = f"_bucket int, _key long, text_sha256 string, _bytes binary, _n long, _points long, _best {id_type}"
+    cell = len(depths).bit_length() - 1
+    shared = docs.sparkSession.sparkContext.broadcast(depths)  # 2 ** MAX_DEPTH bytes at most
+    schema = f"_bucket long, _key long, text_sha256 string, _bytes binary, _n long, _points long, _best {id_type}"
 
     @handing_back
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +114,12 @@ def entries(docs: DataFrame, places: list[int], bits: int) -> DataFrame:
         def pack() -> pa.RecordBatch:
             shas = [hashlib.sha256(t).hexdigest() for t in met]
             keys = [key_of(s, bits) for s in shas]
-            buckets = [places[key >> (bits - depth)] if depth else places[0] for key in keys]
+            first = np.array(keys, np.int64)
+            own = shared.value[first >> (bits - cell)].astype(np.int64)
+            buckets = (first >> (bits - own)) | (np.int64(1) << own)  # the bits that name it, after a leading 1
             values = list(met.values())
             best = pa.array([v[2] for v in values], batch.column("doc_id").type)
-            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(keys, pa.int64()), pa.array(shas, pa.string()), pa.array(list(met), pa.binary()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64()), best], ["_bucket", "_key", "text_sha256", "_bytes", "_n", "_points", "_best"])
+            return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(keys, pa.int64()), pa.array(shas, pa.string()), pa.array(list(met), pa.binary()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64()), best], ["_bucket", "_key", "text_sha256", "_bytes", "_n", "_points", "_best"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -106,7 +127,7 @@ def entries(docs: DataFrame, places: list[int], bits: int) -> DataFrame:
                 points = len(text or "")
                 if (known := met.get(own)) is None:
                     met[own] = [1, points, doc_id]
-                    size += len(own)
+                    size += len(own) + ENTRY_BYTES
                 else:
                     known[0] += 1
                     if better(points, doc_id, known[1], known[2]):
@@ -126,14 +147,14 @@ def better(points: int, doc_id, other_points: int, other_id) -> bool:
     return doc_id is not None and (other_id is None or doc_id < other_id)
 
 
-def index(found: DataFrame) -> DataFrame:
+def index(found: DataFrame, bits: int = KEY_BITS) -> DataFrame:
     """(_bucket, _key, _chain, text_sha256, keep_id, group_size) of every different text, as the buckets' owners see them.
 
     A task owns whole buckets, which are ranges of keys. It reads its entries in the order of the keys and holds one
     key's chain: an entry joins the chain's text that has the same bytes, or else extends the chain.
     """
     id_type = found.schema["_best"].dataType.simpleString()
-    schema = f"_bucket int, _key long, _chain int, text_sha256 string, keep_id {id_type}, group_size long"
+    schema = f"_bucket long, _key long, _chain int, text_sha256 string, keep_id {id_type}, group_size long"
 
     @handing_back
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +164,7 @@ def index(found: DataFrame) -> DataFrame:
             return [(*place, i, sha, best, n) for i, (_, sha, n, _, best) in enumerate(chain)]
 
         def pack(done: list[tuple]) -> pa.RecordBatch:
-            types = [pa.int32(), pa.int64(), pa.int32(), pa.string(), kind, pa.int64()]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), kind, pa.int64()]
             columns = zip(*done, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["_bucket", "_key", "_chain", "text_sha256", "keep_id", "group_size"])
 
@@ -166,7 +187,12 @@ def index(found: DataFrame) -> DataFrame:
         if chain:
             yield pack(rows())
 
-    owned = found.repartition("_bucket").sortWithinPartitions("_bucket", "_key")
+    # owners are numbered by where a bucket's range of keys begins; keys are hashes, so ranges of equal width are fair
+    owners = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    depth = "(length(bin(_bucket)) - 1)"
+    begins = F.expr(f"shiftleft(_bucket - shiftleft(1L, {depth}), {bits} - {depth})")
+    owner = F.least(F.floor(begins.cast("double") / float(1 << bits) * owners), F.lit(owners - 1)).cast("int")
+    owned = found.repartitionById(owners, owner).sortWithinPartitions("_bucket", "_key")
     return owned.mapInArrow(own, schema)
 
 
@@ -182,8 +208,8 @@ def dedup_exact(docs: DataFrame, capacity: int = CAPACITY, bits: int = KEY_BITS,
     heads = written(headers(docs, bits), "exact-headers")
     prefix = F.shiftright("_key", bits - max_depth).cast("int").alias("prefix")
     counts = heads.select("_key").distinct().groupBy(prefix).agg(F.count(F.lit(1)).alias("n"))
-    places = directory({r["prefix"]: r["n"] for r in counts.collect()}, capacity, max_depth)  # 2 ** max_depth rows at most
-    groups = written(index(entries(docs, places, bits)), "exact-index")
+    depths = bucket_depths({r["prefix"]: r["n"] for r in counts.collect()}, capacity, max_depth, bits)  # 2 ** max_depth rows at most
+    groups = written(index(entries(docs, depths, bits), bits), "exact-index")
     found = spread_join(heads, groups.select("_key", "text_sha256", "keep_id", "group_size", F.lit(True).alias("_found")), ["_key", "text_sha256"], ["doc_id"], "left")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return found.select("doc_id", "keep_id", F.assert_true(F.col("_found").isNotNull()).alias("_none"), "group_size", kept.alias("kept"), "text_sha256", "_points").drop("_none")
@@ -193,14 +219,14 @@ def keep_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact dedup keeps, with docs' columns; of rows that tie in id, length and text, one.
 
     A row's hash and length are computed anew beside it and joined to the kept ones by one shuffle of the rows, on
-    keys that no two rows of different content share.
+    keys that no two rows of different content share. Columns of docs may have any names.
     """
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00null")).alias("_name")
     kept = dedup_exact(docs).where("kept").select(name("doc_id"), F.col("text_sha256").alias("_sha"), "_points").distinct()
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), WHITE.decode(), "").cast("binary"), 256).alias("_sha")
-    own = docs.select("*", name("doc_id"), sha, F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("_points"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_in"), name("doc_id"), sha, F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("_points"))
     keys = ["_name", "_sha", "_points"]
-    return own.join(kept, keys).dropDuplicates(keys).select(*docs.columns)
+    return own.join(kept, keys).dropDuplicates(keys).select(*(F.col("_in")[c].alias(c) for c in docs.columns))
 
 
 def op8_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
