@@ -17,14 +17,19 @@ SCALE = 256
 PIVOTS = 64
 #: A cell of more rows is solved in blocks of about this many, each with a radius of its own.
 BLOCK = 2048
-#: Queries are dealt by hash into chunks of about this many; each chunk gets its own copy of a block that it needs.
+#: Queries are dealt by their nearest pivots into chunks of about this many; each chunk gets its own copy of a block that it needs.
 QUERIES = 4096
+#: So many of a group's smallest distances are known of it at most; a query that needs more goes everywhere.
+SUMMARY = 256
 #: Below this the sums of products are whole numbers that double precision holds exactly.
 EXACT = float(1 << 53)
 
 
 def quantised(column: Column, scale: int = SCALE) -> Column:
-    return F.transform(column, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    """floor(scale * x) of each component; an error where that is no longer a whole number in double precision."""
+    fine = lambda x: F.abs(x) < EXACT
+    own = lambda x: F.when(fine(x), F.floor(x).cast("long")).otherwise(F.raise_error(F.lit(f"a component times {scale} is 2 ** 53 or more")).cast("long"))
+    return F.transform(column, lambda x: own(x.cast("double") * scale))
 
 
 def usable(vectors: DataFrame, column: str) -> DataFrame:
@@ -45,10 +50,12 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of the rows of a and b."""
+    """Exact integer inner products of the rows of a and b; an error where one might pass 64 bits."""
     largest = np.abs(a).max(initial=0.0) * np.abs(b).max(initial=0.0) * a.shape[1]
     if largest < EXACT:
         return (a @ b.T).astype(np.int64)
+    if largest >= 2.0**63:
+        raise OverflowError("inner products may pass 64 bits")
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
@@ -58,26 +65,31 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
     vectors' components are floor(scale * x). Ties go to the smaller id. Rows with a null id, or whose vector is null,
     empty, or has null or non-finite components, take no part. Vectors of unequal length are compared on their common
     components. Rows of the query's own id are never its candidates; queries of equal id and vector are answered once.
+    A component of 2 ** 53 or more, scaled, or an inner product that might pass 64 bits, is an error.
 
-    Equal vectors are first cut to their k + 1 smallest ids, which is all that any query can take of them. The
+    Equal vectors are first cut to the rows of their smallest ids that any query can take: k, and as many as the id of
+    a query may have rows of its own. The
     different vectors are grouped by their nearest pivot (a bounded sample: those of smallest hash), and a group into
-    blocks. A block's pivot product plus radius bounds what it can offer a query; the query's k-th best product with the
-    pivots' own vectors bounds what it needs. A query is sent to just those blocks whose bound reaches its need.
+    blocks. A block's pivot product plus radius bounds what it can offer a query. What a query needs is bounded by the
+    groups' summaries, their smallest distances from the pivot: a vector so near offers the pivot's product less the
+    query's length times that distance at least. A query is sent to just those blocks whose bound reaches its need, and a block is copied to just those
+    chunks of queries that sent it one.
     """
     spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType.simpleString()
     rows = usable(vectors.where(F.col(id_col).isNotNull()), vector_col).select(F.col(id_col).alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"), queries.alias("_query"))
     rows = written(rows, "knn-rows")
     asked = rows.where("_query").select(F.col("vec_id").alias("query_id"), "v").distinct()
+    own_rows = rows.where("_query").groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    enough = k + own_rows  # a query's own rows may come before k others
     few = Window.partitionBy("v").orderBy("vec_id")
-    distinct = rows.select("vec_id", "v", F.row_number().over(few).alias("_n")).where(F.col("_n") <= k + 1)
+    distinct = rows.select("vec_id", "v", F.row_number().over(few).alias("_n")).where(F.col("_n") <= enough)
     distinct = written(distinct.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "knn-distinct")
     chosen = distinct.orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
     width = distinct.agg(F.max(F.size("v"))).first()[0] or 0
     points = np.zeros((len(chosen), width))
     for i, r in enumerate(chosen):
         points[i, : len(r["v"])] = r["v"]
-    owners = [r["ids"] for r in chosen]
     if not chosen:
         return spark.createDataFrame([], f"query_id {id_type}, rank int, vec_id {id_type}, score long")
 
@@ -101,55 +113,94 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
     ringed = data.join(F.broadcast(known), "cell").withColumn("ring", ring).drop("low", "high")
     bounds = [(r["cell"], r["ring"], -(-r["n"] // block), r["radius"]) for r in ringed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius")).collect()]
     parts = spark.createDataFrame([b[:3] for b in bounds], "cell int, ring int, parts long")
-    chunks = max(1, -(-asked.count() // QUERIES))
     blocked = ringed.join(F.broadcast(parts), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts", "distance")
-    blocked = blocked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
+    nearest_of = Window.partitionBy("cell").orderBy("distance")
+    closest = data.select("cell", "distance", F.row_number().over(nearest_of).alias("n")).where(F.col("n") <= min(enough, SUMMARY)).collect()  # SUMMARY rows a pivot at most
+    summary_cells, summaries = np.array([r["cell"] for r in closest]), np.array([r["distance"] for r in closest])
+    block_parts, block_rings = np.array([b[2] for b in bounds]), np.array([b[1] for b in bounds])
     block_cells = np.array([b[0] for b in bounds])
     radii = np.array([b[3] for b in bounds])
 
+    def with_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest(matrix(batch.column("v"), width))[0], pa.int32())], [*batch.schema.names, "cell"])
+
+    asked = written(asked.select("query_id", "v", F.xxhash64("query_id").alias("hash")).mapInArrow(with_cell, f"query_id {id_type}, v array<bigint>, hash long, cell int"), "knn-asked")
+    chunk_of, chunks_of = query_chunks({r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}, points, QUERIES)  # a row a pivot
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Copies each query to the blocks that it needs."""
         for batch in batches:
-            m, ids = matrix(batch.column("v"), width), batch.column("query_id").to_pylist()
-            with_pivots = products(m, points)
-            offers = with_pivots.astype(float)[:, block_cells] + np.sqrt((m**2).sum(1))[:, None] * radii[None, :]
-            take, at = [], []
-            for i, q in enumerate(ids):
-                own = np.sort(np.concatenate([[s] * sum(x != q for x in o) for s, o in zip(with_pivots[i].tolist(), owners, strict=True)]))[::-1]
-                need = own[k - 1] if len(own) >= k else -np.inf
-                for b in np.flatnonzero(offers[i] * (1 + 1e-9) + 1e-6 >= need - abs(need) * 1e-9):
-                    cell, r, n, _ = bounds[b]
-                    take += [i] * n
-                    at += [(cell, r, p) for p in range(n)]
-            if take:
-                index = pa.array(take)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in zip(*at, strict=True)), batch.column("chunk").take(index), batch.column("query_id").take(index), batch.column("v").take(index)], ["cell", "ring", "part", "chunk", "query_id", "v"])
-
-    sent = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")).mapInArrow(send, f"cell int, ring int, part int, chunk int, query_id {id_type}, v array<bigint>")
+            m, own_cell = matrix(batch.column("v"), width), batch.column("cell").to_numpy()
+            chunk = chunk_of[own_cell] + batch.column("hash").to_numpy() % chunks_of[own_cell]
+            with_pivots, length = products(m, points).astype(float), np.sqrt((m**2).sum(1))[:, None]
+            offers = with_pivots[:, block_cells] + length * radii[None, :]
+            least = with_pivots[:, summary_cells] - length * summaries[None, :]
+            need = np.partition(least, -enough, axis=1)[:, -enough] if least.shape[1] >= enough else np.full(len(m), -np.inf)
+            margin = 1e-9 * (np.abs(offers) + np.abs(np.where(np.isfinite(need), need, 0.0))[:, None]) + 1e-6
+            query, block_no = np.nonzero(offers + margin >= need[:, None])
+            many = block_parts[block_no]
+            part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            query, block_no = np.repeat(query, many), np.repeat(block_no, many)
+            index = pa.array(query)
+            places = (block_cells[block_no], block_rings[block_no], part, chunk[query])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in places), batch.column("query_id").take(index), batch.column("v").take(index)], ["cell", "ring", "part", "chunk", "query_id", "v"])
+
+    sent = asked.mapInArrow(send, f"cell int, ring int, part int, chunk int, query_id {id_type}, v array<bigint>")
+
+    keys = ["cell", "ring", "part", "chunk"]
+    copied = copies_of(blocked, sent)
 
     def solve(key: tuple, own: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if own.empty or theirs.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        b = _padded(theirs["v"], width)
+        b, ids = _padded(theirs["v"], width), [x.tolist() for x in theirs["ids"]]
         out = []
         for at in range(0, len(own), 256):
             some = own.iloc[at : at + 256]
             scores = products(_padded(some["v"], width), b)
-            n = min(k + 1, scores.shape[1])  # one more: the query's own vector may be among them
+            n = min(enough, scores.shape[1])  # the query's own vectors may be among them
             cut = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
             for q, line, least in zip(some["query_id"], scores, cut, strict=True):
                 # all vectors that tie with the last one stay: ids decide between them
-                best = [(-int(line[j]), x) for j in np.flatnonzero(line >= least) for x in theirs["ids"].iat[j] if x != q]
+                best = [(-int(line[j]), x) for j in np.flatnonzero(line >= least) for x in ids[j] if x != q]
                 out += [(q, x, -s) for s, x in sorted(best)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    keys = ["cell", "ring", "part", "chunk"]
-    solved = sent.groupBy(*keys).cogroup(blocked.groupBy(*keys)).applyInPandas(solve, f"query_id {id_type}, vec_id {id_type}, score long")
+    solved = sent.groupBy(*keys).cogroup(copied.groupBy(*keys)).applyInPandas(solve, f"query_id {id_type}, vec_id {id_type}, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return solved.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
+def query_chunks(counts: dict[int, int], points: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first chunk, chunks) by cell, from the number of queries in each.
+
+    A cell of more than limit queries has chunks of its own. Smaller ones that are neighbours on a chain from pivot to
+    nearest pivot share one, so that a chunk's queries need much the same blocks.
+    """
+    first, many = np.zeros(len(points), np.int64), np.ones(len(points), np.int64)
+    left, at, number, fill = list(range(len(points))), 0, 0, 0
+    while left:
+        at = min(left, key=lambda i: ((points[i] - points[at]) ** 2).sum())
+        left.remove(at)
+        n = counts.get(at, 0)
+        if fill and fill + n > limit:
+            number, fill = number + 1, 0
+        first[at], many[at] = number, max(1, -(-n // limit))
+        fill += n
+        if many[at] > 1:
+            number, fill = number + int(many[at]), 0
+    return first, many
+
+
+def copies_of(blocked: DataFrame, sent: DataFrame) -> DataFrame:
+    """The blocks' rows, a copy for each chunk that sent their block a query."""
+    wanted = sent.select(F.col("cell").alias("_cell"), F.col("ring").alias("_ring"), F.col("part").alias("_part"), F.col("chunk").alias("_chunk")).distinct()
+    same = (F.col("cell") == F.col("_cell")) & (F.col("ring") == F.col("_ring")) & (F.col("part") == F.col("_part"))
+    return blocked.join(wanted, same).select("cell", "ring", "part", F.col("_chunk").alias("chunk"), "v", "ids")
+
+
 def _padded(vectors: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
