@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm.shared import held, new_folder, open_fs, put_file, spread_join, table
+from cadastra.llm.shared import arrow_type, held, new_folder, open_fs, put_file, spread_join, table
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -23,6 +23,7 @@ DATE = "1970-01-01T00:00:00Z"
 LEVEL = 1
 READ = 1 << 20
 HEADERS = "file string, offset long, page_id {0}, record_type string, record_id string, refers_to_record string, refers_to_page {0}, payload_digest string, payload_bytes long, target string"
+IDS = ("page_id", "refers_to_page")
 
 
 def digest_of(payload: bytes) -> str:
@@ -95,18 +96,23 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:length]
 
 
-def typed(value: str | None, id_type: str):
-    return None if value is None else unclean(value) if id_type == "string" else int(value)
+def header_schema(id_type: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64()}
+    return pa.schema([(n, arrow_type(id_type) if t == "{0}" else kinds[t]) for n, t in (x.split() for x in HEADERS.split(", "))])
 
 
 def arrow_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
+    """Rows with ids as text, cast to the columns' types."""
+    text = pa.schema([(f.name, pa.string() if f.name in IDS else f.type) for f in schema])
+    return pa.RecordBatch.from_pylist(rows, schema=text).cast(schema)
 
 
-def header_schema(id_type: str) -> pa.Schema:
-    own = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    kinds = {"string": pa.string(), "long": pa.int64(), id_type: own}
-    return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in HEADERS.format(id_type).split(", "))])
+def text_of(value) -> str | None:
+    return None if value is None else str(value)
+
+
+def shown(headers: dict[str, str], name: str) -> str | None:
+    return unclean(headers[name]) if name in headers else None
 
 
 def write_responses(pages: DataFrame, folder: str) -> DataFrame:
@@ -129,7 +135,7 @@ def write_responses(pages: DataFrame, folder: str) -> DataFrame:
                     payload = (html or "").encode()
                     digest, rid = digest_of(payload), record_id(f"{folder}/{name}", number)
                     packed = record(response_headers(rid, page_id, url, digest), payload)
-                    rows.append({"file": f"{folder}/{name}", "offset": at, "page_id": page_id, "record_type": "response", "record_id": rid, "payload_digest": digest, "payload_bytes": len(payload), "target": url})
+                    rows.append({"file": f"{folder}/{name}", "offset": at, "page_id": text_of(page_id), "record_type": "response", "record_id": rid, "payload_digest": digest, "payload_bytes": len(payload), "target": url})
                     at, number = at + len(packed), number + 1
                     yield packed
 
@@ -145,8 +151,7 @@ def roles(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     Of equal payloads of at least min_bytes that is the one of the largest page_id; a null page_id counts as the
     smallest, and of equal ids the earliest record (by file and offset) is taken. A shorter payload is its own first.
     """
-    order = F.struct("page_id", F.struct("file", "offset").alias("place"))
-    groups = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max(order).alias("_top"), F.max("page_id").alias("_page"), F.count(F.lit(1)).alias("_n"))
+    groups = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_page"), F.count(F.lit(1)).alias("_n"))
     groups = groups.where("_n > 1").select("payload_digest", "payload_bytes", F.col("_page").alias("_first_page"))
     # among the records of that page_id, the earliest
     tops = spread_join(headers, groups, ["payload_digest", "payload_bytes"], ["file", "offset"]).where(F.col("page_id").eqNullSafe(F.col("_first_page")))
@@ -162,9 +167,12 @@ def write_resolved(headers: DataFrame, folder: str, min_bytes: int = 0) -> DataF
     the new file with fresh headers. A revisit refers to the new record of its payload's response, whose id follows
     from the old one, so no file waits for another.
     """
-    id_type = headers.schema["page_id"].dataType.simpleString()
     judged = roles(headers, min_bytes).select("file", "offset", "record_id", "_first", "_first_page")
-    dealt = judged.repartition("file").sortWithinPartitions("file", "offset")
+    # a task may have much to rewrite for few headers: files are dealt by their number over as many tasks as there may be
+    spark = headers.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    number = F.regexp_extract("file", r"raw-(\d+)\.warc\.gz$", 1).cast("int")
+    dealt = judged.repartitionById(tasks, F.pmod(number, F.lit(tasks))).sortWithinPartitions("file", "offset")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt, current, rows = TaskContext.get().taskAttemptId(), None, []
@@ -182,7 +190,7 @@ def write_resolved(headers: DataFrame, folder: str, min_bytes: int = 0) -> DataF
                     if offset != row["offset"] or headers["WARC-Record-ID"] != row["record_id"]:
                         raise ValueError("headers don't fit their archive")
                     rid, digest = fresh_id(row["record_id"]), headers["WARC-Payload-Digest"].partition(":")[2]
-                    page, url = typed(headers.get("WARC-X-Page-ID"), id_type), unclean(headers["WARC-Target-URI"]) if "WARC-Target-URI" in headers else None
+                    page, url = shown(headers, "WARC-X-Page-ID"), shown(headers, "WARC-Target-URI")
                     if row["_first"] in (None, row["record_id"]):
                         yield record(response_headers(rid, page, url, digest), payload)
                     else:
@@ -222,9 +230,9 @@ def read_headers(files: DataFrame, id_type: str = "bigint", check: bool = True)
                         if check and kind == "response" and digest_of(payload) != digest:
                             raise ValueError(f"{file} at {offset}: the payload has another digest")
                         rows.append({
-                            "file": file, "offset": offset, "page_id": typed(headers.get("WARC-X-Page-ID"), id_type), "record_type": kind, "record_id": headers["WARC-Record-ID"],
-                            "refers_to_record": headers.get("WARC-Refers-To"), "refers_to_page": typed(headers.get("WARC-X-Refers-To-Page"), id_type), "payload_digest": digest,
-                            "payload_bytes": len(payload) if kind == "response" else None, "target": unclean(headers["WARC-Target-URI"]) if "WARC-Target-URI" in headers else None,
+                            "file": file, "offset": offset, "page_id": shown(headers, "WARC-X-Page-ID"), "record_type": kind, "record_id": headers["WARC-Record-ID"],
+                            "refers_to_record": headers.get("WARC-Refers-To"), "refers_to_page": shown(headers, "WARC-X-Refers-To-Page"), "payload_digest": digest,
+                            "payload_bytes": len(payload) if kind == "response" else None, "target": shown(headers, "WARC-Target-URI"),
                         })
                         if len(rows) == 4096:
                             yield arrow_batch(rows, schema)
