@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cadastra.llm.shared import held, table
+from cadastra.llm.shared import held, spread_join, table
 
 #: Weights follow the sources' document counts to this power where no weights are given: it lifts the small sources.
 ALPHA = 0.7
@@ -18,7 +18,7 @@ SEED = 7
 MAX_MEAN = 64.0
 #: P(X > 200) is below 2**-53 for a mean of 64, so the distribution function is 1 in double precision from there on.
 TOP = 200
-#: Up to so many sources the rates are broadcast (some 2 KB each); beyond, the join is left to Spark.
+#: Up to so many sources the rates are broadcast (some 2 KB each); beyond, a source's documents are dealt over parts.
 BROADCAST_SOURCES = 2000
 NO_SOURCE = "\x00null"
 
@@ -68,7 +68,7 @@ def copies(docs: DataFrame, weights: DataFrame | None = None, total: float | Non
     small = means.count() <= BROADCAST_SOURCES
     means = means.select("_source", "draws", "cdf")
     keyed = docs.withColumn("_source", F.coalesce(F.col(source_col), F.lit(NO_SOURCE))).withColumn("_key", row_key(id_col, text_col, seed))
-    joined = keyed.join(F.broadcast(means) if small else means, "_source")
+    joined = keyed.join(F.broadcast(means), "_source") if small else spread_join(keyed, means, ["_source"], ["_key"])
     # md5 is drawn once a draw and kept in an array: in a filter over the terms it would be drawn for each
     numbers = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda d: uniform(F.concat_ws("|", F.col("_key"), d.cast("string"))))
     count = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u)))
@@ -82,11 +82,11 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: float
 
     weights: (source, weight); None: the sources' counts to the power alpha. total: expected rows, None: as many as
     docs has. Every row goes to a partition and to a place in it by hash, so the order is random as a whole and the
-    same on every run. Columns of docs named _copy, _shuffle, _source, _key, _one, draws or cdf are refused.
+    same on every run. Rows equal in id and text get equal counts. Columns of docs may have any names.
     """
-    if taken := {"_copy", "_shuffle", "_source", "_key", "_one", "draws", "cdf"} & set(docs.columns):
-        raise ValueError(f"reserved column names: {sorted(taken)}")
-    return shuffled(copies(docs, weights, total, **more)).select(*docs.columns)
+    source, id_col, text = (more.pop(k, k.removesuffix("_col") if k != "id_col" else "doc_id") for k in ("source_col", "id_col", "text_col"))
+    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_in"), F.col(source).alias("source"), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    return shuffled(copies(inner, weights, total, **more)).select(*(F.col("_in")[c].alias(c) for c in docs.columns))
 
 
 def shuffled(rows: DataFrame) -> DataFrame:
