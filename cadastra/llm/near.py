@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +61,7 @@ def set_ids(values: np.ndarray, counts: np.ndarray) -> list[str | None]:
 
 
 def sketches(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, set_id, bands) of every row; set_id and bands are null for an empty set."""
+    """(doc_id, n_shingles, set_id, bands, text_md5) of every row; set_id and bands are null for an empty set."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     bands = bands_for(percent)
 
@@ -73,9 +75,10 @@ def sketches(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
                 empty = counts == 0
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(places, ROWS).astype(np.int64).reshape(-1)), bands).cast(pa.list_(pa.int64()))
                 keys = pa.array([None if e else k for e, k in zip(empty, keys.to_pylist(), strict=True)], pa.list_(pa.int64())) if empty.any() else keys
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(set_ids(values, counts), pa.string()), keys], ["doc_id", "n_shingles", "set_id", "bands"])
+                md5s = [hashlib.md5((t or "").encode(), usedforsecurity=False).hexdigest() for t in texts.slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(set_ids(values, counts), pa.string()), keys, pa.array(md5s, pa.string())], ["doc_id", "n_shingles", "set_id", "bands", "text_md5"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {id_type}, n_shingles long, set_id string, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {id_type}, n_shingles long, set_id string, bands array<long>, text_md5 string")
 
 
 def name_of(column: str):
@@ -226,6 +229,11 @@ def open_pairs(members: DataFrame, sets: DataFrame, full: DataFrame, labels: Dat
     return dealt.repartition(*cell_of).sortWithinPartitions(*cell_of).mapInArrow(stream, "a long, b long")
 
 
+class JoinedSets(NamedTuple):
+    rows: DataFrame  # doc_id, n_shingles, set_id, text_md5 of every row of the documents
+    tops: DataFrame  # set_id, first_id, component of every set that is not empty
+
+
 def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -237,6 +245,16 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     component_id is the smallest doc_id of the component (null only if all are null); kept: doc_id is component_id. A
     text without words, or null, has the set size 0 and is a component of its own. Rows of equal doc_id each have a row.
     """
+    sets = joined_sets(docs, words, percent)
+    ids = sets.tops.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    by_set = written(spread_join(sets.tops, ids, ["component"], ["set_id"]).select("set_id", "component_id", F.lit(True).alias("_found")), "near-components")
+    out = spread_join(sets.rows.select("doc_id", "n_shingles", "set_id"), by_set, ["set_id"], ["doc_id"], "left")
+    component = F.when(F.col("_found"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def joined_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> JoinedSets:
+    """The rows' sets and the sets' components, as near_components() describes them."""
     docs = docs.select("doc_id", "text")
     rows = written(sketches(docs, words, percent), "near-sketches")
     grouped = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
@@ -255,18 +273,25 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     second = components(contracted).select(F.col("node").alias("component"), F.col("component").alias("_top"))
     everything = sets.select("set_id", "node", "first_id").join(first, "node", "left").select("set_id", "first_id", F.coalesce("component", "node").alias("component"))
     everything = everything.join(second, "component", "left").select("set_id", "first_id", F.coalesce("_top", "component").alias("component"))
-    tops = written(everything, "near-tops")
-    ids = tops.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_set = written(spread_join(tops, ids, ["component"], ["set_id"]).select("set_id", "component_id", F.lit(True).alias("_found")), "near-components")
-    out = spread_join(rows.select("doc_id", "n_shingles", "set_id"), by_set, ["set_id"], ["doc_id"], "left")
-    component = F.when(F.col("_found"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return JoinedSets(rows, written(everything, "near-tops"))
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest, with docs' columns."""
-    kept = near_components(docs, words, percent).where("kept").select(name_of("doc_id").alias("_name")).distinct()
-    return docs.select("*", name_of("doc_id").alias("_name")).join(kept, "_name").select(*docs.columns)
+    """The rows of docs that near dedup keeps, with docs' columns: one of every component.
+
+    That is the row of the smallest doc_id, a null id counting as the largest, and of rows of that id the one whose text
+    has the smallest MD5; of rows equal in both, any one. Rows without words, or with a null text, are linked with nothing
+    and all stay. Columns of docs may have any names.
+    """
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_in"), "doc_id", "text", name_of("doc_id").alias("_name"), F.md5(F.coalesce("text", F.lit(""))).alias("_text"))
+    sets = joined_sets(docs, words, percent)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5"))
+    rows = spread_join(sets.rows.where("n_shingles > 0").select("doc_id", "text_md5", "set_id"), sets.tops, ["set_id"], ["doc_id", "text_md5"])
+    kept = rows.groupBy("component").agg(best.alias("b")).select(name_of("b.doc_id").alias("_name"), F.col("b.text_md5").alias("_text")).distinct()
+    wordy = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    chosen = own.where(wordy).join(kept, ["_name", "_text"]).dropDuplicates(["_name", "_text"])
+    both = own.where(~wordy).select("_in").unionByName(chosen.select("_in"))
+    return both.select(*(F.col("_in")[c].alias(c) for c in docs.columns))
 
 
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

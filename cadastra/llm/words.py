@@ -14,17 +14,20 @@ IS_WHITE = np.zeros(256, bool)
 IS_WHITE[list(WHITE)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+KEPT_POWERS = 1 << 23
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. n - 1 modulo 2 ** 64; kept, as every batch needs them."""
+    """base ** 0 .. n - 1 modulo 2 ** 64; kept, as every batch needs them, but for those of a very long text."""
     known = _powers.get(base)
     if known is None or len(known) < n:
         size = 1 << max(16, (n - 1).bit_length())
         known = np.full(size, base, np.uint64)
         known[0] = 1
-        _powers[base] = known = np.multiply.accumulate(known)
+        known = np.multiply.accumulate(known)
+        if size <= KEPT_POWERS:
+            _powers[base] = known
     return known[:n]
 
 
