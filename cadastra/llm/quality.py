@@ -125,8 +125,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.maximum(size, 1), per_text
 
 
-def marginals(scores: np.ndarray, per_text: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of each line by forward-backward, and the expected number of moves between states in all.
+def marginals(scores: np.ndarray, per_text: np.ndarray, moves: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of each line by forward-backward, and the expected number of moves between states, each text's by its weight.
 
     scores: log-odds of good from the features; moves: 2 x 2 log-weights from state to state (1 is good). The texts
     advance together, line by line, those with most lines first, so each step is a few array operations.
@@ -148,7 +148,7 @@ def marginals(scores: np.ndarray, per_text: np.ndarray, moves: np.ndarray) -> tu
             good, bad = good * (q * weight[1, 1] + (1 - q) * weight[0, 1]), q * weight[1, 0] + (1 - q) * weight[0, 0]
         p = good / (good + bad)
         ahead[at] = p
-    expected = np.zeros((2, 2))
+    expected, share = np.zeros((2, 2)), np.ones(len(order)) if weights is None else weights[order]
     for t in range(steps - 2, -1, -1):
         n = active[t + 1]
         at = first[:n] + t
@@ -159,7 +159,7 @@ def marginals(scores: np.ndarray, per_text: np.ndarray, moves: np.ndarray) -> tu
         total = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
         for i in (0, 1):
             for j in (0, 1):
-                expected[i, j] += (joint[i][j] / total).sum()
+                expected[i, j] += (joint[i][j] / total * share[:n]).sum()
         back[at] = to_good / (to_good + to_bad)
     both = ahead * back
     return both / (both + (1 - ahead) * (1 - back)), expected
@@ -203,17 +203,18 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 2, steps: int = 120,
     y = labels.astype(float)[owner]
     field = Field(np.zeros(x.shape[1]), np.zeros((2, 2)))
     joined = owner[1:] == owner[:-1]
-    per_line = np.minimum(1.0, 8.0 / per_text)[owner]  # a long document counts as eight lines
+    per_doc = np.minimum(1.0, 8.0 / per_text)  # a long document counts as eight lines
+    per_line = per_doc[owner]
     for k in range(rounds):
         if k:
             called = (x @ field.weights > 2.0) & (y == 0)
             bad_bytes = np.bincount(owner, np.where(called, 0, size) * (y == 0), len(per_text))
             y = np.where(called & (bad_bytes[owner] > 0), 1.0, y)
-        seen = np.array([[((y[:-1] == i) & (y[1:] == j) & joined).sum() for j in (0, 1)] for i in (0, 1)], float)
+        seen = np.array([[(per_line[1:] * ((y[:-1] == i) & (y[1:] == j) & joined)).sum() for j in (0, 1)] for i in (0, 1)])
         first, second = np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)
         for step in range(1, steps + 1):
-            good, expected = marginals(x @ field.weights, per_text, field.moves)
-            slope = np.concatenate([x.T @ ((y - good) * per_line) / per_line.sum() - decay * field.weights, (seen - expected).ravel() / max(1, joined.sum())])
+            good, expected = marginals(x @ field.weights, per_text, field.moves, per_doc)
+            slope = np.concatenate([x.T @ ((y - good) * per_line) / per_line.sum() - decay * field.weights, (seen - expected).ravel() / per_line.sum()])
             first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
             move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
             field.weights = field.weights + move[:-4]
@@ -255,7 +256,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
 
 
 def score_documents(docs: DataFrame, field: Field, cut: float = CUT) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_lines, good_lines) of every row of docs, from its whole text alone."""
+    """(doc_id, held_out, score, predicted, n_lines, good_lines) of every row of docs, from its whole text alone.
+
+    A null or empty text is one empty line and has the score of that. Rows of equal or null doc_id each have a row. Other
+    columns of docs are not read.
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     @handing_back
@@ -276,7 +281,10 @@ def scored(batch: pa.RecordBatch, field: Field, cut: float) -> pa.RecordBatch:
 
 
 def keep_good(docs: DataFrame, field: Field, cut: float = CUT) -> DataFrame:
-    """The rows of docs whose score reaches cut, with docs' columns. Rows are judged where they are: nothing is shuffled."""
+    """The rows of docs whose score reaches cut, with docs' columns. Rows are judged where they are: nothing is shuffled.
+
+    A null or empty text is one empty line. Equal rows stay or go together. Columns of docs may have any names.
+    """
     schema = docs.schema
 
     @handing_back
@@ -290,7 +298,10 @@ def keep_good(docs: DataFrame, field: Field, cut: float = CUT) -> DataFrame:
 
 
 def label_lines(docs: DataFrame, field: Field) -> DataFrame:
-    """(doc_id, line, start, length, p_good, good): every line of every text, start and length in bytes of UTF-8."""
+    """(doc_id, line, start, length, p_good, good): every line of every text, start and length in bytes of UTF-8.
+
+    A null or empty text is one empty line. Rows of equal or null doc_id each have their lines.
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     @handing_back
