@@ -116,8 +116,22 @@ def test_mix_of_awkward_rows(spark, edges, nothing):
     assert mixing.mix_sources(nothing).count() == 0
     nothing_weighs = spark.createDataFrame([("a", -1.0), ("b", None)], "source string, weight double")
     assert mixing.mix_sources(edges, nothing_weighs).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix_sources(edges.withColumn("_copy", F.lit(1)))
+    crowded = clashing(edges)
+    again = mixing.mix_sources(crowded, total=500)
+    assert again.columns == crowded.columns
+    assert counts == Counter((r["doc_id"], r["text"]) for r in again.collect())
+
+
+def test_mix_with_too_many_sources_to_broadcast(edges, monkeypatch):
+    want = Counter((r["doc_id"], r["text"]) for r in mixing.mix_sources(edges, total=500).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert Counter((r["doc_id"], r["text"]) for r in mixing.mix_sources(edges, total=500).collect()) == want
+
+
+def clashing(docs):
+    """docs with columns named as operators name theirs within."""
+    names = ["_name", "_sha", "_points", "_in", "_text", "_copy", "_shuffle", "_source", "_key", "_one", "draws", "cdf", "_salt", "component", "set_id", "node", "host", "rule", "_url", "_page", "_score", "_gram"]
+    return docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
 
 
 # --- exact dedup
@@ -142,6 +156,24 @@ def test_exact_keeps_one_row_of_each_group(edges, nothing):
     texts = [exact.normalised(r["text"]) for r in kept.collect()]
     assert sorted(texts) == sorted({exact.normalised(r[1]) for r in edge_rows()})
     assert exact.dedup_exact(nothing).count() == 0 and exact.keep_rows(nothing).count() == 0
+    again = exact.keep_rows(clashing(edges))
+    assert again.columns == clashing(edges).columns
+    assert sorted(exact.normalised(r["text"]) for r in again.collect()) == sorted(texts)
+
+
+def test_buckets_are_split_beyond_the_directory():
+    cells = {0: 4, 1: 100, 2: 0, 3: 5}
+    depths = exact.bucket_depths(cells, capacity=5, max_depth=2, bits=60)
+    assert depths.tolist() == [2, 2 + 5, 1, 1]  # 100 / 2 ** 5 keys a bucket; the last two cells are one bucket of 5
+    assert exact.bucket_depths({}, 5, 2, 60).tolist() == [0] * 4
+    assert max(exact.bucket_depths({1: 10**6}, 1, 2, 8)) == 8
+
+
+def test_exact_with_a_small_directory(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id div 2) AS text").repartition(3)
+    for max_depth in (0, 1, 3):
+        rows = exact.dedup_exact(docs, capacity=4, max_depth=max_depth).collect()
+        assert all(r["keep_id"] == r["doc_id"] // 2 * 2 and r["group_size"] == 2 for r in rows) and len(rows) == 3000
 
 
 def test_directory_splits_overfull_buckets():
@@ -228,6 +260,18 @@ def test_near_of_awkward_rows(edges, nothing):
     assert near.near_components(nothing).count() == 0
     kept = near.keep_first(edges)
     assert kept.columns == edges.columns and near.keep_first(nothing).count() == 0
+    stay = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert stay == Counter((r["doc_id"], r["text"]) for r in near.keep_first(clashing(edges)).select("doc_id", "text").collect())
+    # one row of each component, and every row without words
+    components = {c for _, n, c in want if n}
+    assert sum(stay.values()) == len({(n, c) for _, n, c in want if n and c is None} | {c for c in components if c is not None}) + sum(k for (_, n, _), k in want.items() if not n)
+
+
+def test_near_keeps_rows_not_ids(spark):
+    one, two = "the river was calm and the people of the town walked home", "a wholly other text of which no shingle is in the first one"
+    rows = [(1, one), (None, one), (1, two), (None, two), (None, "and a third text without any id but with words enough"), (7, one + " again and then again with a good many other words behind")]
+    kept = Counter((r["doc_id"], r["text"]) for r in near.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == Counter([(1, one), (1, two), rows[4], rows[5]])
 
 
 def test_near_at_another_limit(spark):
@@ -313,6 +357,45 @@ def test_top_k_is_that_of_all_pairs(spark):
         assert {tuple(r) for r in found} == want and len(found) == len(want)
 
 
+def test_top_k_with_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0])] + [(0, [5.0 + i, 0.0]) for i in range(9)] + [(i, [4.0 - i / 100, 0.0]) for i in range(1, 20)] + [(60, [9.0, 0.0])] * 3
+    found = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 5, block=4, pivots=3).collect()
+    queries = {tuple(v) for i, v in rows if i == 0}
+    pairs = sorted((-sum(int(256 * a) * int(np.floor(256 * b)) for a, b in zip(q, v, strict=True)), i) for q in queries for i, v in rows if i != 0)[:5]
+    assert [(r["vec_id"], -r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == [(i, s) for s, i in pairs]
+    one = [(0, [1.0, 0.0]), (0, [1.0, 0.0])] + rows[10:]
+    found = knn.top_k(spark.createDataFrame(one, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 5, block=4, pivots=3).collect()
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == [60, 60, 60, 1, 2]
+    same = [(0, [1.0])] * 8 + [(i, [1.0]) for i in range(1, 9)]
+    assert [r["vec_id"] for r in sorted(knn.top_k(spark.createDataFrame(same, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 5).collect(), key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]
+
+
+def test_top_k_refuses_what_it_cannot_hold(spark):
+    for big in (1e30, 2.0**46, 2.0**40):
+        with pytest.raises(Exception, match="2 \\*\\* 53|64 bits"):
+            knn.top_k(spark.createDataFrame([(0, [big] * 3), (1, [big] * 3)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 5).collect()
+
+
+def test_blocks_go_to_those_who_asked(spark):
+    blocked = spark.createDataFrame([(c, r, 0, [c], [c * 10 + i]) for c in range(3) for r in range(2) for i in range(4)], "cell int, ring int, part int, v array<long>, ids array<long>")
+    sent = spark.createDataFrame([(0, 0, 0, 5, 1), (0, 0, 0, 5, 2), (0, 0, 0, 6, 3), (2, 1, 0, 7, 4)], "cell int, ring int, part int, chunk int, query_id long")
+    copied = Counter((r["cell"], r["ring"], r["chunk"]) for r in knn.copies_of(blocked, sent).collect())
+    assert copied == {(0, 0, 5): 4, (0, 0, 6): 4, (2, 1, 7): 4}
+
+
+def test_few_blocks_are_needed(spark, monkeypatch):
+    """Queries near their own cluster reach its blocks only."""
+    rng, seen = np.random.default_rng(1), []
+    centres = 40 * np.eye(16)
+    rows = [(i, (centres[i % 16] + rng.normal(size=16)).tolist()) for i in range(1600)]
+    own = knn.copies_of
+    monkeypatch.setattr(knn, "QUERIES", 4)
+    monkeypatch.setattr(knn, "copies_of", lambda blocked, sent: seen.append((blocked.count(), own(blocked, sent).count(), sent.select("chunk").distinct().count())) or own(blocked, sent))
+    assert knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).count() == 160
+    all_rows, copied, chunks = seen[0]
+    assert chunks > 3 and copied < all_rows * chunks / 2
+
+
 def test_top_k_of_few(spark):
     two = spark.createDataFrame([(0, [1.0]), (50, [2.0])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in knn.top_k(two, F.col("vec_id") % 50 == 0, 5).collect()} == {(0, 1, 50, 256 * 512), (50, 1, 0, 256 * 512)}
@@ -342,6 +425,15 @@ def test_archives_round_trip(spark):
     assert sum(r["record_type"] == "revisit" for r in small) == 2  # the long pair and the two without id
 
 
+@pytest.mark.parametrize("kind", ["smallint", "decimal(9,2)", "string"])
+def test_archives_of_other_ids(spark, kind):
+    pages = spark.createDataFrame([(1, "same"), (2, "same"), (None, "x"), (3, None)], "n int, html string").select(F.col("n").cast(kind).alias("page_id"), F.lit("u").alias("url"), "html")
+    found = warc.resolved(warc.read_headers(warc.archive_pages(pages, new_folder(spark, "t")), kind))
+    assert found.schema["page_id"].dataType == pages.schema["page_id"].dataType
+    rows = {None if r["page_id"] is None else int(r["page_id"]): None if r["refers_to"] is None else int(r["refers_to"]) for r in found.collect()} if kind != "string" else {r["page_id"] and int(r["page_id"]): r["refers_to"] and int(r["refers_to"]) for r in found.collect()}
+    assert rows == {1: 2, 2: None, None: None, 3: None}
+
+
 def test_damaged_archive():
     whole = warc.record([("WARC-Type", "response")], b"abc")
     import io
@@ -379,16 +471,18 @@ def test_url_rules_and_ratio(spark, small_dir):
         assert r["verdict"] == verdict if rule else r["verdict"] in ("allow", "block")
 
 
-def test_url_models_against_counting(spark):
-    labelled = [("a.com/x", True), ("a.com/y", True), ("b.net/q", False), ("b.net/qq", False), ("b.org/q", False)]
-    model = urls.ratio_model(spark.createDataFrame(labelled, "_url string, _accept boolean"), order=2)
+def counted(labelled, order):
     counts = {True: Counter(), False: Counter()}
     for url, good in labelled:
         text = urls.START + url
         for at in range(1, len(text)):
-            for n in range(1, min(3, at + 1) + 1):
+            for n in range(1, min(order + 1, at + 1) + 1):
                 counts[good][text[at - n + 1 : at + 1]] += 1
-    kept = set(counts[True]) | set(counts[False])
+    return counts
+
+
+def log_ratio(counts, gram):
+    """Of the interpolated models, for any last character after any context."""
 
     def p(good, gram):
         if gram == "":
@@ -396,14 +490,59 @@ def test_url_models_against_counting(spark):
         total = sum(c for g, c in counts[good].items() if len(g) == len(gram) and g[:-1] == gram[:-1])
         return (counts[good][gram] + urls.STRENGTH * p(good, gram[1:])) / (total + urls.STRENGTH)
 
-    found = {r["_gram"]: r["_value"] for r in model.collect()}
-    assert set(found) == kept
+    return np.log(p(True, gram) / p(False, gram))
+
+
+def url_score(counts, url, order):
+    text = urls.START + url
+    return sum(log_ratio(counts, text[max(0, at - order) : at + 1]) for at in range(1, len(text))) / len(url) if url else 0.0
+
+
+def test_url_models_against_counting(spark):
+    labelled = [("a.com/x", True), ("a.com/y", True), ("b.net/q", False), ("b.net/qq", False), ("b.org/q", False)]
+    model = urls.ratio_model(spark.createDataFrame(labelled, "_url string, _accept boolean"), order=2)
+    counts = counted(labelled, 2)
+    found = {r["_gram"]: r["_value"] for r in model.where("_kind = 'g'").collect()}
+    assert set(found) == set(counts[True]) | set(counts[False])
     for gram, value in found.items():
-        assert np.isclose(value, np.log(p(True, gram) / p(False, gram)))
-    scored = {r["_url"]: r["_score"] for r in urls.scored(spark.createDataFrame([("a.com/q",), ("",), ("ZZ",)], "_url string"), model, order=2).collect()}
-    text = urls.START + "a.com/q"
-    want = [next((found[g] for n in (3, 2, 1) if at >= n - 1 and (g := text[at - n + 1 : at + 1]) in found), 0.0) for at in range(1, len(text))]
-    assert np.isclose(scored["a.com/q"], sum(want) / 7) and scored[""] == 0 and scored["ZZ"] == 0
+        assert np.isclose(value, log_ratio(counts, gram))
+    asked = ["a.com/q", "", "ZZ", "b.net/xx", "a.cz", "qqqq", "\u00fc", "a.\u00fcm/x"]
+    scored = {r["_url"]: r["_score"] for r in urls.scored(spark.createDataFrame([(u,) for u in asked], "_url string"), model, order=2).collect()}
+    for url in asked:
+        assert np.isclose(scored[url], url_score(counts, url, 2)), url
+
+
+def test_url_verdicts_are_those_of_plain_models(spark):
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(2, 7)))
+    rows = [f"http://{word('abcde')}.com/{word('abcxyz')}" for _ in range(60)] + [f"http://{word('vwxyz')}.net/{rng.choice(['es', 'fr'])}/{word('uvwabc')}" for _ in range(60)]
+    rows += [f"http://{word('abcdevwxyz')}.org/{word('abcuvw')}" for _ in range(40)] + ["http://q.info", "", None, "no scheme", "http://"]
+    pages = clashing(spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string"))
+    result = urls.filter_urls(pages)
+    assert set(result.columns) == {*pages.columns, *urls.OWN} and len(result.columns) == len(set(result.columns))
+    found = {r["page_id"]: r for r in result.collect()}
+    spell = lambda u: re.sub("^[^:]*://", "", u or "").lower()
+    judged = [(spell(u), *brute_rule(*brute_parts(u))) for u in rows]
+    labelled = [(u, verdict == "allow") for u, rule, verdict in judged if rule]
+    apart = lambda u: zlib.crc32(u.encode()) % 5 == 0
+    counts = counted([x for x in labelled if not apart(x[0])], urls.ORDER)
+    held = [(url_score(counts, u, urls.ORDER), good) for u, good in labelled if apart(u)]
+    bins = sorted({int(np.floor(s / urls.BIN)) for s, _ in held})
+    good, bad = sum(g for _, g in held), sum(not g for _, g in held)
+    assert good and bad
+    # every cut between two bins, and one above all: the middle one of the best, each between its bins
+    cuts = [(bins[0], bins[0])] + [(a + 1, b) for a, b in zip(bins, bins[1:], strict=False)]
+    right = [(sum(g and np.floor(s / urls.BIN) >= c[1] for s, g in held) / good + sum(not g and np.floor(s / urls.BIN) < c[1] for s, g in held) / bad) for c in cuts]
+    best = [c for c, r in zip(cuts, right, strict=True) if r > max(right) - 1e-9]
+    cut = (bins[-1] + 1) * urls.BIN if max(right) < 1 else sum(best[len(best) // 2]) / 2 * urls.BIN
+    for i, (u, rule, verdict) in enumerate(judged):
+        r = found[i]
+        assert r["rule"] == rule
+        if rule:
+            assert (r["verdict"], r["score"]) == (verdict, None)
+        else:
+            score = url_score(counts, u, urls.ORDER)
+            assert np.isclose(r["score"], score) and r["verdict"] == ("allow" if score >= cut else "block")
 
 
 def test_url_filter_learns(spark):
@@ -422,8 +561,8 @@ def test_url_model_keeps_every_gram(spark):
     assert len(every) > 150_000
     frame = spark.createDataFrame(labelled, "_url string, _accept boolean")
     model = urls.ratio_model(frame)
-    assert model.count() == len(every)
-    value = {r["_gram"]: r["_value"] for r in model.collect()}
+    assert model.where("_kind = 'g'").count() == len(every)
+    value = {r["_gram"]: r["_value"] for r in model.where("_kind = 'g'").collect()}
     for r in urls.scored(frame.limit(50), model).collect():
         t = urls.START + r["_url"]
         assert np.isclose(r["_score"], sum(value[t[max(0, at - 4) : at + 1]] for at in range(1, len(t))) / 60)

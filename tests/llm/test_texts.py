@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -93,6 +94,79 @@ def test_marginals_are_those_of_all_labellings():
         assert np.isclose(expected.sum(), n - 1)
 
 
+def plain_features(text):
+    """Each line's features, its neighbours', and whether it is the first or last, from its bytes."""
+    own = []
+    lines = (text or "").encode().split(b"\n")
+    for line in lines:
+        n, count = max(1, len(line)), {k: sum(line.count(bytes([b])) for b in members) for k, members in quality.CLASSES.items()}
+        letters, words, spaced = count["upper"] + count["lower"], count["blank"] + 1, line.split()
+        upper, noise = count["upper"] / max(1, letters), count["noise"] / n
+        own.append([
+            not line, np.log1p(len(line)) / 8, upper, upper > 0.6, min(1, 5 * noise), noise > 0.04, min(1, count["pipe"] / words), count["pipe"] / words > 0.2,
+            min(1, count["bang"] / words), count["bang"] / words > 0.2, count["digit"] / n, min(1, 4 * count["stop"] / n), letters / n, min(2, n / words / 10),
+            line.endswith((b"|", b">")), len(line) > 400, sum(a == b for a, b in zip(spaced, spaced[1:], strict=False)) / words,
+        ])
+    none = [0.0] * quality.OWN
+    rows = [[*own[i], *(own[i - 1] if i else none), *(own[i + 1] if i + 1 < len(own) else none), i == 0, i == len(own) - 1, 1] for i in range(len(own))]
+    return np.array(rows, float), [max(1, len(line)) for line in lines]
+
+
+def plain_score(text, field):
+    """The document's score from all labellings of its lines."""
+    x, sizes = plain_features(text)
+    odds = np.clip(x @ field.weights, -30, 30)
+    total, good = 0.0, np.zeros(len(odds))
+    for y in itertools.product((0, 1), repeat=len(odds)):
+        w = np.exp(sum(o for o, v in zip(odds, y, strict=True) if v) + sum(field.moves[a, b] for a, b in zip(y, y[1:], strict=False)))
+        total, good = total + w, good + w * np.array(y)
+    mean = min(1 - 1e-4, max(1e-4, float(np.dot(good / total, sizes) / sum(sizes))))
+    return 1 / (1 + np.exp(-np.clip(field.slope * np.log(mean / (1 - mean)) + field.shift, -40, 40)))
+
+
+def test_quality_scores_are_those_of_all_labellings(spark):
+    rng = np.random.default_rng(6)
+    lines = ["The river was calm, and the people went home.", "BUY NOW!!! | $$$ | CLICK HERE | 100% |", "", "a a a a b", "Ünïcode líne, 12:30 ...", "x" * 450, "> quoted <b>", "the the end\t|"]
+    rows = [(i, "\n".join(rng.choice(lines, rng.integers(1, 9)))) for i in range(60)] + [(100, None), (101, ""), (None, "no id\nat all"), (102, "\n\n"), (102, "same id")]
+    field = quality.Field(rng.normal(size=3 * quality.OWN + 3) / 3, rng.normal(size=(2, 2)), 0.8, 0.1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r["doc_id"] is None, r["doc_id"], r["score"], r["predicted"], r["held_out"], r["n_lines"]) for r in quality.score_documents(docs, field).collect()), key=repr)
+    want = sorted(((i is None, i, plain_score(t, field), 0, zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0, (t or "").count("\n") + 1) for i, t in rows), key=repr)
+    assert len(found) == len(want)
+    for f, w in zip(found, want, strict=True):
+        assert (f[0], f[1], f[4], f[5]) == (w[0], w[1], w[4], w[5]) and np.isclose(f[2], w[2]) and f[3] == (f[2] >= 0.3)
+
+
+def test_fit_goes_up_the_likelihood():
+    """The gradient that the field learns by is that of the weighed log likelihood of the labelled lines."""
+    rng = np.random.default_rng(8)
+    per_text, share = np.array([3, 1, 4]), np.array([1.0, 0.5, 0.25])
+    scores, moves, y = rng.normal(size=8), rng.normal(size=(2, 2)), rng.integers(0, 2, 8)
+
+    def likelihood(scores, moves):
+        out, at = 0.0, 0
+        for n, w in zip(per_text, share, strict=True):
+            value = lambda y, s: sum(a for a, v in zip(s, y, strict=True) if v) + sum(moves[a, b] for a, b in zip(y, y[1:], strict=False))
+            own = scores[at : at + n]
+            out += w * (value(y[at : at + n], own) - np.log(sum(np.exp(value(z, own)) for z in itertools.product((0, 1), repeat=int(n)))))
+            at += n
+        return out
+
+    good, expected = quality.marginals(scores, per_text, moves, share)
+    owner = np.repeat(np.arange(3), per_text)
+    joined = owner[1:] == owner[:-1]
+    step = 1e-6
+    for i in range(8):
+        moved = scores.copy()
+        moved[i] += step
+        assert np.isclose((likelihood(moved, moves) - likelihood(scores, moves)) / step, (y[i] - good[i]) * share[owner[i]], atol=1e-4)
+    for a, b in itertools.product((0, 1), repeat=2):
+        moved = moves.copy()
+        moved[a, b] += step
+        seen = (share[owner[1:]] * ((y[:-1] == a) & (y[1:] == b) & joined)).sum()
+        assert np.isclose((likelihood(scores, moved) - likelihood(scores, moves)) / step, seen - expected[a, b], atol=1e-4)
+
+
 def test_lines_of_texts():
     data, starts, ends, per_text = quality.lines_of(pa.array(["a\nbc\n", None, "", "é"]))
     assert per_text.tolist() == [3, 1, 1, 1]
@@ -150,13 +224,59 @@ def test_automaton_has_all_substrings():
         return True
 
     subs = {tuple(text[i:j]) for i in range(len(text)) for j in range(i, len(text) + 1)}
-    import itertools
-
     for n in range(1, 5):
         for word in itertools.product(range(3), repeat=n):
             assert has(word) == (word in subs)
 
 
+def longest_matches(text, learned):
+    """Phrases of the greedy parse: each the longest match from its start on, one character at least."""
+    at = phrases = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in learned:
+            n += 1
+        at, phrases = at + n, phrases + 1
+    return phrases
+
+
+def test_phrases_go_on_across_blocks():
+    rng = np.random.default_rng(9)
+    samples = (("a", "".join(rng.choice(list("ab "), 900))), ("b", "ab" * 600), ("c", "".join(rng.choice(list("abcd"), 300))))
+    parser = language.Parser(samples)
+    texts = ["".join(rng.choice(list("abc "), n)) for n in (1, 511, 512, 513, 2000, 5000)] + ["ab" * 1500, samples[0][1][:700] * 3, "b" + samples[1][1] + "ba" * 900, ""]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    lengths = np.array(list(map(len, texts)))
+    got = parser.phrases(parser.codes[points], np.cumsum(lengths) - lengths, lengths)
+    assert got.tolist() == [[longest_matches(t, learned) for t in texts] for _, learned in samples]
+    few = language.Parser(samples, table_bytes=1)  # the fewest columns: most symbols are searched for
+    assert few.phrases(few.codes[points], np.cumsum(lengths) - lengths, lengths).tolist() == got.tolist()
+
+
+def test_languages_and_scores_are_those_of_plain_parsing(spark):
+    rng = np.random.default_rng(5)
+    scripts = {"am": 0x1200, "ar": 0x0627, "el": 0x03B1, "en": 0x61, "he": 0x05D0, "hi": 0x0905, "hy": 0x0561, "ja": 0x3042, "ka": 0x10D0, "ko": 0xAC00, "ru": 0x0430, "th": 0x0E01, "zh": 0x4E00}
+    letters = {lang: [c for i in range(400 if lang in ("zh", "ko") else 24) if (c := chr(first + i)).isalpha()] for lang, first in scripts.items()}
+    words = {lang: ["".join(rng.choice(own, rng.integers(1, 6))) for _ in range(150)] for lang, own in letters.items()}
+    rows = [(i * 20 + k, " ".join(rng.choice(words[lang], rng.choice([3, 20, 60]))), lang) for k, lang in enumerate(scripts) for i in range(20)]
+    rows += [(9000, "12 !? 3", "en"), (9001, None, "en"), (9002, "\u16a0\u16a1\u16a2", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = {lang: "".join(language.folded(ord(c)) for c in text) for lang, text in language.learned_texts(docs)}
+    found = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    right = Counter()
+    for doc_id, text, lang in rows:
+        r = found[doc_id]
+        assert r["held_out"] == (zlib.crc32(str(doc_id).encode()) % 5 == 0)
+        if not text or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        folded = "".join(language.folded(ord(c)) for c in text)
+        needs = sorted((longest_matches(folded, learned) * np.log2(max(2, len(learned))), name) for name, learned in samples.items())
+        assert r["lang_pred"] == needs[0][1] and np.isclose(r["score"], 1 - needs[0][0] / needs[1][0])
+        right[lang] += r["lang_pred"] == lang
+    assert all(right[lang] >= 19 for lang in scripts)
+
+
 def test_phrases_are_greedy_longest_matches():
     samples = (("en", "the cat sat on the mat and the dog"), ("fr", "le chat est sur la table et le chien"))
     parser = language.Parser(samples)
@@ -164,15 +284,7 @@ def test_phrases_are_greedy_longest_matches():
         folded = "".join(language.folded(ord(c)) for c in text)
         got = parser.phrases(parser.codes[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.int32), np.array([0]), np.array([len(text)]))
         for k, (_, learned) in enumerate(samples):
-            want = 0
-            for block in range(0, len(folded), language.BLOCK):
-                rest = folded[block : block + language.BLOCK]
-                while rest:
-                    n = 1
-                    while n < len(rest) and rest[: n + 1] in learned and rest[:n] in learned:
-                        n += 1
-                    want, rest = want + 1, rest[n:]
-            assert got[k, 0] == want
+            assert got[k, 0] == longest_matches(folded, learned)
 
 
 def test_languages_on_held_out_rows(spark, small_dir):
@@ -200,15 +312,7 @@ def test_each_automaton_has_all_characters_of_its_text():
     for text in (samples[0][1][100:900], samples[1][1][5:400] + samples[0][1][:50], "abc" + samples[1][1][:9] + "\u00df\u0436", samples[2][1][:700]):
         got = parser.phrases(parser.codes[np.frombuffer(text.encode("utf-32-le"), np.uint32)], np.array([0]), np.array([len(text)]))
         for k, (_, learned) in enumerate(samples):
-            want = 0
-            for block in range(0, len(text), language.BLOCK):
-                rest = text[block : block + language.BLOCK]
-                while rest:
-                    n = 1
-                    while n < len(rest) and rest[: n + 1] in learned:
-                        n += 1
-                    want, rest = want + 1, rest[n:]
-            assert got[k, 0] == want
+            assert got[k, 0] == longest_matches(text, learned)
     assert parser.judge([text[300:700] for _, text in samples])[0] == ["a", "b", "c"]
 
 
