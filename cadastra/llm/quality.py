@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm.shared import handing_back, held_out, table
+from cadastra.llm.shared import hand_back, handing_back, held_out, table
 from cadastra.llm.tokens import slices
 from cadastra.llm.words import word_hashes
 
@@ -252,7 +252,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
     quality = found["quality"].to_numpy()
     if not len(quality) or quality.min() == quality.max():
         return Field(np.zeros(3 * OWN + 3), np.zeros((2, 2)))
-    return fit(found["text"].combine_chunks(), quality > 0)
+    field = fit(found["text"].combine_chunks(), quality > 0)
+    del found
+    hand_back()
+    return field
 
 
 def score_documents(docs: DataFrame, field: Field, cut: float = CUT) -> DataFrame:

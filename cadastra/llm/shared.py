@@ -129,16 +129,21 @@ def handing_back(function):
         try:
             yield from function(batches)
         finally:
-            import pyarrow as pa
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            hand_back()
 
     return run
 
 
+def hand_back() -> None:
+    """Gives this process's free memory back to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def open_fs(uri: str):
     """(file system, path) by pyarrow; a bare path is local, and Spark's names for S3 are pyarrow's one."""
     from pyarrow import fs

@@ -28,9 +28,9 @@ PARTINGS = ("\n", " \x01 ", "<|endoftext|>")
 PLAIN = re.compile(r" ?[^\s\x01]+")
 #: Chunks in one text for the library, and such texts in one call.
 JOINED, TEXTS = 64, 64
-MAX_CHUNKS = 600_000
-WINDOW = 6 << 20
-SLICE_BYTES = 12 << 20
+MAX_CHUNKS = 400_000
+WINDOW = 4 << 20
+SLICE_BYTES = 8 << 20
 
 
 #: What a byte may be, a bit each. Latin-1 letters have 0xC3 and one more byte, which is not that of the signs for times and
