@@ -13,11 +13,28 @@ MAX_AS_OF = 100
 GUESSED_ID_FIELDS = ("source_record_id", "record_id", "innovationid", "requirementid", "resource_id", "id", "code")
 
 
+def _at(payload: Column | str, path: str) -> tuple[Column, Column]:
+    """(the value at a dotted path as text, the kind of value: STRING, ARRAY, ...; null where the payload is no JSON)."""
+    payload = F.col(payload) if isinstance(payload, str) else payload
+    steps = "$" + "".join(f"['{p}']" for p in path.split("."))
+    return F.get_json_object(payload, steps), F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), steps, "variant"))
+
+
 def field(payload: Column | str, path: str) -> Column:
     """The scalar at a dotted path of JSON text, as text; null if a step is missing, empty, or an object or array."""
-    payload = F.col(payload) if isinstance(payload, str) else payload
-    value = F.get_json_object(payload, "$" + "".join(f"['{p}']" for p in path.split(".")))
-    return F.when((value != "") & ~value.rlike(r"^\s*[\[{]"), value)
+    value, kind = _at(payload, path)
+    nested = F.coalesce(kind.rlike("^(ARRAY|OBJECT)"), value.rlike(r"^\s*[\[{]"))
+    return F.when((value != "") & ~nested, value)
+
+
+def field_json(payload: Column | str, path: str) -> Column:
+    """The same scalar as JSON: texts are quoted, numbers and booleans are not."""
+    return F.when(_at(payload, path)[1] == "STRING", json_of(field(payload, path))).otherwise(field(payload, path))
+
+
+def json_of(value: Column) -> Column:
+    """A scalar column as JSON."""
+    return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
 
 
 def pointer(payload: Column | str, path: str) -> Column:
@@ -42,7 +59,12 @@ def stable_hash(*parts: Column, sep: str = "|") -> Column:
 
 
 def composite_id(*parts: Column) -> Column:
-    return F.concat(F.lit("composite:"), F.sha2(F.to_json(F.array(*(p.cast("string") for p in parts))), 256))
+    """The hash of the parts as a JSON array: numbers stay numbers."""
+    return _composite(*(json_of(p) for p in parts))
+
+
+def _composite(*parts: Column) -> Column:
+    return F.concat(F.lit("composite:"), F.sha2(F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")), 256))
 
 
 def contract_id(payload: Column | str, options: Sequence[Sequence[str]], fallback: Column) -> Column:
@@ -60,7 +82,7 @@ def contract_id(payload: Column | str, options: Sequence[Sequence[str]], fallbac
         whole = values[0].isNotNull()
         for value in values[1:]:
             whole = whole & value.isNotNull()
-        found.append(F.when(whole, values[0] if len(values) == 1 else composite_id(*values)))
+        found.append(F.when(whole, values[0] if len(values) == 1 else _composite(*(field_json(payload, path) for path in option))))
     chosen = F.coalesce(*found)
     return F.when(F.length(chosen) <= MAX_ID, chosen)
 

@@ -70,9 +70,14 @@ def distribution(items: DataFrame, label: str, ordinal: str, k: int = 4, by: Seq
     The share has one decimal and is of all labelled items, not of the k shown.
     """
     counts = items.where(present_collapsed(label).isNotNull()).groupBy(*by, present_collapsed(label).alias("label")).agg(F.count(F.lit(1)).alias("value"), F.min(ordinal).alias("_first"))
-    keys = list(by) or [F.lit(0)]
-    own, all_of = Window.partitionBy(*keys).orderBy(F.desc("value"), "_first"), Window.partitionBy(*keys)
-    ranked = counts.withColumn("rank", F.row_number().over(own)).withColumn("share_pct", rounded(F.col("value") * 100.0 / F.sum("value").over(all_of), 1))
+    share = lambda whole: rounded(F.col("value") * 100.0 / whole, 1).alias("share_pct")
+    if not by:  # no window over all labels: the k first are found in every part, the total is one row
+        top = counts.orderBy(F.desc("value"), "_first").limit(k)
+        whole = counts.agg(F.sum("value").alias("_whole"))
+        ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("value"), "_first")))
+        return ranked.join(F.broadcast(whole)).select("label", "value", "rank", share(F.col("_whole")))
+    own, all_of = Window.partitionBy(*by).orderBy(F.desc("value"), "_first"), Window.partitionBy(*by)
+    ranked = counts.withColumn("rank", F.row_number().over(own)).withColumn("share_pct", share(F.sum("value").over(all_of)))
     return ranked.where(F.col("rank") <= k).drop("_first")
 
 
@@ -104,11 +109,11 @@ def provisional_groups(items: DataFrame, keys: Sequence[str], missing: str, reco
     """
     named = items.select("*", *(F.when(collapse(k) != "", collapse(k)).otherwise(missing).alias(f"_{k}") for k in keys))
     by = [f"_{k}" for k in keys]
-    inner = named.groupBy(*by, F.col(district).alias("district")).agg(F.sort_array(F.collect_set(subdistrict)).alias("subdistricts"), F.count(F.lit(1)).alias("_n"), F.collect_set(business).alias("_b"), F.max(updated).alias("_u"))
-    out = inner.groupBy(*by).agg(
-        F.sum("_n").alias("participants"), F.size(F.array_distinct(F.flatten(F.collect_list("_b")))).cast("long").alias("businesses"), F.max("_u").alias("latest_update"),
-        F.sort_array(F.collect_list(F.struct("district", "subdistricts"))).alias("districts"),
-    )
+    inner = named.groupBy(*by, F.col(district).alias("district")).agg(F.sort_array(F.collect_set(subdistrict)).alias("subdistricts"), F.count(F.lit(1)).alias("_n"), F.max(updated).alias("_u"))
+    out = inner.groupBy(*by).agg(F.sum("_n").alias("participants"), F.max("_u").alias("latest_update"), F.sort_array(F.collect_list(F.struct("district", "subdistricts"))).alias("districts"))
+    # businesses are counted apart: the default group's may be very many, and are never held as a set
+    each = named.where(F.col(business).isNotNull()).select(*by, business).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("businesses"))
+    out = out.join(each, by, "left").withColumn("businesses", F.coalesce("businesses", F.lit(0)))
     return out.select(group_id(*by).alias("group_id"), *(F.col(f"_{k}").alias(k) for k in keys), "participants", "businesses", "latest_update", "districts")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.functions.text import holds_contact
+from cadastra.operators.joins import churn, small
 
 
 class GateError(ValueError):
@@ -33,7 +34,7 @@ def duplicates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def missing_pairs(rows: DataFrame, left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
     """The pairs of two small dimensions that rows lack. Both are dimensions: their product is what must be there."""
-    wanted = left.select(left_key).distinct().join(F.broadcast(right.select(right_key).distinct()))
+    wanted = left.select(left_key).distinct().join(small(right.select(right_key).distinct()))
     return wanted.join(rows.select(left_key, right_key).distinct(), [left_key, right_key], "left_anti")
 
 
@@ -62,10 +63,41 @@ def wrong_counts(actual: DataFrame, expected: DataFrame, key: str, count: str) -
 
 
 def unsafe_cells(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, cells) that a spreadsheet would take for a formula: a number with a sign is none."""
-    odd = lambda c: F.coalesce(F.col(c).cast("string").rlike(r"^\s*[=+\-@\t\r]") & ~F.col(c).cast("string").rlike(r"^[+-](\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.lit(False))
-    counts = rows.agg(*(F.count_if(odd(c)).alias(c) for c in columns))
-    return counts.unpivot([], list(columns), "column", "cells").where("cells > 0")
+    """(column, problem, cells): cells that a spreadsheet would take for a formula, and missing ones.
+
+    White space and byte-order marks before a cell's text do not count; a number with a sign is no formula.
+    """
+    text = lambda c: F.regexp_replace(F.col(c).cast("string"), r"^[\x{FEFF} \t\r\n\x0B\f]+", "")
+    odd = lambda c: F.coalesce(text(c).rlike("^[=@]") | (text(c).rlike(r"^[+\-]") & ~text(c).rlike(r"^[+-](\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")), F.lit(False))
+    counts = rows.agg(*(x for c in columns for x in (F.count_if(odd(c)).alias(f"formula {c}"), F.count_if(F.col(c).isNull()).alias(f"missing {c}"))))
+    names = [f"{kind} {c}" for c in columns for kind in ("formula", "missing")]
+    long = counts.unpivot([], [F.col(f"`{n}`") for n in names], "_what", "cells").where("cells > 0")
+    return long.select(F.regexp_extract("_what", "^[a-z]+ (.*)$", 1).alias("column"), F.regexp_extract("_what", "^([a-z]+) ", 1).alias("problem"), "cells")
+
+
+def wrong_headers(files: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """(path, problem) of files (path, header, an array) whose header repeats a name or is not the expected one."""
+    problem = F.when(F.size(F.array_distinct("header")) < F.size("header"), "repeated name").when(~F.coalesce(F.col("header") == F.array(*map(F.lit, expected)), F.lit(False)), "other names")
+    return files.select("path", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def ragged_rows(rows: DataFrame, key: str, cells: str, width: int) -> DataFrame:
+    """(key, problem) of rows whose array of cells has more or fewer than width."""
+    problem = F.when(F.size(cells) > width, "extra cells").when(F.coalesce(F.size(cells), F.lit(0)) < width, "missing cells")
+    return rows.select(key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def wrong_content(records: DataFrame, dataset: str, record_id: str, expected: dict[str, int]) -> DataFrame:
+    """(dataset, problem, n): datasets without their fixed number of records, unexpected ones, and ids that lack or repeat."""
+    counts = records.groupBy(F.col(dataset).alias("dataset")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(record_id).isNull() | (F.col(record_id).cast("string") == "")).alias("no_id"), F.countDistinct(record_id).alias("ids"), F.count(record_id).alias("with_id"))
+    wanted = records.sparkSession.createDataFrame(list(expected.items()), "dataset string, wanted long")
+    both = counts.join(F.broadcast(wanted), "dataset", "full")  # a row a dataset
+    found = F.array(
+        F.struct(F.when(~F.col("n").eqNullSafe(F.col("wanted")), "another number of records").alias("problem"), F.coalesce("n", F.lit(0)).alias("n")),
+        F.struct(F.when(F.col("no_id") > 0, "records without an id").alias("problem"), F.col("no_id").alias("n")),
+        F.struct(F.when(F.col("ids") < F.col("with_id"), "repeated ids").alias("problem"), (F.col("with_id") - F.col("ids")).alias("n")),
+    )
+    return both.select("dataset", F.inline(F.filter(found, lambda f: f["problem"].isNotNull())))
 
 
 def contact_values(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -73,24 +105,34 @@ def contact_values(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFra
     return reduce(DataFrame.unionByName, found)
 
 
-def drift(base: DataFrame, head: DataFrame, key: str, as_of: str, fall: float = 0.0, rise: float = 1.0) -> DataFrame:
+def drift(base: DataFrame, head: DataFrame, key: str, as_of: str, fall: float = 0.0, rise: float = 1.0, kept: Sequence[str] = (), new_needs_review: bool = False) -> DataFrame:
     """(dataset, problem): counts that fall or rise by more than these ratios, vanished datasets, and as_of going back.
 
-    base and head have rows per dataset: key, rows and as_of, an ISO date as text.
+    base and head have rows per dataset: key, rows and as_of, an ISO date as text. kept: hashes of theirs that may not
+    change, such as of shape, meaning and provenance.
     """
-    joined = base.select(key, F.col("rows").alias("b"), F.col(as_of).alias("b_as_of")).join(head.select(key, F.col("rows").alias("h"), F.col(as_of).alias("h_as_of")), key, "full")
+    own = lambda df, p: df.select(key, *(F.col(c).alias(f"{p}{c}") for c in ("rows", as_of, *kept)))
+    joined = own(base, "b_").join(own(head, "h_"), key, "full")
+    both = F.col("b_rows").isNotNull() & F.col("h_rows").isNotNull()
     problems = F.filter(
         F.array(
-            F.when(F.col("h").isNull(), "dataset is gone"),
-            F.when(F.col("h") < F.col("b") * (1 - fall), "rows fell"),
-            F.when((F.col("b") > 0) & (F.col("h") > F.col("b") * (1 + rise)), "rows rose"),
-            F.when(F.col("h_as_of") < F.col("b_as_of"), "as_of went back"),
+            F.when(F.col("h_rows").isNull(), "dataset is gone"),
+            F.when(F.col("b_rows").isNull() & F.lit(new_needs_review), "dataset is new"),
+            F.when(F.col("h_rows") < F.col("b_rows") * (1 - fall), "rows fell"),
+            F.when((F.col("b_rows") > 0) & (F.col("h_rows") > F.col("b_rows") * (1 + rise)), "rows rose"),
+            F.when(F.col(f"h_{as_of}") < F.col(f"b_{as_of}"), "as_of went back"),
+            *(F.when(both & ~F.col(f"b_{c}").eqNullSafe(F.col(f"h_{c}")), f"{c} changed") for c in kept),
         ),
         lambda p: p.isNotNull(),
     )
     return joined.select(key, F.explode(problems).alias("problem"))
 
 
+def identity_churn(base: DataFrame, head: DataFrame, key: str, most: float) -> DataFrame:
+    """One row (shared, either, churn) if more than ``most`` of the ids of both releases are in only one."""
+    return churn(base, head, key).where(F.col("churn") > most)
+
+
 def invalid_boxes(features: DataFrame, key: str, lon: Sequence[str], lat: Sequence[str]) -> DataFrame:
     """Features whose coordinates are missing, not finite, out of range, or in the wrong order."""
     bad: Column = F.lit(False)
@@ -114,6 +156,37 @@ def not_ready(sources: DataFrame) -> DataFrame:
     return sources.select("source_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def invalid_geometries(features: DataFrame, key: str, geometry: str) -> DataFrame:
+    """(key, problem) of the features whose GeoJSON geometry, as text, is not valid: closed rings, enough positions, in range."""
+    import json
+
+    import pyarrow as pa
+
+    def judge(batches):
+        for batch in batches:
+            found = []
+            for text in batch.column("_geometry").to_pylist():
+                try:
+                    found.append(geometry_problem(json.loads(text)) if text is not None else "no geometry")
+                except ValueError:
+                    found.append("not JSON")
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.string())], [key, "problem"])
+
+    rows = features.select(key, F.col(geometry).alias("_geometry"))
+    return rows.mapInArrow(judge, f"{key} {features.schema[key].dataType.simpleString()}, problem string").where("problem IS NOT NULL")
+
+
+def wrong_declared_counts(documents: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, path, problem) of JSON objects at any depth whose row_count is not the size of rows, or total_records that of items.
+
+    Empty items beside resource_groups alone may be summed up in the groups' row_counts; beside other lists items are not
+    held against the total.
+    """
+    from cadastra.operators.nested import walk
+
+    return walk(documents.select(key, payload), payload, "declared", [key])
+
+
 def geometry_problem(geometry: dict) -> str | None:
     """What is wrong with a GeoJSON geometry of any of the seven types, or None."""
     import math

@@ -86,11 +86,37 @@ def by_pattern(records: DataFrame, grains: DataFrame, key: str, pattern: str = "
     Keys repeat a lot, so the patterns are tried on the distinct keys only.
     """
     keys = records.select(key).distinct()
-    tried = keys.join(F.broadcast(grains.limit(SMALL)), F.rlike(F.col(key), F.concat(F.lit("^(?:"), F.col(pattern), F.lit(")$"))), "left")
+    tried = keys.join(small(grains), F.rlike(F.col(key), F.concat(F.lit("^(?:"), F.col(pattern), F.lit(")$"))), "left")
     counted = tried.groupBy(key).agg(F.count(pattern).alias("_matches"), F.max(pattern).alias(pattern))
     return records.join(counted, key, "left")
 
 
+def glob_pattern(selector: str) -> Column:
+    """A column of shell patterns as anchored regular expressions: * is any text, ? any character, [..] and [!..] sets."""
+    escaped = F.regexp_replace(F.col(selector), r"([.+^$(){}|\\])", r"\\$1")
+    return F.concat(F.lit("(?s)^"), F.replace(F.replace(F.replace(escaped, F.lit("[!"), F.lit("[^")), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+
+
+def bind_globs(paths: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(path, selector, problem) of every path of ``paths`` and every selector of ``outputs`` (selector, exact, expected_files).
+
+    A path should fit exactly one selector. problem says what is wrong, null for a proper binding: a path without a selector
+    or with several, a selector that fits no path, or another number of paths than expected_files. An exact selector is a
+    path, not a pattern.
+    """
+    chosen = outputs.select("selector", "exact", F.col("expected_files").cast("long").alias("expected_files"), glob_pattern("selector").alias("_glob"))
+    known = paths.select("path").distinct()
+    fits = F.when(F.col("exact"), F.col("path") == F.col("selector")).otherwise(F.rlike(F.col("path"), F.col("_glob")))
+    pairs = known.join(small(chosen), fits).select("path", "selector", "expected_files")
+    claims = pairs.groupBy("path").agg(F.count(F.lit(1)).alias("_claims"))
+    files = outputs.select("selector", F.col("expected_files").cast("long").alias("expected_files")).join(pairs.groupBy("selector").agg(F.count(F.lit(1)).alias("_files")), "selector", "left")
+    wrong = F.when(F.col("_files").isNull(), "fits no file").when(F.col("_files") != F.col("expected_files"), "fits another number of files")
+    by_path = known.join(pairs.select("path", "selector"), "path", "left").join(claims, "path", "left")
+    problem = F.when(F.col("_claims").isNull(), "no contract").when(F.col("_claims") > 1, "several contracts")
+    bound = by_path.select("path", "selector", problem.alias("problem"))
+    return bound.unionByName(files.select(F.lit(None).cast("string").alias("path"), "selector", wrong.alias("problem")).where("problem IS NOT NULL"))
+
+
 def by_prefix(urls: DataFrame, rules: DataFrame, origin: str = "origin", path: str = "path") -> DataFrame:
     """Each row of urls with its best rule (rule_path, source_id, denied) of the same origin; rows of equal urls all stay.
 

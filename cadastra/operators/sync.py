@@ -7,15 +7,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cadastra.operators.gates import enforce
 
 
 def unseen(batch: DataFrame, known: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The batch's rows with keys that are not known yet; of rows with equal keys the first."""
-    first = batch.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")
-    return first.join(known.select(*keys), list(keys), "left_anti")
+    """The batch's rows with keys that are not known yet; of rows with equal keys the first by order, then by the other columns.
+
+    Known rows go before the others are compared, and equal keys are reduced in each part before they are shuffled.
+    """
+    new = batch.join(known.select(*keys), list(keys), "left_anti")
+    others = [c for c in batch.columns if c not in keys]
+    return new.groupBy(*keys).agg(F.min(F.struct(order, *(c for c in others if c != order))).alias("_first")).select(*(F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in batch.columns))
 
 
 def load_counts(batch: DataFrame, known: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -59,7 +62,10 @@ def swap_partitions(rows: DataFrame, path: str, by: str, gates: dict[str, DataFr
 
 
 def publish(rows: DataFrame, path: str, gates: dict[str, DataFrame] | None = None) -> None:
-    """Replaces a whole table: written aside, gated, then renamed into place."""
+    """Replaces a whole table: written aside, gated, then renamed into place.
+
+    The old table is set aside, not deleted, until the new one has its name: a crash between leaves both.
+    """
     spark = rows.sparkSession
     staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
     rows.write.parquet(staged)
@@ -69,9 +75,16 @@ def publish(rows: DataFrame, path: str, gates: dict[str, DataFrame] | None = Non
     except Exception:
         delete(spark, staged)
         raise
-    delete(spark, path)
     _, files, hadoop = _hadoop(spark, path)
-    files.rename(hadoop(staged), hadoop(path))
+    aside = f"{path.rstrip('/')}_replaced_{uuid.uuid4().hex}"
+    had = files.exists(hadoop(path))
+    if had and not files.rename(hadoop(path), hadoop(aside)):
+        raise OSError(f"cannot set aside {path}")
+    if not files.rename(hadoop(staged), hadoop(path)):
+        if had:
+            files.rename(hadoop(aside), hadoop(path))
+        raise OSError(f"cannot put {path} in place")
+    delete(spark, aside)
 
 
 def _hadoop(spark: SparkSession, path: str):

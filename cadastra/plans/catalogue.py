@@ -96,16 +96,16 @@ def ordered_sources(spark, sf_dir):
 
 
 @Q.add("""
-WITH v AS (SELECT s_nationkey AS area, s_name AS city, s_acctbal AS value FROM supplier),
-     b AS (SELECT min(value) AS low, median(value) AS mid, max(value) AS high FROM v)
-SELECT area, city, CAST(round(CAST((value - low) / (high - low) * 100 AS DECIMAL(28,10)), 1) AS DOUBLE) AS position, (value - mid) / abs(mid) > 0.10 AS concern FROM v, b""")
+WITH v AS (SELECT s_nationkey AS area, s_name AS city, 'balance' AS metric, s_acctbal AS value FROM supplier UNION ALL SELECT s_nationkey, s_name, 'same', CAST(s_suppkey * 0 AS DOUBLE) FROM supplier),
+     b AS (SELECT metric, min(value) AS low, median(value) AS mid, max(value) AS high FROM v GROUP BY 1)
+SELECT area, city, metric, CAST(round(CAST(CASE WHEN high = low THEN 50 ELSE (value - low) / (high - low) * 100 END AS DECIMAL(28,10)), 1) AS DOUBLE) AS position,
+       CASE WHEN mid = 0 THEN abs(value) > 0.10 AND value > 0 ELSE value > mid AND abs(value - mid) / abs(mid) > 0.10 END AS concern FROM v JOIN b USING (metric)""")
 def city_positions(spark, sf_dir):
-    """Cities within areas: their position in the range of all, and whether they lie over a tenth above the median."""
-    values = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("area"), F.col("s_name").alias("city"), F.col("s_acctbal").alias("value"), F.lit("balance").alias("metric"))
-    middle = ag.benchmark(values)
-    out = values.join(F.broadcast(middle), "metric")  # a row a metric
-    gap = (F.col("value") - F.col("median")) / F.abs("median")
-    return out.select("area", "city", rounded((F.col("value") - F.col("minimum")) / (F.col("maximum") - F.col("minimum")) * 100, 1).alias("position"), (gap > 0.10).alias("concern"))
+    """Cities within areas: their position in the range of all, and whether they lie over a tenth above the median. One metric is the same for all."""
+    city = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("area"), F.col("s_name").alias("city"), F.col("s_acctbal").alias("balance"), (F.col("s_suppkey") * 0).cast("double").alias("same"))
+    values = city.unpivot(["area", "city"], ["balance", "same"], "metric", "value")
+    out = ag.against_median(values, ag.benchmark(values), concern=F.lit("high"))
+    return out.select("area", "city", "metric", F.col("position_pct").alias("position"), F.col("attention").alias("concern"))
 
 
 @Q.add("""

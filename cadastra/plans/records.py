@@ -159,15 +159,16 @@ def sensor_totals(spark, sf_dir):
 
 
 GROUPS = """
-WITH g AS (SELECT coalesce(nullif(trim(p_brand), ''), 'not stated') AS p_brand, coalesce(nullif(trim(p_type), ''), 'not stated') AS p_type, CAST(p_size AS VARCHAR) AS size, p_partkey, p_name FROM part)"""
+WITH g AS (SELECT coalesce(nullif(trim(p_brand), ''), 'not stated') AS p_brand, coalesce(nullif(trim(p_type), ''), 'not stated') AS p_type, CAST(p_size AS VARCHAR) AS size, p_partkey, p_name, lpad(CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR), 8, '0') AS price FROM part)"""
 
 
 @Q.add(GROUPS + """
-SELECT substr(sha256(p_brand || chr(31) || p_type || chr(31) || size), 1, 16) AS group_id, p_brand, p_type, size, count(*) AS participants, count(DISTINCT p_name) AS businesses FROM g GROUP BY p_brand, p_type, size""")
+SELECT substr(sha256(p_brand || chr(31) || p_type || chr(31) || size), 1, 16) AS group_id, p_brand, p_type, size, count(*) AS participants, count(DISTINCT p_name) AS businesses, max(price) AS latest_update,
+       array_to_string(list_sort(list(DISTINCT p_name)), ',') AS subdistricts FROM g GROUP BY p_brand, p_type, size""")
 def provisional_groups(spark, sf_dir):
-    parts = load(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_size").cast("string").alias("size"), "p_partkey", "p_name", F.lit("all").alias("district"), F.col("p_retailprice").cast("string").alias("updated"))
+    parts = load(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_size").cast("string").alias("size"), "p_partkey", "p_name", F.lit("all").alias("district"), F.lpad(F.rint("p_retailprice").cast("long").cast("string"), 8, "0").alias("updated"))
     out = ag.provisional_groups(parts, ["p_brand", "p_type", "size"], "not stated", "p_partkey", "p_name", "district", "p_name", "updated")
-    return out.select("group_id", "p_brand", "p_type", "size", "participants", "businesses")
+    return out.select("group_id", "p_brand", "p_type", "size", "participants", "businesses", "latest_update", F.array_join(F.col("districts")[0]["subdistricts"], ",").alias("subdistricts"))
 
 
 @Q.add("""
@@ -203,11 +204,11 @@ def gate_complete(spark, sf_dir):
 
 
 @Q.add("""
-WITH h AS (SELECT DISTINCT c_nationkey AS city, o_orderpriority AS metric FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 450000)
+WITH h AS (SELECT DISTINCT c_nationkey AS city, o_orderpriority AS metric FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 499000)
 SELECT city, metric FROM (SELECT * FROM (SELECT DISTINCT c_nationkey AS city FROM customer), (SELECT DISTINCT o_orderpriority AS metric FROM orders)) ANTI JOIN h USING (city, metric)""")
 def gate_missing_pairs(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("city"), F.col("o_orderpriority").alias("metric"), "o_totalprice")
-    return gt.missing_pairs(orders.where("o_totalprice > 450000"), load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("city")), "city", orders, "metric")
+    return gt.missing_pairs(orders.where("o_totalprice > 499000"), load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("city")), "city", orders, "metric")
 
 
 @Q.add("""
@@ -235,9 +236,13 @@ def gate_partition(spark, sf_dir):
 
 
 @Q.add("""
-SELECT 'text' AS "column", count(*) FILTER (regexp_matches(text, '^\\s*[=+\\-@\\t\\r]') AND NOT regexp_matches(text, '^[+-](\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$')) AS cells FROM documents HAVING cells > 0""")
+WITH c AS (SELECT CASE WHEN event_id % 11 = 0 THEN '=' || event_type WHEN event_id % 13 = 0 THEN ' @x' WHEN event_id % 17 = 0 THEN NULL ELSE CAST(value AS VARCHAR) END AS cell, CAST(-value AS VARCHAR) AS number FROM events WHERE value IS NOT NULL)
+SELECT 'cell' AS "column", 'formula' AS problem, count(*) FILTER (starts_with(cell, '=') OR starts_with(cell, ' @')) AS cells FROM c UNION ALL SELECT 'cell', 'missing', count(*) FILTER (cell IS NULL) FROM c""")
 def gate_unsafe_cells(spark, sf_dir):
-    return gt.unsafe_cells(load(spark, sf_dir, "documents").select("text", "source"), ["text", "source"])
+    """Cells of a table that a spreadsheet would calculate, or that are missing; numbers below 0 are neither."""
+    number = F.col("event_id")
+    cell = F.when(number % 11 == 0, F.concat(F.lit("="), "event_type")).when(number % 13 == 0, " @x").when(number % 17 != 0, F.col("value").cast("string"))
+    return gt.unsafe_cells(load(spark, sf_dir, "events").where("value IS NOT NULL").select(cell.alias("cell"), (-F.col("value")).cast("string").alias("number")), ["cell", "number"])
 
 
 @Q.add("""

@@ -15,13 +15,15 @@ from cadastra.session import load
 from cadastra.sources import readers as rd
 
 Q = Queries()
+# A fixed value: the e-mail pattern of the published rules.
 EMAIL_SQL = "(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b"
 
 
 @Q.add(f"SELECT doc_id, sha256(regexp_replace(text, '{EMAIL_SQL}', '[redacted-email]', 'g')) AS digest, regexp_matches(text, '{EMAIL_SQL}') AS had_email FROM documents")
 def redacted_emails(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", F.sha2(tx.redact_emails("text"), 256).alias("digest"), F.col("text").rlike(tx.EMAIL).alias("had_email"))
+    clean = F.when(F.contains("text", F.lit("@")), tx.redact_emails("text")).otherwise(F.col("text"))  # most texts need no pattern
+    return docs.withColumn("clean", clean).select("doc_id", F.sha2("clean", 256).alias("digest"), (F.col("clean") != F.col("text")).alias("had_email"))
 
 
 @Q.add()
@@ -60,7 +62,7 @@ def keys_and_labels(spark, sf_dir):
 
 
 @Q.add("""
-SELECT o_orderkey, sha256(o_custkey || '|' || o_orderstatus || '|' || o_orderpriority) AS stable, 'composite:' || sha256('["' || o_custkey || '","' || o_orderpriority || '"]') AS composite,
+SELECT o_orderkey, sha256(o_custkey || '|' || o_orderstatus || '|' || o_orderpriority) AS stable, 'composite:' || sha256('[' || o_custkey || ',"' || o_orderpriority || '"]') AS composite,
        lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') AS code FROM orders""")
 def record_identities(spark, sf_dir):
     orders = load(spark, sf_dir, "orders")
@@ -104,9 +106,10 @@ def page_links(spark, sf_dir):
 
 @Q.add("""
 WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) AS origin, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-     r AS (SELECT o AS rule_origin, '/' || l AS rule_path, o || l AS source_id, l = 'fr' AS denied FROM (SELECT DISTINCT origin AS o FROM p WHERE origin LIKE '%.org'), (VALUES ('en'), ('fr'), ('en/6')) v(l))
-SELECT page_id, p.url, rule_path, source_id, denied FROM p LEFT JOIN r ON origin = rule_origin AND (rtrim(path, '/') = rule_path OR starts_with(path, rule_path || '/'))
-QUALIFY row_number() OVER (PARTITION BY p.url ORDER BY rule_path IS NULL, rtrim(path, '/') = rule_path DESC, length(rule_path) DESC, source_id) = 1""")
+     r AS (SELECT o AS rule_origin, '/' || l AS rule_path, o || l AS source_id, l = 'fr' AS denied FROM (SELECT DISTINCT origin AS o FROM p WHERE origin LIKE '%.org'), (VALUES ('en'), ('fr'), ('en/6')) v(l)),
+     b AS (SELECT origin, path, rule_path, source_id, denied FROM (SELECT DISTINCT origin, path FROM p) JOIN r ON origin = rule_origin AND (rtrim(path, '/') = rule_path OR starts_with(path, rule_path || '/'))
+           QUALIFY row_number() OVER (PARTITION BY origin, path ORDER BY rtrim(path, '/') = rule_path DESC, length(rule_path) DESC, source_id) = 1)
+SELECT page_id, url, rule_path, source_id, denied FROM p LEFT JOIN b USING (origin, path)""")
 def url_rules(spark, sf_dir):
     pages = load(spark, sf_dir, "pages").select("page_id", "url", F.lower(F.regexp_extract("url", "^([a-zA-Z]+://[^/?#]*)", 1)).alias("origin"), F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1).alias("path"))
     kinds = spark.createDataFrame([("en",), ("fr",), ("en/6",)], "l string")

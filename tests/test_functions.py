@@ -123,10 +123,26 @@ def test_times(spark):
     assert one(spark, times.observed_at(F.col("a"), F.lit("2026-01-02").cast("timestamp"), F.col("b")), a="2569", b="") == "2569"
 
 
+def test_restricted_endpoints(spark):
+    from cadastra.functions.codes import restricted_endpoint
+
+    judge = lambda p, a, x: one(spark, restricted_endpoint(F.col("p"), F.col("a"), F.col("x")), p=p, a=a, x=x)
+    assert judge("restricted_local_only", "", "") and judge("p", "GET HTTP_401", "") and judge("p", "", "Do_Not_Call now") and judge("p", "Login page", "")
+    assert not judge("public", "open", "call") and not judge(None, None, None)
+
+
+def test_fields_that_look_nested(spark):
+    payload = '{"a": "[2024] report", "b": "{x", "c": [1], "d": {"e": 1}, "n": 2.50, "t": true, "z": null}'
+    assert one(spark, ids.field("v", "a"), v=payload) == "[2024] report" and one(spark, ids.field("v", "b"), v=payload) == "{x"
+    assert one(spark, ids.field("v", "c"), v=payload) is None and one(spark, ids.field("v", "d"), v=payload) is None and one(spark, ids.field("v", "z"), v=payload) is None
+    assert one(spark, ids.field_json("v", "a"), v=payload) == '"[2024] report"' and one(spark, ids.field_json("v", "t"), v=payload) == "true" and one(spark, ids.field_json("v", "d.e"), v=payload) == "1"
+    assert one(spark, ids.field("v", "a"), v="no json") is None
+
+
 def test_identities(spark):
     payload = '{"id": "A1", "nested": {"year": 2569}, "list": [1], "empty": ""}'
     options = [["missing"], ["list"], ["empty", "id"], ["id", "nested.year"]]
-    assert one(spark, ids.contract_id("v", options, F.lit("h")), v=payload) == "composite:" + hashlib.sha256(b'["A1","2569"]').hexdigest()
+    assert one(spark, ids.contract_id("v", options, F.lit("h")), v=payload) == "composite:" + hashlib.sha256(b'["A1",2569]').hexdigest()
     assert one(spark, ids.contract_id("v", [["nope"], ["$payload_hash"]], F.lit("h")), v=payload) == "h"
     assert one(spark, ids.contract_id("v", [["nope"]], F.lit("h")), v=payload) is None
     assert one(spark, ids.contract_id("v", [["id"]], F.lit("h")), v='{"id": "%s"}' % ("x" * 201)) is None

@@ -131,7 +131,7 @@ def test_walks(spark):
     assert got("dropped") == {(1, "ownerContact", "contact key")}
     assert got("violations") == {(1, "$/ownerContact", "contact key"), (1, "$/t", "email value")}
     assert got("provenance") == {(1, "$/deep/url", "s", "https://u.v/w")}
-    assert got("meanings") == {(1, "$/deep/unit", "[]", "m")}
+    assert got("meanings") == {(1, "$/deep/unit", '[["source_id","s"]]', '"m"')}
     assert ns.HIDDEN in next(iter(got("preview")))[1]
     shape = lambda v: ns.shape_hash(v)
     assert shape({"a": [1, 2], "b": "x"}) == shape({"b": "y", "a": [3]}) != shape({"a": [1.5], "b": "x"})
@@ -163,7 +163,7 @@ def test_gates(spark):
     assert gt.not_partitioned(twice, good, good.limit(1)).count() == 0 and gt.not_partitioned(twice, good).count() == 1
     assert rows(gt.wrong_counts(published, published.limit(1), "label", "n")) == {("b", 2, None)}
     cells = spark.createDataFrame([("-1", "=1+1"), ("+1.25", "x"), ("-.5", "@y"), ("-1e3", None)], "a string, b string")
-    assert rows(gt.unsafe_cells(cells, ["a", "b"])) == {("b", 2)}
+    assert rows(gt.unsafe_cells(cells, ["a", "b"])) == {("b", "formula", 2), ("b", "missing", 1)}
     with pytest.raises(gt.GateError, match="twice"):
         gt.enforce("twice", gt.duplicates(twice, ["id"]))
     base, head = spark.createDataFrame([("a", 10, "2026-01"), ("b", 1, "x"), ("d", 5, None)], "d string, rows int, as_of string"), spark.createDataFrame([("a", 9, "2025-12"), ("c", 3, "y"), ("d", 50, None)], "d string, rows int, as_of string")
@@ -278,3 +278,57 @@ def test_prefix_rules_keep_every_page(spark):
     found = jn.by_prefix(spark.createDataFrame(pages, "page_id long, url string, origin string, path string"), rules).collect()
     assert {(r["page_id"], r["rule_path"], r["source_id"], r["denied"]) for r in found} == {(1, "/x/y", "s2", False), (2, "/x/y", "s2", False), (3, None, None, None), (4, None, None, None), (5, None, None, None), (6, None, None, None), (7, "/x", "s1", False)}
     assert len(found) == 7
+
+
+def test_meaning_of_documents():
+    base = {"metric_key": "m", "unit": "kg", "rows": [{"value": 1, "status": "ok"}, {"value": 2, "status": "ok"}], "geography": {"level": "area"}}
+    same = base | {"rows": [*base["rows"], {"value": 9, "status": "ok"}]}  # another observation means nothing new
+    assert ns.meaning_hash(base) == ns.meaning_hash(same)
+    for change in ({"unit": "t"}, {"metric_key": "n"}, {"rows": [{"value": 1, "status": "late"}]}, {"geography": {"level": "region"}}, {"note": "needs_review"}, {"x_method": "a"}, {"review_by": "b"}):
+        assert ns.meaning_hash(base | change) != ns.meaning_hash(base), change
+    assert {m for m in ns.meanings({"geometry": {"type": "Point", "coordinates": [1, 2]}, "type": "row", "review_count": 3})} == {("$/geometry/type", "", '"Point"')}
+
+
+def test_declared_counts():
+    fine = [{"rows": [1], "row_count": 1}, {"items": [], "total_records": 5, "resource_groups": [{"row_count": 2}, {"row_count": 3}]}, {"items": [1], "total_records": 9, "others": [1]}, {"rows": 1}]
+    assert not list(ns.miscounted(fine))
+    bad = {"a": {"rows": [1], "row_count": 2}, "b": [{"items": [1, 2], "total_records": 1}], "c": {"rows": {}, "row_count": 0}, "d": {"rows": [], "row_count": True}, "e": {"items": [], "total_records": 4, "resource_groups": [{"row_count": 3}]}}
+    assert sorted(p for p, _ in ns.miscounted(bad)) == ["$/a", "$/b[]", "$/c", "$/d", "$/e"]
+
+
+def test_tables_and_content(spark):
+    files = spark.createDataFrame([("a", ["x", "y"]), ("b", ["y", "x"]), ("c", ["x", "x"])], "path string, header array<string>")
+    assert rows(gt.wrong_headers(files, ["x", "y"])) == {("b", "other names"), ("c", "repeated name")}
+    cells = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, ["a", "b", "c"])], "id int, cells array<string>")
+    assert rows(gt.ragged_rows(cells, "id", "cells", 2)) == {(2, "missing cells"), (3, "extra cells")}
+    records = spark.createDataFrame([("s", "1"), ("s", "1"), ("s", None), ("t", "2")], "d string, i string")
+    assert rows(gt.wrong_content(records, "d", "i", {"s": 3, "t": 1, "u": 2})) == {("s", "records without an id", 1), ("s", "repeated ids", 1), ("u", "another number of records", 0)}
+    places = spark.createDataFrame([(1, '{"type":"Point","coordinates":[1,2]}'), (2, "x"), (3, None), (4, '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1]]]}')], "id int, g string")
+    assert rows(gt.invalid_geometries(places, "id", "g")) == {(2, "not JSON"), (3, "no geometry"), (4, "bad Polygon")}
+
+
+def test_bound_files(spark):
+    paths = spark.createDataFrame([("a/b.json",), ("a/c+d.csv",), ("z",), ("a/e.json",)], "path string")
+    outputs = spark.createDataFrame([("a/*.json", False, 2), ("a/c+?.csv", False, 1), ("a/[!b].json", False, None), ("a/b.json", True, 3), ("q*", False, None)], "selector string, exact boolean, expected_files int")
+    assert rows(jn.bind_globs(paths, outputs)) == {
+        ("a/b.json", "a/*.json", "several contracts"), ("a/b.json", "a/b.json", "several contracts"), ("a/e.json", "a/*.json", "several contracts"), ("a/e.json", "a/[!b].json", "several contracts"),
+        ("a/c+d.csv", "a/c+?.csv", None), ("z", None, "no contract"), (None, "a/b.json", "fits another number of files"), (None, "q*", "fits no file"),
+    }
+
+
+def test_patterns_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jn, "SMALL", 2)
+    keys, grains = spark.createDataFrame([("k3",), ("k9",)], "k string"), spark.createDataFrame([(f"k{i}",) for i in range(9)], "key_pattern string")
+    assert {(r["k"], r["_matches"]) for r in jn.by_pattern(keys, grains, "k").collect()} == {("k3", 1), ("k9", 0)}
+
+
+def test_rules_for_equal_urls(spark):
+    pages = [(1, "u", "o", "/a/b"), (2, "u", "o", "/a/b"), (3, None, None, None), (4, None, None, None)]
+    rules = spark.createDataFrame([("o", "/a", "s", True)], "rule_origin string, rule_path string, source_id string, denied boolean")
+    found = jn.by_prefix(spark.createDataFrame(pages, "page_id long, url string, origin string, path string"), rules).collect()
+    assert {(r["page_id"], r["source_id"]) for r in found} == {(1, "s"), (2, "s"), (3, None), (4, None)} and len(found) == 4
+
+
+def test_distribution_without_groups(spark):
+    df = spark.createDataFrame([(i, label) for i, label in enumerate("bbaacd")] + [(9, None)], "n int, label string")
+    assert [(r["label"], r["value"], r["rank"], r["share_pct"]) for r in sorted(ag.distribution(df, "label", "n", 3).collect(), key=lambda r: r["rank"])] == [("b", 2, 1, 33.3), ("a", 2, 2, 33.3), ("c", 1, 3, 16.7)]
