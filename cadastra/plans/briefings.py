@@ -31,14 +31,14 @@ WITH o AS (SELECT orders.*, c_nationkey AS area FROM orders JOIN customer ON c_c
      y AS (SELECT area, year(o_orderdate) AS y, count(*) AS n FROM o GROUP BY 1, 2),
      l AS (SELECT area, CAST(arg_max(n, y) AS DOUBLE) AS population_latest FROM y GROUP BY 1),
      s AS (SELECT area, {ROUND.format("count(*) FILTER (o_orderstatus = 'F') * 100.0 / count(*)", 4)} AS finished_share,
-                  CAST(sum(CASE WHEN o_totalprice > 499000 AND o_orderpriority = '1-URGENT' THEN 1 END) AS DOUBLE) AS l4, CAST(sum(CASE WHEN o_totalprice > 499000 AND o_orderpriority = '5-LOW' THEN 1 END) AS DOUBLE) AS l5 FROM o GROUP BY 1),
+                  CAST(sum(CASE WHEN o_totalprice > 490000 AND o_orderpriority = '1-URGENT' THEN 1 END) AS DOUBLE) AS l4, CAST(sum(CASE WHEN o_totalprice > 490000 AND o_orderpriority = '5-LOW' THEN 1 END) AS DOUBLE) AS l5 FROM o GROUP BY 1),
      w AS (SELECT area, population_latest, finished_share, l4 + l5 AS level_4_and_5 FROM l JOIN s USING (area))
 SELECT area, indicator, value FROM w UNPIVOT (value FOR indicator IN (population_latest, finished_share, level_4_and_5))""")
 def headline_indicators(spark, sf_dir):
     """The value of the latest year, a share in per cent, and a sum that needs both of its parts."""
     orders = placed_orders(spark, sf_dir)
     years = orders.groupBy("area", F.date_format("o_orderdate", "yyyy").alias("year")).agg(F.count(F.lit(1)).alias("n"))
-    high = lambda p: F.sum(F.when((F.col("o_totalprice") > 499000) & (F.col("o_orderpriority") == p), 1))
+    high = lambda p: F.sum(F.when((F.col("o_totalprice") > 490000) & (F.col("o_orderpriority") == p), 1))
     sums = orders.groupBy("area").agg(rounded(F.count_if(F.col("o_orderstatus") == "F") * 100.0 / F.count(F.lit(1)), 4).alias("finished_share"), (high("1-URGENT") + high("5-LOW")).alias("level_4_and_5"))
     wide = br.latest_by_number(years, "area", "year", "n", "population_latest").join(sums, "area")
     return br.indicators(wide, "area", ["population_latest", "finished_share", "level_4_and_5"])
