@@ -226,18 +226,24 @@ def learned_texts(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     rows = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id") & (F.length("text") > 0))
     size = F.least(F.length("text"), F.lit(SAMPLE_CHARS))
     pieces = F.when(F.length("text") <= LONGEST, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.floor((size - 1) / LONGEST).cast("int")))
-    rows = rows.select("lang", "text", (F.length("text") > LONGEST).alias("long"), F.explode(pieces).alias("piece"))
-    rows = rows.select("lang", F.substring("text", F.col("piece") * LONGEST + 1, F.lit(LONGEST)).alias("text"), "long", "piece").withColumn("hash", F.xxhash64("text"))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        rows = rows.select("doc_id", "lang", "text", (F.length("text") > LONGEST).alias("long"), F.explode(pieces).alias("piece"))
+        rows = rows.select("doc_id", "lang", F.substring("text", F.col("piece") * LONGEST + 1, F.lit(LONGEST)).alias("text"), "long", "piece")
+        return rows.withColumns({"hash": F.xxhash64("text"), "size": F.length("text")})
+
     rank = Window.partitionBy("lang", "long").orderBy("piece", "hash", "size")
-    ranked = rows.select("lang", "long", "piece", "hash", F.length("text").alias("size")).withColumn("n", F.row_number().over(rank)).where(F.col("n") <= SAMPLE_DOCS)
+    ranked = cut(rows).select("lang", "long", "piece", "hash", "size", "doc_id").withColumn("n", F.row_number().over(rank)).where(F.col("n") <= SAMPLE_DOCS)
     before = Window.partitionBy("lang").orderBy("long", "n").rowsBetween(Window.unboundedPreceding, -1)  # some hundred rows a language
     few = ranked.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") < SAMPLE_CHARS).drop("before").collect()
     if not few:
         return ()
     piece = ["lang", "long", "piece", "hash", "size"]
-    chosen = docs.sparkSession.createDataFrame(few, "lang string, long boolean, piece int, hash long, size int, n int").select(*piece).distinct()
-    sized = rows.withColumn("size", F.length("text")).join(F.broadcast(chosen), piece)  # at most 2 * SAMPLE_DOCS a language
-    text_of = {tuple(r[c] for c in piece): r["text"] for r in sized.groupBy(*piece).agg(F.min("text").alias("text")).collect()}
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(few, f"lang string, long boolean, piece int, hash long, size int, doc_id {id_type}, n int").drop("n").distinct()
+    owners = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")  # at most 2 * SAMPLE_DOCS a language
+    found = cut(owners).join(F.broadcast(chosen), [*piece, "doc_id"])
+    text_of = {tuple(r[c] for c in piece): r["text"] for r in found.groupBy(*piece).agg(F.min("text").alias("text")).collect()}
     texts: dict[str, list[str]] = {}
     for row in sorted(few, key=lambda r: (r["lang"], r["long"], r["n"])):
         texts.setdefault(row["lang"], []).append(text_of[tuple(row[c] for c in piece)])
