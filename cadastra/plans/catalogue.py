@@ -144,7 +144,12 @@ def named_areas(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", tx.names_area("c_mktsegment", F.lit("Build")).alias("named"))
 
 
-@Q.add()
+@Q.add(r"""
+WITH q AS (SELECT page_id, url, CASE WHEN contains(url, '?') THEN substr(url, instr(url, '?') + 1) WHEN url IS NOT NULL THEN '' END AS a FROM pages),
+     d AS (SELECT *, url_decode(a) AS b, url_decode(url_decode(a)) AS c, url_decode(url_decode(url_decode(a))) AS d, url_decode(url_decode(url_decode(url_decode(a)))) AS e FROM q),
+     k AS (SELECT *, list_transform(string_split(concat_ws('&', a, b, c, d), '&'), lambda x: url_decode(replace(split_part(x, '=', 1), '+', ' '))) AS keys FROM d),
+     s AS (SELECT *, list_transform(keys, lambda x: trim(regexp_replace(lower(regexp_replace(x, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^a-z0-9ก-๙]+', '_', 'g'), '_')) AS names FROM k)
+SELECT page_id, url, CASE WHEN a IS NOT NULL THEN d <> e OR len(list_filter(names, lambda x: regexp_matches(x, '(?:^|_)(?:password|secret|token|cookie|authorization|api_?key)(?:_|$)'))) > 0 END AS has_credentials FROM s""")
 def url_credentials(spark, sf_dir):
     from pyspark.sql.types import BooleanType
 

@@ -18,6 +18,9 @@ Q = Queries()
 # A fixed value: the e-mail pattern of the published rules.
 EMAIL_SQL = "(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b"
 
+# The survey rule for phone numbers as a test of whether there is one: what may not stand beside it is matched instead of looked at.
+PHONE_SQL = r"(?:^|[^0-9A-Za-z])(?:\+?66|0)[\s\x0B]*\d(?:[\s\x0B().-]*\d){7,9}(?:[^0-9]|$)"
+
 
 @Q.add(f"SELECT doc_id, sha256(regexp_replace(text, '{EMAIL_SQL}', '[redacted-email]', 'g')) AS digest, regexp_matches(text, '{EMAIL_SQL}') AS had_email FROM documents")
 def redacted_emails(spark, sf_dir):
@@ -34,7 +37,14 @@ def redacted_phones(spark, sf_dir):
     return docs.select("doc_id", count(tx.PHONE_RECORDS).alias("records"), count(tx.PHONE_SURVEY).alias("survey"), count(tx.PHONE_RELEASE).alias("release"), F.sha2(tx.redact("text"), 256).alias("digest"))
 
 
-@Q.add()
+@Q.add(f"SELECT doc_id, 'text' AS column FROM documents WHERE regexp_matches(text, '{EMAIL_SQL}') OR regexp_matches(text, '{PHONE_SQL}')")
+def gate_contact_documents(spark, sf_dir):
+    from cadastra.operators.gates import contact_values
+
+    return contact_values(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", ["text"])
+
+
+@Q.add(f"SELECT conv_id, turn, 'text' AS column FROM conversations WHERE regexp_matches(text, '{EMAIL_SQL}') OR regexp_matches(text, '{PHONE_SQL}')")
 def gate_contact_values(spark, sf_dir):
     from cadastra.operators.gates import contact_values
 
@@ -80,7 +90,13 @@ def payload_leaves(spark, sf_dir):
     return ns.walk(load(spark, sf_dir, "events").select("event_id", "props"), "props", "leaves", ["event_id"])
 
 
-@Q.add()
+@Q.add("""
+WITH e AS (SELECT event_id, event_type, props, unnest(json_keys(props)) AS k FROM events),
+     l AS (SELECT event_id, '$:object' AS line FROM events UNION ALL
+           SELECT event_id, '$/' || k || ':' || CASE json_type(props, '$."' || k || '"') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'number'
+                  WHEN 'NULL' THEN 'null' ELSE 'integer' END FROM e),
+     h AS (SELECT event_id, sha256(string_agg(line, chr(10) ORDER BY line)) AS shape FROM (SELECT DISTINCT * FROM l) GROUP BY 1)
+SELECT event_type, shape, count(*) AS payloads FROM events JOIN h USING (event_id) GROUP BY 1, 2""")
 def payload_shapes(spark, sf_dir):
     """How many payloads have each shape: the hash of all paths and kinds."""
     shapes = ns.walk(load(spark, sf_dir, "events").select("event_type", "props"), "props", "shape", ["event_type"])
@@ -99,7 +115,11 @@ def payload_sanitised(spark, sf_dir):
     return ns.walk(turns, "payload", "sanitised", ["conv_id", "turn"])
 
 
-@Q.add()
+@Q.add(r"""
+WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']?[^"''\s>]+["'']?[^>]*>.*?</a>') AS found FROM pages),
+     l AS (SELECT page_id, unnest(found) AS a, generate_subscripts(found, 1) - 1 AS pos FROM a)
+SELECT page_id, pos::INTEGER AS pos, regexp_extract(a, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS href,
+       substr(trim(regexp_replace(regexp_replace(a, '(?s)<[^>]*>', ' ', 'g'), '[\s\x0B\x{85}\p{Z}]+', ' ', 'g')), 1, 200) AS link_text FROM l""")
 def page_links(spark, sf_dir):
     return rd.links(load(spark, sf_dir, "pages").select("page_id", "html"))
 
@@ -118,8 +138,12 @@ def url_rules(spark, sf_dir):
     return jn.by_prefix(pages, rules).select("page_id", "url", "rule_path", "source_id", "denied")
 
 
-@Q.add()
+@Q.add(r"""
+WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:@]*)', 1)) AS host,
+                  regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM pages)
+SELECT page_id, url, scheme || '://' || host || CASE path WHEN '' THEN '/' ELSE path END || CASE query WHEN '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END AS canonical FROM p""")
 def canonical_urls(spark, sf_dir):
+    """Addresses in one form; the oracle's SQL is for those without escapes, ports and user names, as the given pages have."""
     return ns.map_column(load(spark, sf_dir, "pages").select("page_id", "url"), "url", "canonical", ns.canonical_url)
 
 
