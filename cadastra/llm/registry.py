@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadastra.llm import exact, knn, language, mixing, near, packing, planes, quality, urls, warc
+from cadastra.llm import alignment, exact, knn, language, mixing, near, packing, planes, quality, ranks, urls, warc
 
 QUERIES = {
     "op1_crf_quality": quality.op1_crf_quality,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_extendible_hash": exact.op8_extendible_hash,
     "op9_bit_planes": planes.op9_bit_planes,
     "op10_voronoi_knn": knn.op10_voronoi_knn,
+    "op11_rank_array": ranks.op11_rank_array,
+    "op12_gallop_align": alignment.op12_gallop_align,
 }
 ORACLE_SQL = {
     "op2_warc_revisits": warc.OP2_SQL,

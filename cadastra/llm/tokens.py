@@ -79,16 +79,27 @@ def chunks(data: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 
 class Encoder:
-    """Encodes arrow string arrays with one vocabulary file; remembers about ``max_chunks`` chunks."""
+    """Encodes arrow string arrays with one vocabulary file; remembers about ``max_chunks`` chunks.
 
-    def __init__(self, path: str, max_chunks: int = MAX_CHUNKS, window: int = WINDOW):
+    plain: the strings of special tokens are ordinary text.
+    """
+
+    #: Where a chunk begins in UTF-8 text.
+    borders = staticmethod(borders)
+
+    def __init__(self, path: str, max_chunks: int = MAX_CHUNKS, window: int = WINDOW, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.max_chunks, self.window = Tokenizer.from_file(path), max_chunks, window
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.parting = next((p for p in PARTINGS if self._parts(p)), None)
-        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuts = not any(borders(np.frombuffer(t, np.uint8)).any() for t in special)
+        self._empty(max_chunks, window)
+
+    def _empty(self, max_chunks: int, window: int) -> None:
+        self.max_chunks, self.window = max_chunks, window
         self.known: dict[str, int] = {}
         self.starts, self.lengths, self.met = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -191,7 +202,7 @@ class Encoder:
         while at < len(data):
             some = data[at : at + size]
             low, high = np.searchsorted(places, at), np.searchsorted(places, at + len(some))  # texts that begin here
-            cut = borders(some)
+            cut = self.borders(some)
             cut[places[low:high] - at] = True
             if at + len(some) < len(data):
                 cut[-4:] = False  # the last character may be cut short
