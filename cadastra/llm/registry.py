@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadastra.llm import alignment, exact, knn, language, mixing, near, packing, planes, quality, ranks, urls, warc
+from cadastra.llm import alignment, exact, knn, language, mixing, near, packing, planes, quality, ranks, repair, urls, warc
 
 QUERIES = {
     "op1_crf_quality": quality.op1_crf_quality,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_voronoi_knn": knn.op10_voronoi_knn,
     "op11_rank_array": ranks.op11_rank_array,
     "op12_gallop_align": alignment.op12_gallop_align,
+    "op13_path_ranks": repair.op13_path_ranks,
 }
 ORACLE_SQL = {
     "op2_warc_revisits": warc.OP2_SQL,
