@@ -18,9 +18,11 @@ from cadastra.llm.shared import held_out, table
 #: Per language the learned text is whole documents of smallest hash, at most SAMPLE_DOCS, until SAMPLE_CHARS are reached.
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 40_000
-#: Longer documents are learned from only where a language's others are too few, in pieces of this length, a piece of each
-#: before a second one of any, so that no single one makes a language's text.
+#: Longer documents are learned from only where a language's others are too few, in pieces of this length drawn by hash over the
+#: whole text, a piece of each before a second one of any, so that no single one makes a language's text.
 LONGEST = 8_000
+#: More languages than this are refused: some hundred rows of each come to the driver.
+MOST_LANGS = 1000
 #: Columns of an automaton's table: its commonest characters, and one for those that its text lacks. Rarer characters of
 #: its text are looked up in a sorted list of their transitions.
 SYMBOLS = 96
@@ -220,22 +222,29 @@ def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
 def learned_texts(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     """(lang, text) per language in alphabetical order, from a bounded sample of whole documents.
 
-    Where those of at most LONGEST characters are too few, pieces of longer ones follow, as many as one alone would need.
-    Pieces are ranked by their hashes and lengths; only the texts of those chosen are sent anywhere.
+    Where those of at most LONGEST characters are too few, pieces of longer ones follow, as many as one alone would need, drawn by
+    hash over the whole text. Pieces are ranked by their hashes and lengths; only the texts of those chosen are sent anywhere.
+    Over MOST_LANGS languages are refused.
     """
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id") & (F.length("text") > 0))
-    size = F.least(F.length("text"), F.lit(SAMPLE_CHARS))
-    pieces = F.when(F.length("text") <= LONGEST, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.floor((size - 1) / LONGEST).cast("int")))
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id"))
+    if labelled.select("lang").distinct().limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} languages")
+    rows = labelled.where(F.length("text") > 0)
+    numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / LONGEST).cast("int"))
+    by_hash = F.array_sort(F.transform(numbers, lambda i: F.struct(F.xxhash64("own", i).alias("by"), i.alias("i"))))
+    drawn = F.transform(F.slice(by_hash, 1, -(-SAMPLE_CHARS // LONGEST)), lambda d: d["i"])
+    pieces = F.when(F.length("text") <= LONGEST, F.array(F.lit(0))).otherwise(drawn)
 
     def cut(rows: DataFrame) -> DataFrame:
-        rows = rows.select("doc_id", "lang", "text", (F.length("text") > LONGEST).alias("long"), F.explode(pieces).alias("piece"))
-        rows = rows.select("doc_id", "lang", F.substring("text", F.col("piece") * LONGEST + 1, F.lit(LONGEST)).alias("text"), "long", "piece")
+        rows = rows.select("doc_id", "lang", "text", (F.length("text") > LONGEST).alias("long"), F.when(F.length("text") > LONGEST, F.xxhash64("text")).alias("own"))
+        rows = rows.select("doc_id", "lang", "text", "long", F.posexplode(pieces).alias("turn", "piece"))
+        rows = rows.select("doc_id", "lang", F.substring("text", F.col("piece") * LONGEST + 1, F.lit(LONGEST)).alias("text"), "long", "turn", "piece")
         return rows.withColumns({"hash": F.xxhash64("text"), "size": F.length("text")})
 
-    rank = Window.partitionBy("lang", "long").orderBy("piece", "hash", "size")
-    ranked = cut(rows).select("lang", "long", "piece", "hash", "size", "doc_id").withColumn("n", F.row_number().over(rank)).where(F.col("n") <= SAMPLE_DOCS)
+    rank = Window.partitionBy("lang", "long").orderBy("turn", "hash", "size")
+    ranked = cut(rows).select("lang", "long", "turn", "piece", "hash", "size", "doc_id").withColumn("n", F.row_number().over(rank)).where(F.col("n") <= SAMPLE_DOCS)
     before = Window.partitionBy("lang").orderBy("long", "n").rowsBetween(Window.unboundedPreceding, -1)  # some hundred rows a language
-    few = ranked.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") < SAMPLE_CHARS).drop("before").collect()
+    few = ranked.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") < SAMPLE_CHARS).drop("before", "turn").collect()
     if not few:
         return ()
     piece = ["lang", "long", "piece", "hash", "size"]

@@ -86,12 +86,26 @@ def name_of(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit("\x00null"))
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, set_id, text) of the rows of docs that have the id and the text of a wanted set."""
+    named = wanted.select("node", "set_id", name_of("first_id").alias("_name"), F.col("first_md5").alias("_text"))
+    return docs.select(name_of("doc_id").alias("_name"), F.md5("text").alias("_text"), "text").join(named, ["_name", "_text"]).select("node", "set_id", "text")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, shingles, codes) of the wanted (node, first_id, set_id): the sets of those documents' whole texts."""
+    """(node, shingles, codes) of the wanted (node, first_id, first_md5, set_id): the sets of those documents' whole texts.
+
+    Ids and texts are joined together, so however many rows have an id, or none, a text comes once for each row that is the same.
+    """
 
     @handing_back
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            fresh = np.diff(nodes, prepend=nodes[0] - 1 if last is None else last) != 0 if len(nodes) else np.zeros(0, bool)  # rows that are the same mostly come together
+            last = nodes[-1] if len(nodes) else last
+            batch = batch.filter(pa.array(fresh))
             texts = batch.column("text")
             for a, b in slices(texts, SLICE):
                 values, counts = shingle_sets(texts.slice(a, b - a), words)
@@ -101,9 +115,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFra
                 codes = pa.array([c.tobytes() for c in packed_codes(signatures(values, counts, WIDE))], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), sets, codes], ["node", "shingles", "codes"]).filter(same)
 
-    named = wanted.select("node", "set_id", name_of("first_id").alias("_name"))
-    texts = docs.select(name_of("doc_id").alias("_name"), "text").join(named, "_name").select("node", "set_id", "text")
-    return texts.mapInArrow(build, "node long, shingles array<long>, codes binary").dropDuplicates(["node"])
+    return texts_of(docs, wanted).mapInArrow(build, "node long, shingles array<long>, codes binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -257,12 +269,14 @@ def joined_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """The rows' sets and the sets' components, as near_components() describes them."""
     docs = docs.select("doc_id", "text")
     rows = written(sketches(docs, words, percent), "near-sketches")
-    grouped = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("first")
+    grouped = rows.where("n_shingles > 0").groupBy("set_id").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    grouped = grouped.select("set_id", F.col("first.doc_id").alias("first_id"), F.col("first.text_md5").alias("first_md5"), "n_shingles", "bands")
     sets = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-sets")
     keys = sets.select("node", F.explode("bands").alias("key"))
     shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("key"), "near-keys")
     members = written(keys.join(shared, "key"), "near-members")
-    wanted = written(members.select("node").distinct().join(sets.select("node", "first_id", "set_id"), "node"), "near-wanted")
+    wanted = written(members.select("node").distinct().join(sets.select("node", "first_id", "first_md5", "set_id"), "node"), "near-wanted")
     full = written(full_sets(docs, wanted, words), "near-full")
     first = written(components(verified(star_pairs(members, full, percent), full, percent)), "near-first")
     links = verified(open_pairs(members, sets, full, first, percent), full, percent)

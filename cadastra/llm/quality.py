@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.llm.shared import hand_back, handing_back, held_out, table
@@ -17,9 +17,9 @@ from cadastra.llm.words import word_hashes
 
 #: The field learns from so many labelled documents at most, those of smallest hash of the id.
 SAMPLE = 6000
-#: Of a longer document the field learns from so many characters, half from its start and half from its end; it is scored
-#: whole like all others.
-LONGEST = 30_000
+#: Of a longer document the field learns from WINDOWS parts of it, together so many characters, drawn by hash over its whole text; it
+#: is scored whole like all others.
+LONGEST, WINDOWS = 30_000, 3
 CUT = 0.3
 #: Bytes of text at a time: the temporary arrays take some 60 times as much.
 SLICE = 1 << 20
@@ -234,21 +234,30 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 2, steps: int = 120,
     return field
 
 
+def some_parts(longest: int) -> Column:
+    """text, or of a longer one than that WINDOWS parts drawn by hash, in their order and on lines of their own."""
+    size = max(1, longest // WINDOWS)
+    numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int"))
+    drawn = F.slice(F.array_sort(F.transform(numbers, lambda i: F.struct(F.xxhash64("hash", i).alias("by"), i.alias("i")))), 1, WINDOWS)
+    parts = F.transform(F.array_sort(F.transform(drawn, lambda d: d["i"])), lambda i: F.substring("text", i * size + 1, F.lit(size)))
+    return F.when(F.length("text") > longest, F.concat_ws("\n", parts)).otherwise(F.col("text"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Field:
     """A field from a bounded sample of labelled documents that are not held out.
 
     The sample is drawn from the labels of documents that are there, of any length, so only its documents' texts are
-    moved. Null labels and ids are left out; of several labels of an id the largest holds. Without a label of each kind
-    every line is as good as bad.
+    moved. Null labels and ids are left out; of several labels of an id the largest holds, and of several texts of an id the one
+    of smallest hash. Of texts over ``longest`` characters some parts are learned from, drawn by hash over the whole text. Without a
+    label of each kind every line is as good as bad.
     """
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     there = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    half = longest // 2
-    ends = F.concat(F.substring("text", 1, longest - half - 1), F.lit("\n"), F.expr(f"right(text, {half})"))
-    text = F.when(F.length("text") > longest, ends).otherwise(F.col("text"))
-    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")  # sample rows of two numbers
-    found = rows.orderBy("doc_id", "text").limit(2 * sample).toArrow()
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(F.broadcast(chosen), "doc_id")  # sample rows of two numbers
+    least = rows.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("hash").alias("hash"))
+    found = rows.select("doc_id", "hash", some_parts(longest).alias("text")).join(F.broadcast(least), ["doc_id", "hash"]).groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
+    found = found.orderBy("doc_id").toArrow()  # a row for each of the sample
     quality = found["quality"].to_numpy()
     if not len(quality) or quality.min() == quality.max():
         return Field(np.zeros(3 * OWN + 3), np.zeros((2, 2)))

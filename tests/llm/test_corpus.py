@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from cadastra.llm import components, exact, knn, mixing, near, packing, registry, superminhash, urls, warc, words
-from cadastra.llm.shared import new_folder
+from cadastra.llm.shared import new_folder, written
 from tests.llm.conftest import edge_rows
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -598,3 +598,14 @@ def test_pipeline_stages_on_awkward_rows(spark, edges, nothing, small_dir):
     for docs in (edges.select(*columns), nothing.select(*columns)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, small_dir).collect()
+
+
+def test_near_dedup_reads_a_text_once_however_often_its_id_comes(spark):
+    """Rows without an id are told apart by their texts: not each text for each set."""
+    rows = [(None, " ".join(f"w{i % 500}x{k}" for k in range(30))) for i in range(1000)] + [(5, "the same few words of one row again")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = near.sketches(docs).where("n_shingles > 0").groupBy("set_id").agg(F.min("text_md5").alias("first_md5"), F.first("doc_id").alias("first_id"))
+    wanted = written(sets.withColumn("node", F.monotonically_increasing_id()), "t")
+    assert near.full_sets(docs, wanted).count() == wanted.count() == 501
+    assert near.texts_of(docs, wanted).count() == docs.count()
+    assert {r["n_shingles"] for r in near.near_components(docs).collect()} == {26, 4}

@@ -322,3 +322,36 @@ def test_languages_of_long_documents(spark):
     learned = dict(language.learned_texts(docs))
     assert {lang: len(text) >= language.SAMPLE_CHARS for lang, text in learned.items()} == {"en": True, "fr": True}
     assert {r["lang_pred"] for r in language.identify(docs.where("lang = 'fr'"), docs).collect()} == {"fr"}
+
+
+def test_quality_takes_one_text_of_an_id(spark):
+    good, bad = "The river was calm, and the people of the town walked home.\n", "BUY NOW!!! | $$$ | CLICK | HERE | 100%\n"
+    rows = [(0, bad * 3 + f"{i}") for i in range(20_000)] + [(i, (good if i % 2 else bad) * 4) for i in range(1, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    low, high = quality.learn(docs, labels, sample=12).score(pa.array([bad * 20, good * 20]))
+    assert low < 0.3 and high > 0.7
+
+
+def test_parts_are_drawn_from_whole_texts(spark):
+    docs = spark.createDataFrame([(i, "".join(f"{i:02d}-{k:06d}\n" for k in range(3000))) for i in range(30)], "doc_id long, text string").withColumn("hash", F.xxhash64("text"))
+    parts = [r["t"] for r in docs.select(quality.some_parts(9000).alias("t")).collect()]
+    firsts = [int(line[3:]) for t in parts for line in t.split("\n") if len(line) == 9]
+    assert all(9000 <= len(t) <= 9002 for t in parts)
+    assert min(firsts) < 300 and max(firsts) > 2700 and len({n // 300 for n in firsts}) == 10
+    assert quality.some_parts(40_000) is not None and docs.select(quality.some_parts(40_000).alias("t")).where("t = text").count() == 30
+
+
+def test_languages_are_learned_beyond_the_start(spark):
+    rows = [(i, f"{i} " + "the dog and the cat " * 2100 + text * 5000, lang) for i in range(12) for lang, text in (("fr", "le chien et le chat "), ("de", "der Hund und die Katze "))]
+    docs = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    learned = dict(language.learned_texts(docs))
+    assert learned["fr"].count("chien") > learned["fr"].count("dog") and learned["de"].count("Hund") > learned["de"].count("dog")
+    asked = spark.createDataFrame([(1, "le chat et le chien"), (2, "die Katze und der Hund")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(asked, docs).collect()} == {1: "fr", 2: "de"}
+
+
+def test_too_many_languages_are_refused(spark):
+    docs = spark.range(6000).selectExpr("id as doc_id", "'some text' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError, match="languages"):
+        language.learned_texts(docs)
