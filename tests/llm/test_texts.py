@@ -343,7 +343,7 @@ def test_parts_are_drawn_from_whole_texts(spark):
 
 
 def test_languages_are_learned_beyond_the_start(spark):
-    rows = [(i, f"{i} " + "the dog and the cat " * 2100 + text * 5000, lang) for i in range(12) for lang, text in (("fr", "le chien et le chat "), ("de", "der Hund und die Katze "))]
+    rows = [(i, f"{i} " + "the dog and the cat " * 2100 + text * 20_000, lang) for i in range(12) for lang, text in (("fr", "le chien et le chat "), ("de", "der Hund und die Katze "))]
     docs = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
     learned = dict(language.learned_texts(docs))
     assert learned["fr"].count("chien") > learned["fr"].count("dog") and learned["de"].count("Hund") > learned["de"].count("dog")
