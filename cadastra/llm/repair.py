@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -170,9 +171,25 @@ def summaries(rows: pa.Table) -> pa.Table:
 SUMMARY = "conv string, block long, costs array<long>, illegal long, head int, tail int"
 
 
-def chained(rows: pa.Table) -> pa.Table:
+def by_conv(answer, names: list[str], types: list[pa.DataType]):
+    """A function over the batches of a table that is sorted by conversation and block: answer() gives columns for each one's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        groups = (answer(list(own)) for _, own in groupby(rows, key=lambda r: r["conv"]))
+        while some := list(islice(groups, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array(list(chain.from_iterable(x)), t) for x, t in zip(zip(*some, strict=True), types, strict=True)], names)
+
+    return run
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """A conversation's rows, of which there is one a block, together and in order."""
+    return df.repartition("conv").sortWithinPartitions("conv", "block")
+
+
+def chained(parts: list[dict]) -> tuple[list, ...]:
     """A conversation's summaries with the costs that follow each, whether it is the first or last, and the whole cost."""
-    parts = sorted(rows.to_pylist(), key=lambda r: r["block"])
     after, follow = AT_END, []
     for part in reversed(parts):
         follow.append(after)
@@ -180,19 +197,20 @@ def chained(rows: pa.Table) -> pa.Table:
     legal = {(0, 1), (1, 2), (2, 1)}
     illegal = sum(p["illegal"] for p in parts) + sum((p["tail"], q["head"]) not in legal for p, q in zip(parts[:-1], parts[1:], strict=True))
     n = len(parts)
-    return pa.table({"conv": [p["conv"] for p in parts], "of_block": [p["block"] for p in parts], "after": pa.array(follow[::-1], pa.list_(pa.int64())), "first": [i == 0 for i in range(n)], "last": [i == n - 1 for i in range(n)], "cost": [int(after[0])] * n, "illegal": [illegal] * n})
+    return [p["conv"] for p in parts], [p["block"] for p in parts], follow[::-1], [i == 0 for i in range(n)], [i == n - 1 for i in range(n)], [int(after[0])] * n, [illegal] * n
 
 
 CHAIN = "conv string, of_block long, after array<long>, first boolean, last boolean, cost long, illegal long"
+CHAIN_TYPES = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
 
 
-def least_audits(rows: pa.Table, chain: pa.Table) -> pa.Table:
+def least_audits(rows: pa.Table, follow: pa.Table) -> pa.Table:
     """For each run of a block, from each state in which it may begin: the least audit, the roles that it gives, the state at its end.
 
     roles: a letter for each of the audit's: u or a for turns that are inserted or get another role, else a blank.
     """
     own = Block(rows)
-    follows = {c: (a, f, last) for c, a, f, last in zip(*(chain[k].to_pylist() for k in ("conv", "after", "first", "last")), strict=True)}
+    follows = {c: (a, f, last) for c, a, f, last in zip(*(follow[k].to_pylist() for k in ("conv", "after", "first", "last")), strict=True)}
     pointers, _ = doubled(*(found := own.optimal(np.array([follows[c][0] for c in own.convs], np.int64))))
     letter = found[0]
     entries = np.array([(r, s) for r, c in enumerate(own.convs) for s in range(1 if follows[c][1] else 4)])
@@ -219,28 +237,39 @@ def least_audits(rows: pa.Table, chain: pa.Table) -> pa.Table:
 AUDITS = "conv string, block long, pos long, audits array<string>, roles array<string>, exits array<int>, last boolean"
 
 
-def joined_audits(rows: pa.Table) -> pa.Table:
+def joined_audits(parts: list[dict]) -> tuple[list, ...]:
     """A conversation's runs with the audit and roles from the state in which each begins; turns after the last are added to it."""
     state, out = 0, []
-    for part in sorted(rows.to_pylist(), key=lambda r: r["block"]):
+    for part in parts:
         audit, roles = part["audits"][state], part["roles"][state]
         state = part["exits"][state]
         more = LAST_LETTERS[state] if part["last"] else ""
         out.append((part["conv"], part["block"], part["pos"], audit + more, roles + ("ua" if len(more) == 2 else "a" if more else "")))
-    return pa.table(dict(zip(("conv", "block", "pos", "audit", "roles"), map(list, zip(*out, strict=True)), strict=True)))
+    return tuple(map(list, zip(*out, strict=True)))
 
 
 EDITED = "conv string, block long, pos long, audit string, roles string"
+EDITED_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+
+def names_of(ddl: str) -> list[str]:
+    return [column.split(" ")[0] for column in ddl.split(", ")]
 
 
 def unrolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each letter of an audit: the place of its turn (the next one's, if it is inserted), its number and its role."""
     for batch in batches:
-        for conv, pos, audit, roles in zip(*(batch.column(c).to_pylist() for c in ("conv", "pos", "audit", "roles")), strict=True):
-            letters = np.frombuffer(audit.encode(), np.uint8)
-            row = letters != ord("I")
-            n = len(letters)
-            yield pa.RecordBatch.from_arrays([pa.array([conv] * n, pa.string()), pa.array(pos + np.cumsum(row) - row), pa.array(np.arange(n)), pa.array(list(audit), pa.string()), pa.array(list(roles), pa.string())], ["conv", "pos", "letter", "op", "given"])
+        audits = batch.column("audit").to_pylist()
+        size = np.array([len(a) for a in audits], np.int64)
+        if not size.sum():
+            continue
+        letters = np.frombuffer("".join(audits).encode(), np.uint8)
+        run, first = np.repeat(np.arange(len(size)), size), np.repeat(np.cumsum(size) - size, size)
+        turn = (letters != ord("I")).astype(np.int64)
+        before = np.cumsum(turn) - turn
+        pos = batch.column("pos").to_numpy()[run] + before - before[first]
+        given = pa.array(list("".join(batch.column("roles").to_pylist())), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("conv").take(pa.array(run)), pa.array(pos), pa.array(np.arange(len(run)) - first), pa.array(list("".join(audits)), pa.string()), given], ["conv", "pos", "letter", "op", "given"])
 
 
 def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +302,9 @@ class Repair:
         self.turns = sorted_turns(rows)
         self.faults = with_faults(self.turns)
         runs = self.faults.groupBy("block").applyInArrow(summaries, SUMMARY)
-        self.chain = written(runs.groupBy("conv").applyInArrow(chained, CHAIN), "chain")
+        self.chain = written(in_order(runs).mapInArrow(by_conv(chained, names_of(CHAIN), CHAIN_TYPES), CHAIN), "chain")
         audits = self.faults.groupBy("block").cogroup(self.chain.groupBy("of_block")).applyInArrow(least_audits, AUDITS)
-        self.edited = written(audits.groupBy("conv").applyInArrow(joined_audits, EDITED), "edited")
+        self.edited = written(in_order(audits).mapInArrow(by_conv(joined_audits, names_of(EDITED), EDITED_TYPES), EDITED), "edited")
 
     def edits(self) -> DataFrame:
         """A row for each edit, in order of conv, pos and letter: op (an initial), role and text after it (null if deleted), turn."""
