@@ -18,12 +18,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.llm.shared import spread_join, table, written
+from cadastra.llm.shared import handing_back, spread_join, table, written
 from cadastra.llm.spelling import Spelling, byte_level_vocabulary, piece_vocabulary
-from cadastra.llm.tokens import MAX_CHUNKS, SLICE_BYTES, WINDOW, Encoder, gathered, slices
+from cadastra.llm.tokens import MAX_CHUNKS, WINDOW, Encoder, gathered, slices
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPACE = 0x20
+#: Bytes of text in a chunk; the temporary arrays take some 60 times as much.
+CHUNK_BYTES = 2 << 20
+#: Chunks of words that each of the two encoders remembers, and the bytes that it goes through at once.
+REMEMBERED, OWN_WINDOW = 150_000, 1 << 20
 
 
 def before_spaces(data: np.ndarray) -> np.ndarray:
@@ -62,8 +66,8 @@ class PieceEncoder(Encoder):
 @lru_cache(maxsize=1)
 def encoders(byte_level: str, pieces: str) -> tuple[Encoder, Spelling, Encoder, Spelling]:
     """Both tokenizers and the bytes of their ids, once per Python worker."""
-    b = PieceEncoder(pieces)
-    return Encoder(byte_level, plain=True), Spelling(byte_level_vocabulary(byte_level)), b, Spelling(piece_vocabulary(b.processor))
+    b = PieceEncoder(pieces, REMEMBERED, OWN_WINDOW)
+    return Encoder(byte_level, REMEMBERED, OWN_WINDOW, plain=True), Spelling(byte_level_vocabulary(byte_level)), b, Spelling(piece_vocabulary(b.processor))
 
 
 def reached(longer: np.ndarray, keys: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -128,7 +132,7 @@ def overlaps(ends: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def listed(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, first byte of each group and the end) of groups written as ``a1,a2|b1;``, one after another."""
     groups = np.arange(len(a_sizes))
-    order = np.empty(len(a) + len(b), np.int64)
+    order = np.empty(len(a) + len(b), np.int32)
     mark = np.full(len(order), ord(","), np.uint8)
     a_through, b_before = np.cumsum(a_sizes), np.cumsum(b_sizes) - b_sizes
     at_a = np.arange(len(a)) + b_before[np.repeat(groups, a_sizes)]
@@ -139,10 +143,10 @@ def listed(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarra
     width = len(str(int(order.max()))) if len(order) else 1
     tens = 10 ** np.arange(width - 1, -1, -1)
     cells = np.empty((len(order), width + 1), np.uint8)
-    cells[:, :-1] = order[:, None] // tens % 10 + ord("0")
-    cells[:, -1] = mark
     kept = np.ones(cells.shape, bool)
-    kept[:, :-1] = (order[:, None] >= tens) | (tens == 1)
+    for k, ten in enumerate(tens[:-1]):
+        cells[:, k], kept[:, k] = order // ten % 10 + ord("0"), order >= ten
+    cells[:, -2], cells[:, -1] = order % 10 + ord("0"), mark
     bounds = np.concatenate([[0], np.cumsum(kept.sum(1))])
     return cells[kept], np.concatenate([[0], bounds[last + 1]])
 
@@ -209,7 +213,7 @@ class Aligned:
 LINKED = "n_a long, n_b long, n_groups long, groups string, chunk long, link array<int>, times array<int>, pairs array<struct<a: int, b: int, n: long>>"
 
 
-def align(docs: DataFrame, byte_level: str, pieces: str, chunk_bytes: int = SLICE_BYTES) -> DataFrame:
+def align(docs: DataFrame, byte_level: str, pieces: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Aligns the tokens of each text, with a space before it, by both vocabularies; special tokens are plain text.
 
     doc_id; n_a, n_b: tokens of either kind; n_groups; groups: the ids of each group as ``a1,a2|b1;a3|b2,b3``. Rows come in chunks
@@ -222,6 +226,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, chunk_bytes: int = SLIC
     id_type = docs.schema["doc_id"].dataType.simpleString()
     of_pair = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for batch in gathered(batches, chunk_bytes):
