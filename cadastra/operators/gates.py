@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.functions.text import holds_contact
+from cadastra.operators import nodes as nd
 from cadastra.operators.joins import churn, small
 
 
@@ -158,63 +159,14 @@ def not_ready(sources: DataFrame) -> DataFrame:
 
 def invalid_geometries(features: DataFrame, key: str, geometry: str) -> DataFrame:
     """(key, problem) of the features whose GeoJSON geometry, as text, is not valid: closed rings, enough positions, in range."""
-    import json
-
-    import pyarrow as pa
-
-    def judge(batches):
-        for batch in batches:
-            found = []
-            for text in batch.column("_geometry").to_pylist():
-                try:
-                    found.append(geometry_problem(json.loads(text)) if text is not None else "no geometry")
-                except ValueError:
-                    found.append("not JSON")
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.string())], [key, "problem"])
-
-    rows = features.select(key, F.col(geometry).alias("_geometry"))
-    return rows.mapInArrow(judge, f"{key} {features.schema[key].dataType.simpleString()}, problem string").where("problem IS NOT NULL")
+    return nd.wrong_geometries(features, geometry, [key])
 
 
 def wrong_declared_counts(documents: DataFrame, key: str, payload: str) -> DataFrame:
-    """(key, path, problem) of JSON objects at any depth whose row_count is not the size of rows, or total_records that of items.
+    """(key, path, problem) of JSON objects at any depth whose declared counts are not those of their lists."""
+    return nd.miscounted(nd.tree(documents, payload, [key]))
 
-    Empty items beside resource_groups alone may be summed up in the groups' row_counts; beside other lists items are not
-    held against the total.
-    """
-    from cadastra.operators.nested import walk
-
-    return walk(documents.select(key, payload), payload, "declared", [key])
-
-
-def geometry_problem(geometry: dict) -> str | None:
-    """What is wrong with a GeoJSON geometry of any of the seven types, or None."""
-    import math
-
-    def position(p) -> bool:
-        return isinstance(p, list) and len(p) >= 2 and all(isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x) for x in p) and abs(p[0]) <= 180 and abs(p[1]) <= 90
-
-    def line(ps, least: int) -> bool:
-        return isinstance(ps, list) and len(ps) >= least and all(map(position, ps))
-
-    def ring(ps) -> bool:
-        return line(ps, 4) and ps[0] == ps[-1]
-
-    def many(items, check) -> bool:
-        return isinstance(items, list) and bool(items) and all(map(check, items))
-
-    if not isinstance(geometry, dict):
-        return "no geometry"
-    name, places = geometry.get("type"), geometry.get("coordinates")
-    if name == "GeometryCollection":
-        members = geometry.get("geometries")
-        return "no geometries" if not isinstance(members, list) else next((p for p in map(geometry_problem, members) if p), None)
-    checks = {
-        "Point": position,
-        "MultiPoint": lambda c: many(c, position),
-        "LineString": lambda c: line(c, 2),
-        "MultiLineString": lambda c: many(c, lambda x: line(x, 2)),
-        "Polygon": lambda c: many(c, ring),
-        "MultiPolygon": lambda c: many(c, lambda x: many(x, ring)),
-    }
-    return "unknown type" if name not in checks else None if checks[name](places) else f"bad {name}"
+
+def unreadable_documents(documents: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, problem) of the documents that are no JSON, or too deep."""
+    return nd.shapes(nd.tree(documents, payload, [key])).where("problem IS NOT NULL").select(key, "problem")

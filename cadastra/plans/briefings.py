@@ -10,7 +10,7 @@ from cadastra.operators import aggregates as ag
 from cadastra.operators import briefings as br
 from cadastra.operators import gates as gt
 from cadastra.operators import joins as jn
-from cadastra.operators import nested as ns
+from cadastra.operators import nodes as nd
 from cadastra.operators import ranking as rk
 from cadastra.plans.areas import COMPARED, CONCERN, metrics, nations
 from cadastra.plans.queries import Queries
@@ -246,7 +246,7 @@ def payload_meanings(spark, sf_dir):
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     row = F.struct(F.when(F.col("turn") % 2 == 0, "turns").alias("unitTh"), F.col("turn").alias("value"))
     payload = F.to_json(F.struct(F.col("role").alias("status"), F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("metricKey"), F.array(row, row).alias("rows")))
-    return ns.walk(turns.select("conv_id", "turn", payload.alias("payload")), "payload", "meanings", ["conv_id", "turn"])
+    return nd.meanings(nd.tree(turns.select("conv_id", "turn", payload.alias("payload")), "payload", ["conv_id", "turn"])).drop("rule")
 
 
 @Q.add("""
@@ -284,3 +284,80 @@ def typed_identities(spark, sf_dir):
 
 
 QUERIES, ORACLE_SQL = Q.found, Q.sql
+
+
+def nation_documents(spark, sf_dir):
+    """A document for each nation: its customers, three levels deep, and their orders."""
+    orders = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    customers = load(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    placed = F.transform("keys", lambda k: F.struct(k.alias("id"), F.when(k % 50 == 0, F.lit("late")).alias("orderStatus")))
+    one = F.struct(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 9 == 0, F.concat(F.lit("m"), F.col("c_custkey"))).alias("metricKey"), placed.alias("orders"))
+    per = customers.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(one)).alias("customers"))  # a row a nation
+    payload = F.to_json(F.struct(F.concat(F.lit("n"), F.col("c_nationkey")).alias("source_id"), F.size("customers").alias("n"), "customers"))
+    return per.select(F.col("c_nationkey").alias("nation"), payload.alias("payload"))
+
+
+NATION_ORDERS = "c AS (SELECT c_nationkey AS nation, c_custkey AS key FROM customer), o AS (SELECT nation, key, o_orderkey AS id FROM c JOIN orders ON o_custkey = key)"
+
+
+@Q.add(f"""
+WITH {NATION_ORDERS}, l AS (SELECT nation, '$/customers[]/key' AS path, key AS v FROM c UNION ALL SELECT nation, '$/customers[]/orders[]/id', id FROM o UNION ALL SELECT nation, '$/n', count(*) FROM c GROUP BY 1)
+SELECT nation, path, count(*) AS leaves, CAST(sum(v) AS BIGINT) AS total FROM l GROUP BY 1, 2
+UNION ALL SELECT nation, '$/source_id', 1, NULL FROM c GROUP BY 1 UNION ALL SELECT nation, '$/customers[]/metricKey', count(*), NULL FROM c WHERE key % 9 = 0 GROUP BY 1
+UNION ALL SELECT nation, '$/customers[]/orders[]/orderStatus', count(*), NULL FROM o WHERE id % 50 = 0 GROUP BY 1""")
+def nested_leaves(spark, sf_dir):
+    """The scalars of documents three levels deep, counted and summed by path."""
+    leaves = nd.leaves(nd.tree(nation_documents(spark, sf_dir), "payload", ["nation"]))
+    return leaves.groupBy("nation", "path").agg(F.count(F.lit(1)).alias("leaves"), F.sum(F.col("value").try_cast("long")).alias("total"))
+
+
+@Q.add(f"""
+WITH {NATION_ORDERS}, l AS (
+ SELECT nation, unnest(['$:object', '$/source_id:string', '$/n:integer', '$/customers:array', '$/customers[]:object', '$/customers[]/key:integer']) AS line FROM c
+ UNION ALL SELECT nation, '$/customers[]/metricKey:string' FROM c WHERE key % 9 = 0 UNION ALL SELECT nation, '$/customers[]/orders[]/orderStatus:string' FROM o WHERE id % 50 = 0
+ UNION ALL SELECT nation, unnest(['$/customers[]/orders:array', '$/customers[]/orders[]:object', '$/customers[]/orders[]/id:integer']) FROM o)
+SELECT nation, sha256(string_agg(line, chr(10) ORDER BY line)) AS shape FROM (SELECT DISTINCT * FROM l) GROUP BY 1""")
+def nested_shapes(spark, sf_dir):
+    return nd.shapes(nd.tree(nation_documents(spark, sf_dir), "payload", ["nation"])).drop("problem")
+
+
+@Q.add("SELECT c_nationkey AS nation, 'root.customers' AS path, count(*) AS records, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1")
+def nested_records(spark, sf_dir):
+    """Customers are the nearest list of objects; their orders stay within them."""
+    found = nd.records(nd.tree(nation_documents(spark, sf_dir), "payload", ["nation"]))
+    return found.groupBy("nation", "path").agg(F.count(F.lit(1)).alias("records"), F.sum(F.get_json_object("record", "$.key").cast("long")).alias("keys"))
+
+
+@Q.add(f"""
+WITH {NATION_ORDERS}
+SELECT DISTINCT nation, '$/customers[]/orders[]/order_status' AS path, '[["' || CASE WHEN key % 9 = 0 THEN 'metric_key","m' || key ELSE 'source_id","n' || nation END || '"]]' AS context, '"late"' AS value FROM o WHERE id % 50 = 0""")
+def nested_meanings(spark, sf_dir):
+    """States of orders, which speak of their customer's metric or else of the whole document's source."""
+    return nd.meanings(nd.tree(nation_documents(spark, sf_dir), "payload", ["nation"])).drop("rule")
+
+
+@Q.add("""
+SELECT page_id, '$/groups[]/pages[]/' || CASE page_id % 2 WHEN 0 THEN 'url' ELSE 'links[]' END AS path, CASE page_id % 3 WHEN 0 THEN 's0' WHEN 1 THEN 'inner' ELSE 'named,twice' END AS sources, url FROM pages WHERE url IS NOT NULL
+UNION ALL SELECT page_id, '$/sources/declared/home_url', 'declared', url FROM pages WHERE url IS NOT NULL""")
+def nested_sources(spark, sf_dir):
+    """Addresses within documents with the sources that the nearest object around names, up to two levels above."""
+    pages = load(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", "url")
+    page = F.struct(F.when(F.col("page_id") % 2 == 0, F.col("url")).alias("url"), F.when(F.col("page_id") % 2 == 1, F.array("url")).alias("links"))
+    group = F.struct(F.when(F.col("page_id") % 3 == 1, "inner").alias("sourceId"), F.when(F.col("page_id") % 3 == 2, F.array(F.lit("twice"), F.lit("named"), F.lit("twice"))).alias("source_ids"), F.array(page).alias("pages"))
+    home = F.struct(F.struct(F.col("url").alias("home_url")).alias("declared"))
+    payload = F.to_json(F.struct(F.lit("s0").alias("source_id"), F.array(group).alias("groups"), home.alias("sources")))
+    found = nd.sourced_urls(nd.tree(pages.select("page_id", payload.alias("payload")), "payload", ["page_id"]), ["declared"])
+    return found.withColumn("sources", F.array_join("sources", ","))
+
+
+@Q.add("""
+WITH g AS (SELECT vec_id, round(embedding[1]::DOUBLE * 900, 6) AS x, round(embedding[2]::DOUBLE * 450, 6) AS y FROM embeddings)
+SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'not JSON' WHEN vec_id % 5 = 0 THEN 'unknown type' ELSE 'bad MultiPoint' END AS problem FROM g WHERE vec_id % 7 = 0 OR vec_id % 5 = 0 OR abs(x) > 180 OR abs(y) > 90""")
+def gate_nested_geometries(spark, sf_dir):
+    """Collections within collections: what is wrong is two levels down, or the text is cut off."""
+    points = load(spark, sf_dir, "embeddings").select("vec_id", F.array(F.round(F.col("embedding")[0].cast("double") * 900, 6), F.round(F.col("embedding")[1].cast("double") * 450, 6)).alias("at"))
+    inner = F.struct(F.when(F.col("vec_id") % 5 == 0, "Cloud").otherwise("MultiPoint").alias("type"), F.array("at").alias("coordinates"))
+    within = F.struct(F.lit("GeometryCollection").alias("type"), F.array(inner).alias("geometries"))
+    text = F.to_json(F.struct(F.lit("GeometryCollection").alias("type"), F.array(within).alias("geometries")))
+    text = F.when(F.col("vec_id") % 7 == 0, F.left(text, F.length(text) - 1)).otherwise(text)
+    return gt.invalid_geometries(points.select("vec_id", text.alias("geometry")), "vec_id", "geometry")

@@ -10,6 +10,7 @@ from cadastra.functions.codes import area_code
 from cadastra.functions.numbers import shown, strict_double
 from cadastra.operators import joins as jn
 from cadastra.operators import nested as ns
+from cadastra.operators import nodes as nd
 from cadastra.plans.queries import Queries
 from cadastra.session import load
 from cadastra.sources import readers as rd
@@ -87,7 +88,7 @@ def payload_identities(spark, sf_dir):
 
 @Q.add("SELECT event_id, '$/' || key AS path, props->>('$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
 def payload_leaves(spark, sf_dir):
-    return ns.walk(load(spark, sf_dir, "events").select("event_id", "props"), "props", "leaves", ["event_id"])
+    return nd.leaves(nd.tree(load(spark, sf_dir, "events"), "props", ["event_id"]))
 
 
 @Q.add("""
@@ -99,20 +100,20 @@ WITH e AS (SELECT event_id, event_type, props, unnest(json_keys(props)) AS k FRO
 SELECT event_type, shape, count(*) AS payloads FROM events JOIN h USING (event_id) GROUP BY 1, 2""")
 def payload_shapes(spark, sf_dir):
     """How many payloads have each shape: the hash of all paths and kinds."""
-    shapes = ns.walk(load(spark, sf_dir, "events").select("event_type", "props"), "props", "shape", ["event_type"])
+    shapes = nd.shapes(nd.tree(load(spark, sf_dir, "events"), "props", ["event_type"])).where("shape IS NOT NULL")
     return shapes.groupBy("event_type", "shape").agg(F.count(F.lit(1)).alias("payloads"))
 
 
 @Q.add("SELECT event_id, 'root' AS path, regexp_replace(props, '\\s', '', 'g') AS record FROM events")
 def payload_records(spark, sf_dir):
-    return ns.walk(load(spark, sf_dir, "events").select("event_id", "props"), "props", "records", ["event_id"])
+    return nd.records(nd.tree(load(spark, sf_dir, "events"), "props", ["event_id"]))
 
 
 @Q.add()
 def payload_sanitised(spark, sf_dir):
     """Payloads that carry a text each, sanitised."""
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", "text", F.col("conv_id").alias("contactName"))).alias("payload"))
-    return ns.walk(turns, "payload", "sanitised", ["conv_id", "turn"])
+    return nd.sanitised(turns, "payload", ["conv_id", "turn"]).withColumnRenamed("json", "clean")
 
 
 @Q.add(r"""

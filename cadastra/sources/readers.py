@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastra.operators.gates import GateError
-from cadastra.operators.nested import strict_json, walk
+from cadastra.operators import nodes as nd
 
 SNAPSHOT_FILES = "{*.csv,*.json,*.jsonl,*.csv.gz,*.jsonl.gz}"
 BOM = "﻿"
@@ -47,7 +47,7 @@ def read_json_lines(spark: SparkSession, path: str | list[str], strict: bool = F
 def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(dataset, path, record) of the nearest object lists of whole JSON files."""
     files = spark.read.text(path, wholetext=True).select(dataset_name(F.col("_metadata.file_path")).alias("dataset"), "value")
-    return walk(files, "value", "records", keep=["dataset"])
+    return nd.records(nd.tree(files, "value", ["dataset"]))
 
 
 def read_release(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,11 +58,6 @@ def read_release(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", F.length(content).cast("long").alias("bytes"), F.sha2(content, 256).alias("sha256"))
 
 
-def load_strict_json(text: str):
-    """A JSON document in which a byte-order mark, a duplicate key, NaN or Infinity is an error."""
-    return strict_json(text)
-
-
 def header_array(df: DataFrame, rows: str) -> DataFrame:
     """(source_row_number, label, value) of an array of rows whose first is the header."""
     return df.select(F.posexplode(rows).alias("source_row_number", "_r")).where("source_row_number > 0").select("source_row_number", F.try_element_at("_r", F.lit(1)).alias("label"), F.try_element_at("_r", F.lit(2)).alias("value"))

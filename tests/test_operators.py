@@ -120,31 +120,6 @@ def test_ranking(spark):
     assert [r["t"] for r in rk.page(df, 5, 1, "g", "t").collect()] == [5, 6, 7, 8, 9]
 
 
-def test_walks(spark):
-    payload = {"a": {"rows": [{"x": 1}, 2, {"x": [{"y": 3}]}]}, "b": [1], "ownerContact": "n", "address_province": "p", "t": "mail a@b.co", "source_id": "s", "deep": {"url": "https://u.v/w", "unit": "m"}}
-    df = spark.createDataFrame([(1, json.dumps(payload)), (2, "no json"), (3, None), (4, '{"only": 1}')], "id int, p string")
-    got = lambda how: rows(ns.walk(df.where("id < 4"), "p", how, ["id"]))
-    assert got("records") == {(1, "root.a.rows", '{"x":1}'), (1, "root.a.rows", '{"x":[{"y":3}]}'), (1, "root.deep", '{"url":"https://u.v/w","unit":"m"}')}
-    assert rows(ns.walk(df.where("id = 4"), "p", "records")) == {("root", '{"only":1}')}
-    clean = json.loads(next(iter(got("sanitised")))[1])
-    assert "ownerContact" not in clean and clean["t"] == "mail [redacted-email]" and clean["address_province"] == "p"
-    assert got("dropped") == {(1, "ownerContact", "contact key")}
-    assert got("violations") == {(1, "$/ownerContact", "contact key"), (1, "$/t", "email value")}
-    assert got("provenance") == {(1, "$/deep/url", "s", "https://u.v/w")}
-    assert got("meanings") == {(1, "$/deep/unit", '[["source_id","s"]]', '"m"')}
-    assert ns.HIDDEN in next(iter(got("preview")))[1]
-    shape = lambda v: ns.shape_hash(v)
-    assert shape({"a": [1, 2], "b": "x"}) == shape({"b": "y", "a": [3]}) != shape({"a": [1.5], "b": "x"})
-    with pytest.raises(ValueError):
-        deep = []
-        for _ in range(50):
-            deep = [deep]
-        shape(deep)
-    for bad in ('{"a": 1, "a": 2}', '{"a": NaN}', "﻿{}"):
-        with pytest.raises(ValueError):
-            ns.strict_json(bad)
-
-
 def test_urls():
     assert ns.canonical_url("HTTPS://Bücher.example:443/%7Eb/?b=2&a=1#f") == "https://xn--bcher-kva.example/~b/?a=1&b=2"
     assert ns.canonical_url("ftp://x/y") is None and ns.canonical_url("https://u:p@x/") is None and ns.canonical_url("https://x/%2e%2e/etc") is None
@@ -172,24 +147,15 @@ def test_gates(spark):
     assert rows(gt.invalid_boxes(boxes, "id", ["lon"], ["lat"])) == {(2,), (3,), (4,)}
 
 
-def test_more_gates_and_walks(spark):
+def test_more_gates(spark):
     rows_of = spark.range(5)
     assert gt.capped(rows_of, 5).count() == 5
     with pytest.raises(gt.GateError):
         gt.capped(rows_of, 4)
     sources = spark.createDataFrame([("a", "public", True, False), ("b", "restricted", True, False), ("c", "public", None, False), ("d", "public", True, True)], "source_id string, policy string, approved boolean, pending boolean")
     assert rows(gt.not_ready(sources)) == {("b", "restricted"), ("c", "not approved"), ("d", "pending")}
-    df = spark.createDataFrame([('{"m": {"x": {"as_of": "2569"}, "y": {"as_of": ""}, "z": 1}}',), ('{"x": {"v": 1}, "y": 2}',)], "p string")
-    assert rows(ns.walk(df, "p", "temporal")) == {("$/m/x/as_of", "2569")}
-    assert ("x", '{"v":1,"$key":"x"}') in rows(ns.walk(df, "p", "keyed"))
-
-
-def test_geometry():
-    ring = [[0, 0], [1, 0], [1, 1], [0, 0]]
-    for fine in ({"type": "Point", "coordinates": [1, 2]}, {"type": "Polygon", "coordinates": [ring]}, {"type": "MultiPolygon", "coordinates": [[ring]]}, {"type": "GeometryCollection", "geometries": [{"type": "LineString", "coordinates": ring}]}):
-        assert gt.geometry_problem(fine) is None
-    for bad in ({"type": "Polygon", "coordinates": [ring[:3]]}, {"type": "Point", "coordinates": [200, 0]}, {"type": "Blob"}, None, {"type": "LineString", "coordinates": [[0, 0]]}, {"type": "Point", "coordinates": [float("nan"), 0]}):
-        assert gt.geometry_problem(bad)
+    documents = spark.createDataFrame([(1, "{}"), (2, "["), (3, "[" * 50 + "]" * 50), (4, None)], "id int, p string")
+    assert rows(gt.unreadable_documents(documents, "id", "p")) == {(2, "not JSON"), (3, "too deep")}
 
 
 def test_sync(spark, tmp_path):
@@ -280,22 +246,6 @@ def test_prefix_rules_keep_every_page(spark):
     assert len(found) == 7
 
 
-def test_meaning_of_documents():
-    base = {"metric_key": "m", "unit": "kg", "rows": [{"value": 1, "status": "ok"}, {"value": 2, "status": "ok"}], "geography": {"level": "area"}}
-    same = base | {"rows": [*base["rows"], {"value": 9, "status": "ok"}]}  # another observation means nothing new
-    assert ns.meaning_hash(base) == ns.meaning_hash(same)
-    for change in ({"unit": "t"}, {"metric_key": "n"}, {"rows": [{"value": 1, "status": "late"}]}, {"geography": {"level": "region"}}, {"note": "needs_review"}, {"x_method": "a"}, {"review_by": "b"}):
-        assert ns.meaning_hash(base | change) != ns.meaning_hash(base), change
-    assert {m for m in ns.meanings({"geometry": {"type": "Point", "coordinates": [1, 2]}, "type": "row", "review_count": 3})} == {("$/geometry/type", "", '"Point"')}
-
-
-def test_declared_counts():
-    fine = [{"rows": [1], "row_count": 1}, {"items": [], "total_records": 5, "resource_groups": [{"row_count": 2}, {"row_count": 3}]}, {"items": [1], "total_records": 9, "others": [1]}, {"rows": 1}]
-    assert not list(ns.miscounted(fine))
-    bad = {"a": {"rows": [1], "row_count": 2}, "b": [{"items": [1, 2], "total_records": 1}], "c": {"rows": {}, "row_count": 0}, "d": {"rows": [], "row_count": True}, "e": {"items": [], "total_records": 4, "resource_groups": [{"row_count": 3}]}}
-    assert sorted(p for p, _ in ns.miscounted(bad)) == ["$/a", "$/b[]", "$/c", "$/d", "$/e"]
-
-
 def test_tables_and_content(spark):
     files = spark.createDataFrame([("a", ["x", "y"]), ("b", ["y", "x"]), ("c", ["x", "x"])], "path string, header array<string>")
     assert rows(gt.wrong_headers(files, ["x", "y"])) == {("b", "other names"), ("c", "repeated name")}
