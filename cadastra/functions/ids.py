@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cadastra.functions.variants import CONTAINERS, kind_of, step, text_of
+
 MAX_ID = 200
 MAX_AS_OF = 100
 # Where an identity is looked for when no contract names one.
@@ -38,10 +40,14 @@ def json_of(value: Column) -> Column:
 
 
 def pointer(payload: Column | str, path: str) -> Column:
-    """The value at a JSON pointer: ~1 is a slash, ~0 a tilde, whole numbers index arrays too."""
-    payload = F.col(payload) if isinstance(payload, str) else payload
-    steps = [s.replace("~1", "/").replace("~0", "~") for s in path.split("/")[1:]]
-    return F.get_json_object(payload, "$" + "".join(f"[{s}]" if s.isdigit() else f"['{s}']" for s in steps))
+    """The value at a JSON pointer, scalars as text: ~1 is a slash, ~0 a tilde. A whole number is a key of an object and a place in a list;
+    the empty pointer, a slash and $ are the whole document. Null where a step is missing, or the payload is no JSON."""
+    if path not in ("", "/", "$") and not path.startswith("/"):
+        raise ValueError(f"no JSON pointer: {path}")
+    value = F.try_parse_json(F.col(payload) if isinstance(payload, str) else payload)
+    for part in path.split("/")[1:] if path not in ("", "/", "$") else []:
+        value = step(value, part.replace("~1", "/").replace("~0", "~"))
+    return F.when(kind_of(value).isin(*CONTAINERS), F.to_json(value)).otherwise(text_of(value))
 
 
 def canonical(payload: Column | str) -> Column:
@@ -70,9 +76,20 @@ def _composite(*parts: Column) -> Column:
 def contract_id(payload: Column | str, options: Sequence[Sequence[str]], fallback: Column) -> Column:
     """The first option all of whose fields are there: one field is readable, several are hashed together.
 
-    The option ["$payload_hash"] always applies. Null if none does, or if a readable id has over 200 characters; a
-    gate turns such rows into an error.
+    The option ["$payload_hash"] always applies. Null if none does, or if a readable id has over 200 characters;
+    identity_problem() says which, and gates.unidentified() finds such rows.
     """
+    chosen = _first_option(payload, options, fallback)
+    return F.when(F.length(chosen) <= MAX_ID, chosen)
+
+
+def identity_problem(payload: Column | str, options: Sequence[Sequence[str]], fallback: Column) -> Column:
+    """Why a record has no id: none of the options is there, or the id is too long; null if it has one."""
+    chosen = _first_option(payload, options, fallback)
+    return F.when(chosen.isNull(), "no identity").when(F.length(chosen) > MAX_ID, "identity too long")
+
+
+def _first_option(payload: Column | str, options: Sequence[Sequence[str]], fallback: Column) -> Column:
     found = []
     for option in options:
         if list(option) == ["$payload_hash"]:
@@ -83,8 +100,7 @@ def contract_id(payload: Column | str, options: Sequence[Sequence[str]], fallbac
         for value in values[1:]:
             whole = whole & value.isNotNull()
         found.append(F.when(whole, values[0] if len(values) == 1 else _composite(*(field_json(payload, path) for path in option))))
-    chosen = F.coalesce(*found)
-    return F.when(F.length(chosen) <= MAX_ID, chosen)
+    return F.coalesce(*found)
 
 
 def contract_as_of(payload: Column | str, fields: Sequence[str]) -> Column:

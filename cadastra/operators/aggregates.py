@@ -11,11 +11,60 @@ from pyspark.sql.window import Window
 from cadastra.functions.ids import group_id
 from cadastra.functions.numbers import exact, rounded, share
 from cadastra.functions.text import collapse, present_collapsed
+from cadastra.scratch import stored
+
+
+#: A group of so many values at most is looked through by one task; ranges of larger ones are narrowed down first.
+IN_TASK = 1_000_000
+RANGES = 1024
+
+
+def medians(values: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, median): the true median of each group's values, NaN being the greatest; null groups are a group.
+
+    Different values are counted first. Of groups with more than IN_TASK of them, RANGES equal parts of the range are counted, and only the
+    part that holds the middle rank stays (of an even number of values, each of two ranks its own), until few enough are left: so no task
+    holds a whole group. Each round makes the range a thousand times narrower.
+    """
+    counts = stored(values.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")), "values")
+    ranks = counts.groupBy(F.col("g").alias("_g")).agg(F.sum("n").alias("all"))
+    ranks = ranks.select("_g", F.expr("(all - 1) div 2").alias("low"), F.expr("all div 2").alias("high"), F.lit("both").alias("side"), F.lit(0).cast("long").alias("under"))
+    left = counts.join(ranks, F.col("g").eqNullSafe(F.col("_g"))).drop("_g")
+    same = F.col("g").eqNullSafe(F.col("_g")) & (F.col("side") == F.col("_side"))
+    upto = lambda by: F.sum("n").over(Window.partitionBy("g", "side").orderBy(by)) + F.col("under")
+    holds = (F.col("upto") > F.col("low")) & (F.col("upto") - F.col("n") <= F.col("high"))
+    while True:
+        left = stored(left, "middle")
+        finite = F.when(F.abs("v") < float("inf"), F.col("v"))
+        spans = left.groupBy(F.col("g").alias("_g"), F.col("side").alias("_side")).agg(F.count(F.lit(1)).alias("different"), F.min(finite).alias("least"), F.max(finite).alias("most")).where(F.col("different") > IN_TASK)
+        if not spans.limit(1).count():
+            break
+        span, half = F.col("most") - F.col("least"), lambda c: F.col(c) / 2
+        place = F.when(span < float("inf"), F.try_divide(F.col("v") - F.col("least"), span)).otherwise((half("v") - half("least")) / (half("most") - half("least")))
+        part = F.when(F.isnan("v"), RANGES + 1).when(F.col("v") == float("inf"), RANGES).when(F.col("v") == float("-inf"), -1).otherwise(F.coalesce(F.floor(place * (RANGES - 1)), F.lit(0)))
+        parted = left.join(spans, same, "left").withColumn("part", F.when(F.col("different").isNotNull(), part).otherwise(0)).select("g", "side", "v", "n", "low", "high", "under", "part")
+        sums = parted.groupBy("g", "side", "part", "low", "high", "under").agg(F.sum("n").alias("n"))
+        chosen = sums.withColumn("upto", upto("part")).where(holds)  # of at most RANGES and three rows a group
+        chosen = chosen.withColumn("before", F.col("upto") - F.col("n")).groupBy(F.col("g").alias("_g"), F.col("side").alias("_side")).agg(F.min("part").alias("from"), F.max("part").alias("to"), F.min("before").alias("before_from"), F.max("before").alias("before_to"))
+        stays = parted.drop("under").join(chosen, same).where(F.col("part").isin(F.col("from"), F.col("to")))
+        one, lower = F.col("from") == F.col("to"), F.col("part") == F.col("from")
+        side = F.when(one, F.col("side")).when(lower, "low").otherwise("high")
+        left = stays.select("g", side.alias("side"), "v", "n", F.when(one | lower, F.col("low")).otherwise(F.col("high")).alias("low"), F.when(one | ~lower, F.col("high")).otherwise(F.col("low")).alias("high"), F.when(lower, F.col("before_from")).otherwise(F.col("before_to")).alias("under"))
+    middle = left.withColumn("upto", upto("v")).where(holds).groupBy("g").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return middle.select(F.col("g").alias(by), F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.col("a") + F.col("b")) / 2).alias("median"))
 
 
 def benchmark(values: DataFrame, by: str = "metric", value: str = "value") -> DataFrame:
-    """(by, minimum, median, maximum, areas) over the areas that have a value; the median is the true one."""
-    return values.where(F.col(value).isNotNull()).groupBy(by).agg(F.min(value).alias("minimum"), F.median(value).alias("median"), F.max(value).alias("maximum"), F.count(F.lit(1)).alias("areas"))
+    """(by, minimum, median, maximum, areas) over the areas that have a value; the median is the true one.
+
+    Where no group has over IN_TASK values, Spark's own median holds them; else medians() finds it without a group in one task.
+    """
+    there = values.where(F.col(value).isNotNull())
+    ends = [F.min(value).alias("minimum"), F.max(value).alias("maximum"), F.count(F.lit(1)).alias("areas")]
+    if not there.groupBy(by).count().where(F.col("count") > IN_TASK).limit(1).count():
+        return there.groupBy(by).agg(ends[0], F.median(value).alias("median"), *ends[1:])
+    rest = there.groupBy(by).agg(*ends).withColumnRenamed(by, "_by")
+    return medians(there, by, value).join(rest, F.col(by).eqNullSafe(F.col("_by"))).select(by, "minimum", "median", "maximum", "areas")
 
 
 def extremes(values: DataFrame, by: str, name: str, value: str, k: int = 2) -> DataFrame:

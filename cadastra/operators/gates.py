@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadastra.functions.ids import identity_problem
 from cadastra.functions.text import holds_contact
 from cadastra.operators import nodes as nd
 from cadastra.operators.joins import churn, small
@@ -170,3 +171,8 @@ def wrong_declared_counts(documents: DataFrame, key: str, payload: str) -> DataF
 def unreadable_documents(documents: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, problem) of the documents that are no JSON, or too deep."""
     return nd.shapes(nd.tree(documents, payload, [key])).where("problem IS NOT NULL").select(key, "problem")
+
+
+def unidentified(records: DataFrame, key: str, payload: str, options: Sequence[Sequence[str]], fallback: Column) -> DataFrame:
+    """(key, problem) of the records to which a contract's options give no id, or one that is too long."""
+    return records.select(key, identity_problem(payload, options, fallback).alias("problem")).where("problem IS NOT NULL")

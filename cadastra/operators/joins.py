@@ -92,9 +92,24 @@ def by_pattern(records: DataFrame, grains: DataFrame, key: str, pattern: str = "
 
 
 def glob_pattern(selector: str) -> Column:
-    """A column of shell patterns as anchored regular expressions: * is any text, ? any character, [..] and [!..] sets."""
-    escaped = F.regexp_replace(F.col(selector), r"([.+^$(){}|\\])", r"\\$1")
-    return F.concat(F.lit("(?s)^"), F.replace(F.replace(F.replace(escaped, F.lit("[!"), F.lit("[^")), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    """A column of shell patterns as anchored regular expressions: * is any text, ? any character, [..] and [!..] sets with ranges.
+
+    A bracket that no later one closes stands for itself, as do * and ? in a set; one may come first in its set. A range that ends before
+    it begins is empty.
+    """
+    plain = lambda t: F.regexp_replace(t, r"([\\.+^$(){}|\[\]*?&~#-])", r"\\$1")
+    edges = lambda m: (F.substring(m, 1, 1), F.substring(m, -1, 1))
+    span = lambda m: F.when(F.length(m) < 3, plain(m)).when(edges(m)[0] <= edges(m)[1], F.concat(plain(edges(m)[0]), F.lit("-"), plain(edges(m)[1]))).otherwise("")
+
+    def chosen(token: Column) -> Column:
+        negative = F.startswith(token, F.lit("[!"))
+        inside = F.substring(token, F.when(negative, 3).otherwise(2), F.length(token) - F.when(negative, 3).otherwise(2))
+        members = F.array_join(F.transform(F.regexp_extract_all(inside, F.lit("(?s).-.|."), F.lit(0)), span), "")
+        return F.when(members == "", F.when(negative, ".").otherwise("(?!)")).otherwise(F.concat(F.when(negative, "[^").otherwise("["), members, F.lit("]")))
+
+    tokens = F.regexp_extract_all(F.col(selector), F.lit(r"(?s)\[!?+\]?+[^\]]*\]|\*+|\?|\[|[^*?\[]+"), F.lit(0))
+    one = lambda t: F.when(F.startswith(t, F.lit("*")), ".*").when(t == "?", ".").when(F.startswith(t, F.lit("[")) & (F.length(t) > 1), chosen(t)).otherwise(plain(t))
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(tokens, one), ""), F.lit("\\z"))
 
 
 def bind_globs(paths: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -117,20 +132,29 @@ def bind_globs(paths: DataFrame, outputs: DataFrame) -> DataFrame:
     return bound.unionByName(files.select(F.lit(None).cast("string").alias("path"), "selector", wrong.alias("problem")).where("problem IS NOT NULL"))
 
 
-def by_prefix(urls: DataFrame, rules: DataFrame, origin: str = "origin", path: str = "path") -> DataFrame:
+def by_prefix(urls: DataFrame, rules: DataFrame, origin: str = "origin", path: str = "path", query: str | None = None) -> DataFrame:
     """Each row of urls with its best rule (rule_path, source_id, denied) of the same origin; rows of equal urls all stay.
 
-    A rule's path must be the url's or an ancestor of it. The exact path is best, then the longest, then the smallest source.
-    The rules are ranked once for each origin and path.
+    A rule's path must be the url's or an ancestor of it; a root rule is for all paths. Where ``rules`` has rule_query, a rule with a query is for
+    that query alone; where it has exact, an exact rule is for its path and query alone. Exact rules are best, then the longest path, the
+    longest query, the smallest source. Each different url goes to its ancestors' paths, so rules are found by equality however many an
+    origin has, and the best one is a partial aggregate.
     """
-    places = urls.select(F.col(origin).alias("_origin"), F.col(path).alias("_path")).where(F.col(origin).isNotNull() & F.col(path).isNotNull()).distinct()
-    base = F.rtrim(F.col("rule_path"), F.lit("/"))
-    exact = F.rtrim(F.col("_path"), F.lit("/")) == base
-    below = F.startswith(F.col("_path"), F.concat(base, F.lit("/")))
-    fitting = places.join(small(rules), F.col("_origin") == F.col("rule_origin")).withColumn("_exact", exact).where(exact | below)
-    best = Window.partitionBy("_origin", "_path").orderBy(F.desc("_exact"), F.desc(F.length("rule_path")), "source_id")
-    first = fitting.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("_origin", "_path", "rule_path", "source_id", "denied")
-    return urls.join(first, (F.col(origin) == F.col("_origin")) & (F.col(path) == F.col("_path")), "left").select(*urls.columns, "rule_path", "source_id", "denied")
+    given = {"rule_query": F.lit(""), "exact": F.lit(False)}
+    rules = rules.withColumns({c: F.coalesce(F.col(c), v) if c in rules.columns else v for c, v in given.items()})
+    rules = rules.select(F.col("rule_origin").alias("_origin"), F.rtrim("rule_path", F.lit("/")).alias("_base"), "rule_path", "rule_query", "exact", "source_id", "denied")
+    asked = F.coalesce(F.col(query), F.lit("")) if query else F.lit("")
+    places = urls.select(F.col(origin).alias("_origin"), F.col(path).alias("_path"), asked.alias("_query")).where("_origin IS NOT NULL AND _path IS NOT NULL").distinct()
+    steps = F.split("_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+    met = places.withColumn("_base", F.explode(F.array_distinct(above))).join(small(rules), ["_origin", "_base"])
+    same_query = F.col("rule_query") == F.col("_query")
+    below = (F.col("_path") == F.col("rule_path")) | F.startswith(F.col("_path"), F.concat("_base", F.lit("/"))) | (F.col("rule_path") == "/")
+    fits = F.when(F.col("exact"), (F.col("_path") == F.col("rule_path")) & same_query).otherwise(below & ((F.col("rule_query") == "") | same_query))
+    order = F.struct((~F.col("exact")).alias("e"), (-F.length("rule_path")).alias("p"), (-F.length("rule_query")).alias("q"), "source_id", "rule_path", "rule_query", "denied")
+    best = met.where(fits).groupBy("_origin", "_path", "_query").agg(F.min(order).alias("_best"))
+    rows = urls.withColumn("_asked", asked).join(best, (F.col(origin) == F.col("_origin")) & (F.col(path) == F.col("_path")) & (F.col("_asked") == F.col("_query")), "left")
+    return rows.select(*urls.columns, "_best.rule_path", "_best.source_id", "_best.denied")
 
 
 def compare_releases(base: DataFrame, head: DataFrame, key: str, value: str) -> DataFrame:

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadastra.functions.text import EMAIL, PHONE_RECORDS, forbidden_key, redact, snake_key
+from cadastra.functions.variants import CONTAINERS, as_list, as_object, kind_of, quoted, text_of
 from cadastra.scratch import stored
 
 MAX_DEPTH = 40
-CONTAINERS = ("object", "array")
 NOTHING = "_nothing"  # stands for kept columns where there are none
 # Keys of which a path may show the name.
 SAFE_KEY = r"^[A-Za-z_฀-๿][A-Za-z0-9_\-฀-๿]{0,79}$"
@@ -50,36 +50,6 @@ HIDDEN, MORE = "[hidden]", "…"
 LINK_WORDS = ("link", "href", "uri", "website")
 
 
-def kind_of(value: Column) -> Column:
-    """object, array, string, boolean, integer, number or null."""
-    schema = F.schema_of_variant(value)
-    whole = (schema == "BIGINT") | schema.rlike(r"^DECIMAL\((19|2\d|3\d),0\)")  # shorter ones with a point come as decimals too
-    kinds = (("object", schema.startswith("OBJECT")), ("array", schema.startswith("ARRAY")), ("string", schema == "STRING"), ("boolean", schema == "BOOLEAN"), ("null", schema == "VOID"), ("integer", whole))
-    return reduce(lambda rest, k: F.when(k[1], k[0]).otherwise(rest), reversed(kinds), F.when(schema.isNotNull(), "number"))
-
-
-def as_object(value: Column) -> Column:
-    """The members of an object; null for anything else."""
-    return value.try_cast("map<string,variant>")
-
-
-def as_list(value: Column) -> Column:
-    """The members of a list; null for anything else."""
-    return value.try_cast("array<variant>")
-
-
-def text_of(value: Column) -> Column:
-    """A scalar as text: texts as they are, all else as JSON; null for null, objects and lists."""
-    kind = kind_of(value)
-    return F.when(kind == "string", value.try_cast("string")).when(~kind.isin(*CONTAINERS, "null"), F.to_json(value))
-
-
-def quoted(text: Column) -> Column:
-    """A text as JSON."""
-    inside = F.to_json(F.array(text))
-    return F.substring(inside, F.lit(2), F.length(inside) - 2)
-
-
 def children(value: Column, stop: Callable[[Column], Column] | None) -> Column:
     """(name, pos, value) of an object's or a list's members; members of an object whose key ``stop`` names are left out."""
     entries = F.map_entries(as_object(value))
