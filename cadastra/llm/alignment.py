@@ -25,9 +25,9 @@ from cadastra.llm.tokens import MAX_CHUNKS, WINDOW, Encoder, gathered, slices
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPACE = 0x20
 #: Bytes of text in a chunk; the temporary arrays take some 60 times as much.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 3 << 20
 #: Chunks of words that each of the two encoders remembers, and the bytes that it goes through at once.
-REMEMBERED, OWN_WINDOW = 150_000, 1 << 20
+REMEMBERED, OWN_WINDOW = 300_000, 2 << 20
 
 
 def before_spaces(data: np.ndarray) -> np.ndarray:
