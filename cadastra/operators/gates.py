@@ -89,6 +89,12 @@ def ragged_rows(rows: DataFrame, key: str, cells: str, width: int) -> DataFrame:
     return rows.select(key, problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def ragged_files(rows: DataFrame) -> DataFrame:
+    """(path, _dataset, _ordinal, problem) of rows with more or fewer cells than the header of their own file."""
+    problem = F.when(F.size("cells") > F.size("header"), "extra cells").when(F.size("cells") < F.size("header"), "missing cells")
+    return rows.select("path", "_dataset", "_ordinal", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def wrong_content(records: DataFrame, dataset: str, record_id: str, expected: dict[str, int]) -> DataFrame:
     """(dataset, problem, n): datasets without their fixed number of records, unexpected ones, and ids that lack or repeat."""
     counts = records.groupBy(F.col(dataset).alias("dataset")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(record_id).isNull() | (F.col(record_id).cast("string") == "")).alias("no_id"), F.countDistinct(record_id).alias("ids"), F.count(record_id).alias("with_id"))
