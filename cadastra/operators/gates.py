@@ -89,10 +89,10 @@ def ragged_rows(rows: DataFrame, key: str, cells: str, width: int) -> DataFrame:
     return rows.select(key, problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def ragged_files(rows: DataFrame) -> DataFrame:
-    """(path, _dataset, _ordinal, problem) of rows with more or fewer cells than the header of their own file."""
+def ragged_files(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(path, _dataset, _ordinal, keep, problem) of rows with more or fewer cells than the header of their own file."""
     problem = F.when(F.size("cells") > F.size("header"), "extra cells").when(F.size("cells") < F.size("header"), "missing cells")
-    return rows.select("path", "_dataset", "_ordinal", problem.alias("problem")).where("problem IS NOT NULL")
+    return rows.select("path", "_dataset", "_ordinal", *keep, problem.alias("problem")).where("problem IS NOT NULL")
 
 
 def wrong_content(records: DataFrame, dataset: str, record_id: str, expected: dict[str, int]) -> DataFrame:

@@ -180,6 +180,50 @@ def test_sync(spark, tmp_path):
     assert rows(spark.read.parquet(target)) == rows(wanted)
 
 
+def left_over(folder):
+    return [p.name for p in folder.iterdir() if "_staged_" in p.name or "_replaced_" in p.name]
+
+
+def test_gates_of_rows_as_written(spark, tmp_path):
+    target, calls = f"{tmp_path}/t", spark.sparkContext.accumulator(0)
+    first = spark.createDataFrame([("a", 1), ("b", None)], "k string, h int")
+    few = lambda v: f"{v['n']} rows" if v["n"] < 2 else None
+    counts = lambda: sy.Measured(few, n=F.count(F.lit(1)), nulls=F.count_if(F.col("h").isNull()))
+    sy.publish(first, target, measured=(m := counts()))
+    assert m.values == {"n": 2, "nulls": 1}
+    with pytest.raises(gt.GateError, match="1 rows"):
+        sy.publish(first.limit(1), target, measured=counts())
+    with pytest.raises(gt.GateError, match="nulls"):
+        sy.publish(first, target, {"nulls": lambda written: written.where("h IS NULL")})
+    assert rows(spark.read.parquet(target)) == rows(first) and not left_over(tmp_path)
+
+    def one(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    sy.publish(first.mapInArrow(one, first.schema), target, {"copies": lambda written: gt.duplicates(written, ["k"])}, counts())
+    assert calls.value == 2
+    with pytest.raises(gt.GateError):
+        sy.swap_partitions(first, f"{tmp_path}/p", "k", measured=sy.Measured(lambda v: "no"))
+    assert not left_over(tmp_path)
+
+
+def test_layers_are_replaced_together(spark, tmp_path):
+    path, schema = f"{tmp_path}/layers", "layer string, id string"
+    snapshot = lambda *rows: spark.createDataFrame(rows, "layer string, content_hash string, feature_count int")
+    two, features = snapshot(("x", "1", 2), ("y", "1", 1)), spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "a")], schema)
+    assert rows(sy.sync_layers(None, two, features, path, "layer", "id")) == {("x", "inserted", 2, 2), ("y", "inserted", 1, 1)}
+    assert rows(sy.sync_layers(two, two, features, path, "layer", "id")) == {("x", "unchanged", 2, 0), ("y", "unchanged", 1, 0)}
+    new = snapshot(("x", "2", 1), ("y", "1", 1))
+    for bad in ([("x", "c"), ("x", "c")], [("x", None)], [], [("x", "c"), ("z", "c")]):
+        with pytest.raises(gt.GateError):
+            sy.sync_layers(two, new, spark.createDataFrame(bad, schema), path, "layer", "id")
+    assert rows(spark.read.parquet(path).select("layer", "id")) == rows(features)
+    assert rows(sy.sync_layers(two, new, spark.createDataFrame([("x", "c")], schema), path, "layer", "id")) == {("x", "replaced", 1, 1), ("y", "unchanged", 1, 0)}
+    assert rows(spark.read.parquet(path).select("layer", "id")) == {("x", "c"), ("y", "a")} and not left_over(tmp_path)
+
+
 def test_readers(spark, tmp_path):
     folder = tmp_path / "snapshot" / "deep"
     folder.mkdir(parents=True)
