@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from cadastra.operators import gates as gt
 from cadastra.operators.ranking import ranked
+from cadastra.operators.releases import release_problems
 from cadastra.operators.sync import sync_layers
 from cadastra.plans.queries import Queries
 from cadastra.scratch import shared_folder
 from cadastra.session import load
 from cadastra.sources import delimited as dl
+from cadastra.sources.readers import read_json_lines
 
 Q = Queries()
 
@@ -86,7 +88,7 @@ def first_appearances(spark, sf_dir):
 
 @Q.add("""
 WITH old AS (SELECT event_type, count(*) AS n, sum(event_id) AS ids FROM events WHERE length(event_type) % 2 = 0 OR (value < 100 AND event_type <> (SELECT max(event_type) FROM events)) GROUP BY event_type),
-new AS (SELECT event_type, count(*) AS n, sum(event_id) AS ids, sum(value) AS total FROM events WHERE event_type IS NOT NULL GROUP BY event_type),
+new AS (SELECT event_type, count(*) AS n, sum(event_id) AS ids FROM events WHERE event_type IS NOT NULL GROUP BY event_type),
 log AS (SELECT new.event_type, CASE WHEN old.event_type IS NULL THEN 'inserted' WHEN old.n = new.n AND old.ids = new.ids THEN 'unchanged' ELSE 'replaced' END AS action, CAST(new.n AS BIGINT) AS expected FROM new LEFT JOIN old USING (event_type))
 SELECT event_type, action, expected, CASE WHEN action = 'unchanged' THEN 0 ELSE expected END AS loaded, expected AS stored FROM log""")
 def layers_replaced(spark, sf_dir):
@@ -101,4 +103,33 @@ def layers_replaced(spark, sf_dir):
     return log.join(stored, "event_type")
 
 
+@Q.add("""
+WITH o AS (SELECT o_orderpriority AS artifact, left(o_orderpriority, 1) AS k, * FROM orders),
+per AS (SELECT artifact, max(k) AS k, count(*) AS n, count(*) FILTER (o_orderkey % 4 = 0) AS gone, count(*) FILTER (o_orderstatus = 'P') AS reworded,
+               count(*) FILTER (o_totalprice > 100000) AS back, count(*) FILTER (o_custkey % 10 = 0) AS reshaped FROM o GROUP BY artifact)
+SELECT artifact, 'meaning changed' AS problem FROM per WHERE k = '2' AND reworded > 0
+UNION ALL SELECT artifact, 'a record''s time went back' FROM per WHERE k = '3' AND back > 0
+UNION ALL SELECT artifact, CASE WHEN gone = n THEN 'artifact is gone' ELSE 'rows fell' END FROM per WHERE k = '4' AND gone / n > 0.1
+UNION ALL SELECT artifact, 'identities churned' FROM per WHERE k = '4' AND gone < n AND gone / n > 0.2
+UNION ALL SELECT artifact, 'shape changed' FROM per WHERE k = '5' AND reshaped > 0""")
+def release_records(spark, sf_dir):
+    """Two releases of orders, an artifact a priority, written as JSON lines, read back and compared record by record."""
+    orders, folder = load(spark, sf_dir, "orders").withColumn("k", F.substring("o_orderpriority", 1, 1)), _folder(spark, "releases")
+
+    def release(name, rows, status, day, note):
+        payload = F.to_json(F.struct(status.alias("status"), F.struct(F.date_format(day, "yyyy-MM-dd").alias("asOf"), F.col("o_totalprice").alias("price")).alias("terms"), note.alias("note")))
+        record = F.struct(F.col("o_orderpriority").alias("artifact"), F.col("o_orderkey").alias("record"), payload.alias("payload"))
+        rows.select(F.to_json(record).alias("value")).write.text(f"{folder}/{name}")
+        return read_json_lines(spark, f"{folder}/{name}").select(F.from_json("payload", "artifact string, record string, payload string").alias("r")).select("r.*")
+
+    status, day, none = F.col("o_orderstatus"), F.col("o_orderdate"), F.lit(None).cast("string")
+    base = release("base", orders, status, day, none)
+    head = release(
+        "head", orders.where("NOT (k = '4' AND o_orderkey % 4 = 0)"), F.when((F.col("k") == "2") & (status == "P"), "X").otherwise(status),
+        F.when((F.col("k") == "3") & (F.col("o_totalprice") > 100000), F.date_sub(day, 1)).otherwise(F.to_date(day)), F.when((F.col("k") == "5") & (F.col("o_custkey") % 10 == 0), "new"),
+    )
+    contracts = orders.select(F.col("o_orderpriority").alias("artifact"), F.lit(0.1).alias("fall"), F.lit(1.0).alias("rise"), F.lit(0.2).alias("churn")).distinct()
+    return release_problems(base, head, contracts)
+
+
 QUERIES, ORACLE_SQL = Q.found, Q.sql
