@@ -57,8 +57,8 @@ def _after(df: DataFrame, out: Sequence[str], after: Sequence[str], keys: Sequen
     return df.withColumns({name: F.pmod(F.coalesce("_set", F.lit(e)) + F.col("_swaps"), F.lit(2)) for e, name in enumerate(after)}).drop("_swaps", "_set")
 
 
-def _records(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Records (path, start, _ordinal, text) and splits (path, start) of CSV files; the header is the record 0 of its file."""
+def _lines(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Lines with the states before and after them for both states of their split, and splits with the one that holds."""
     lines = split_lines(spark, path)
     quoted = F.contains("line", F.lit('"'))
     state = {"_out0": quoted & F.rlike("line", F.lit(f"^{_OPEN}")), "_out1": ~quoted | F.rlike("line", F.lit(rf'^{_BODY}(?:\z|"[^,]*+,{_OPEN})'))}
@@ -80,16 +80,26 @@ def _records(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Dat
         F.when(F.max_by("_end", "start").over(whole) == 1, F.sum("_n").over(whole)).alias("_broken"),
     )
 
+    return lines, splits
+
+
+def _records(lines: DataFrame, splits: DataFrame, which: str) -> DataFrame:
+    """Records (path, start, _ordinal, text and splits' _given, if any) of which; the header is the record 0 of its file.
+
+    Lines lie by splits already, so records are put together where they are; only those that cross splits are shuffled.
+    """
     chosen = lambda a: F.when(F.col("_from") == 0, F.col(f"{a}0")).otherwise(F.col(f"{a}1"))
-    rows = lines.join(splits, _SPLIT).withColumns({"_before": chosen("_b"), "_then": chosen("_a"), "_ordinal": F.col("_base") + chosen("_c") - 1})
-    rows = rows.where((F.col("_before") == 1) | ~blank)
+    rows = lines.join(splits, _SPLIT).withColumns({"_before": chosen("_b"), "_then": chosen("_a"), "_ordinal": F.col("_base") + chosen("_c") - 1}).where(which)
+    rows = rows.where((F.col("_before") == 1) | ~F.col("line").isin("", "\r"))
     unclosed = F.raise_error(F.concat(F.lit("a quoted cell is not closed in "), "path"))
     rows = rows.withColumn("line", F.when(F.col("_ordinal") + 1 == F.col("_broken"), unclosed.cast("string")).otherwise(F.col("line")))
-    single = (F.col("_before") == 0) & (F.col("_then") == 0)
-    parts = rows.where(~single).groupBy("path", "_ordinal").agg(F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("start", "_at", "line"))).alias("_l"))
-    joined = parts.select("path", "start", "_ordinal", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("text"))
-    records = rows.where(single).select("path", "start", "_ordinal", F.col("line").alias("text")).unionByName(joined)
-    return records.withColumn("text", F.regexp_replace("text", r"\r\z", "")), splits.select(*_SPLIT)
+    given = [F.first(c).alias(c) for c in splits.columns if c == "_given"]
+    joined = lambda order: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n").alias("line")
+    pieces = rows.groupBy(*_SPLIT, "_ordinal").agg(joined("_at"), (F.min_by("_before", "_at") + F.max_by("_then", "_at")).alias("_open"), *given)
+    columns = ["path", "start", "_ordinal", "line", *(c for c in splits.columns if c == "_given")]
+    crossing = pieces.where("_open > 0").groupBy("path", "_ordinal").agg(joined("start"), F.min("start").alias("start"), *given)
+    records = pieces.where("_open = 0").select(*columns).unionByName(crossing.select(*columns))
+    return records.withColumn("text", F.regexp_replace("line", r"\r\z", "")).drop("line")
 
 
 def cells(text: Column | str) -> Column:
@@ -102,13 +112,13 @@ def cells(text: Column | str) -> Column:
 
 def read_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, _dataset, _ordinal, header, cells) of every row of CSV files; rows are numbered from 1 in each file."""
-    records, splits = _records(spark, path)
-    return _with_headers(records, splits, F.col("header"), "header").select("path", "_dataset", "_ordinal", "header", cells("text").alias("cells"))
+    lines, splits = _lines(spark, path)
+    return _rows(lines, splits, F.col("header")).select("path", "_dataset", "_ordinal", F.col("_given").alias("header"), cells("text").alias("cells"))
 
 
 def headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, header): the names in each file's first record, which for files without any is missing."""
-    return _headers(_records(spark, path)[0])
+    return _headers(*_lines(spark, path))
 
 
 def read_by_name(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -118,24 +128,23 @@ def read_by_name(spark: SparkSession, path: str | list[str], columns: Sequence[s
     cells beyond the header are left out (gates find them). Without columns, all names of all headers are taken, in the order
     of the files and of their headers; more than MOST_NAMES are an error.
     """
-    records, splits = _records(spark, path)
+    lines, splits = _lines(spark, path)
     if columns is None:
-        found = _headers(records).select("path", F.posexplode("header").alias("_pos", "name")).groupBy("name").agg(F.min(F.struct("path", "_pos")).alias("_first"))
+        found = _headers(lines, splits).select("path", F.posexplode("header").alias("_pos", "name")).groupBy("name").agg(F.min(F.struct("path", "_pos")).alias("_first"))
         columns = [r["name"] for r in found.orderBy("_first").limit(MOST_NAMES + 1).collect()]
         if len(columns) > MOST_NAMES:
             raise GateError(f"headers have more than {MOST_NAMES} names")
     place = lambda name: F.when(F.array_contains("header", name), F.size("header") - F.array_position(F.reverse("header"), name)).cast("int")
     places = F.array(*map(place, columns)) if columns else F.array().cast("array<int>")
-    rows = _with_headers(records, splits, places, "_places").withColumn("_cells", cells("text"))
-    return rows.select("path", "_dataset", "_ordinal", *(F.get("_cells", F.get("_places", F.lit(i))).alias(c) for i, c in enumerate(columns)))
+    rows = _rows(lines, splits, places).withColumn("_cells", cells("text"))
+    return rows.select("path", "_dataset", "_ordinal", *(F.get("_cells", F.get("_given", F.lit(i))).alias(c) for i, c in enumerate(columns)))
 
 
-def _headers(records: DataFrame) -> DataFrame:
-    return records.where("_ordinal = 0").select("path", cells("text").alias("header"))
+def _headers(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    return _records(lines, splits, "_ordinal = 0").select("path", cells("text").alias("header"))
 
 
-def _with_headers(records: DataFrame, splits: DataFrame, value: Column, name: str) -> DataFrame:
+def _rows(lines: DataFrame, splits: DataFrame, value: Column) -> DataFrame:
     """Rows with what their file's header gives: it goes to the file's splits first, so that a large file is no hot key."""
-    given = splits.join(_headers(records).select("path", value.alias(name)), "path")
-    rows = records.where("_ordinal > 0").join(given, _SPLIT)
-    return rows.withColumn("_dataset", dataset_name(F.col("path")))
+    given = splits.join(_headers(lines, splits).select("path", value.alias("_given")), "path")
+    return _records(lines, given, "_ordinal > 0").withColumn("_dataset", dataset_name(F.col("path")))
