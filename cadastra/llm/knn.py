@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadastra.llm.shared import table, written
+from cadastra.llm.shared import spread_join, table, written
 
 SCALE = 256
-PIVOTS = 64
+#: The fewest and the most pivots (the driver has them all); between them their number grows with the root of that of the vectors.
+PIVOTS, MOST_PIVOTS = 64, 4096
 #: A cell of more rows is solved in blocks of about this many, each with a radius of its own.
 BLOCK = 2048
 #: Queries are dealt by their nearest pivots into chunks of about this many; each chunk gets its own copy of a block that it needs.
 QUERIES = 4096
-#: So many of a group's smallest distances are known of it at most; a query that needs more goes everywhere.
-SUMMARY = 256
+#: So many of the groups' smallest distances are known at most, the same number of each; a query that needs more goes everywhere.
+SUMMARIES = 65_536
+#: Bounds of queries and blocks are worked out so many at a time.
+BOUNDS = 1 << 21
+#: Queries are sent in batches of so many components.
+SENT = 1 << 22
 #: Below this the sums of products are whole numbers that double precision holds exactly.
 EXACT = float(1 << 53)
 
@@ -59,7 +65,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query's row with the other rows' vectors.
 
     vectors' components are floor(scale * x). Ties go to the smaller id. Rows with a null id, or whose vector is null,
@@ -67,24 +73,28 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
     components. Rows of the query's own id are never its candidates; queries of equal id and vector are answered once.
     A component of 2 ** 53 or more, scaled, or an inner product that might pass 64 bits, is an error.
 
-    Equal vectors are first cut to the rows of their smallest ids that any query can take: k, and as many as the id of
-    a query may have rows of its own. The
-    different vectors are grouped by their nearest pivot (a bounded sample: those of smallest hash), and a group into
-    blocks. A block's pivot product plus radius bounds what it can offer a query. What a query needs is bounded by the
-    groups' summaries, their smallest distances from the pivot: a vector so near offers the pivot's product less the
-    query's length times that distance at least. A query is sent to just those blocks whose bound reaches its need, and a block is copied to just those
-    chunks of queries that sent it one.
+    Equal vectors are first cut to the rows that any query can take: of the k + 1 smallest ids, k rows each. The
+    different vectors are grouped by their nearest pivot (a bounded sample: those of smallest hash, as many as pivots or
+    pivots_for says), and a group into blocks. A block's pivot product plus radius bounds what it can offer a query. What
+    a query needs is bounded by the groups' summaries, their smallest distances from the pivot: a vector so near offers
+    the pivot's product less the query's length times that distance at least. A query needs k vectors and as many as its
+    own id has, which may all come before them; what one id has changes nothing for the queries of others. A query is
+    sent to just those blocks whose bound reaches its need, and a block is copied to just those chunks of queries that
+    sent it one.
     """
     spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType.simpleString()
     rows = usable(vectors.where(F.col(id_col).isNotNull()), vector_col).select(F.col(id_col).alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"), queries.alias("_query"))
     rows = written(rows, "knn-rows")
     asked = rows.where("_query").select(F.col("vec_id").alias("query_id"), "v").distinct()
-    own_rows = rows.where("_query").groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    enough = k + own_rows  # a query's own rows may come before k others
+    per_id = written(asked.groupBy("query_id").agg((F.count(F.lit(1)) + k).alias("takes")), "knn-takes")  # its own vectors may come before k others
+    most = per_id.agg(F.max("takes")).first()[0] or k
+    asked = spread_join(asked, per_id, ["query_id"], ["v"])
     few = Window.partitionBy("v").orderBy("vec_id")
-    distinct = rows.select("vec_id", "v", F.row_number().over(few).alias("_n")).where(F.col("_n") <= enough)
-    distinct = written(distinct.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "knn-distinct")
+    distinct = rows.groupBy("v", "vec_id").agg(F.count(F.lit(1)).alias("n")).withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= k + 1)
+    repeated = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "n"))), lambda x: F.array_repeat(x["vec_id"], F.least(x["n"], F.lit(k)).cast("int"))))
+    distinct = written(distinct.groupBy("v").agg(F.slice(repeated, 1, 2 * k).alias("ids")), "knn-distinct")
+    pivots = pivots or pivots_for(distinct.count(), block)
     chosen = distinct.orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
     width = distinct.agg(F.max(F.size("v"))).first()[0] or 0
     points = np.zeros((len(chosen), width))
@@ -116,38 +126,38 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
     blocked = ringed.join(F.broadcast(parts), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts", "distance")
 
     nearest_of = Window.partitionBy("cell").orderBy("distance")
-    closest = data.select("cell", "distance", F.row_number().over(nearest_of).alias("n")).where(F.col("n") <= min(enough, SUMMARY)).collect()  # SUMMARY rows a pivot at most
+    closest = data.select("cell", "distance", F.row_number().over(nearest_of).alias("n")).where(F.col("n") <= min(most, max(1, SUMMARIES // len(chosen)))).collect()  # SUMMARIES rows at most
     summary_cells, summaries = np.array([r["cell"] for r in closest]), np.array([r["distance"] for r in closest])
-    block_parts, block_rings = np.array([b[2] for b in bounds]), np.array([b[1] for b in bounds])
-    block_cells = np.array([b[0] for b in bounds])
+    block_cells, block_rings = np.array([b[0] for b in bounds]), np.array([b[1] for b in bounds])
     radii = np.array([b[3] for b in bounds])
 
     def with_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest(matrix(batch.column("v"), width))[0], pa.int32())], [*batch.schema.names, "cell"])
 
-    asked = written(asked.select("query_id", "v", F.xxhash64("query_id").alias("hash")).mapInArrow(with_cell, f"query_id {id_type}, v array<bigint>, hash long, cell int"), "knn-asked")
+    asked = written(asked.select("query_id", "v", "takes", F.xxhash64("query_id", "v").alias("hash")).mapInArrow(with_cell, f"query_id {id_type}, v array<bigint>, takes long, hash long, cell int"), "knn-asked")
     chunk_of, chunks_of = query_chunks({r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}, points, QUERIES)  # a row a pivot
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Copies each query to the blocks that it needs."""
-        for batch in batches:
-            m, own_cell = matrix(batch.column("v"), width), batch.column("cell").to_numpy()
-            chunk = chunk_of[own_cell] + batch.column("hash").to_numpy() % chunks_of[own_cell]
+        """Each query and the rings that it needs, a bounded number at a time."""
+        step, most_sent = max(1, BOUNDS // (len(bounds) + len(summaries))), max(1, SENT // max(width, 1))
+        for some in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step)):
+            m, own_cell, takes = matrix(some.column("v"), width), some.column("cell").to_numpy(), some.column("takes").to_numpy()
+            chunk = chunk_of[own_cell] + some.column("hash").to_numpy() % chunks_of[own_cell]
             with_pivots, length = products(m, points).astype(float), np.sqrt((m**2).sum(1))[:, None]
             offers = with_pivots[:, block_cells] + length * radii[None, :]
             least = with_pivots[:, summary_cells] - length * summaries[None, :]
-            need = np.partition(least, -enough, axis=1)[:, -enough] if least.shape[1] >= enough else np.full(len(m), -np.inf)
+            need = np.where(takes <= least.shape[1], nth_largest(least, takes), -np.inf)
             margin = 1e-9 * (np.abs(offers) + np.abs(np.where(np.isfinite(need), need, 0.0))[:, None]) + 1e-6
-            query, block_no = np.nonzero(offers + margin >= need[:, None])
-            many = block_parts[block_no]
-            part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            query, block_no = np.repeat(query, many), np.repeat(block_no, many)
-            index = pa.array(query)
-            places = (block_cells[block_no], block_rings[block_no], part, chunk[query])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in places), batch.column("query_id").take(index), batch.column("v").take(index)], ["cell", "ring", "part", "chunk", "query_id", "v"])
+            queries_sent, rings_sent = np.nonzero(offers + margin >= need[:, None])
+            for at in range(0, len(queries_sent), most_sent):
+                query, ring_no = queries_sent[at : at + most_sent], rings_sent[at : at + most_sent]
+                places = (block_cells[ring_no], block_rings[ring_no], chunk[query])
+                own = [some.column(c).take(pa.array(query)) for c in ("query_id", "v", "takes")]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in places), *own], ["cell", "ring", "chunk", "query_id", "v", "takes"])
 
-    sent = asked.mapInArrow(send, f"cell int, ring int, part int, chunk int, query_id {id_type}, v array<bigint>")
+    sent = asked.mapInArrow(send, f"cell int, ring int, chunk int, query_id {id_type}, v array<bigint>, takes long")
+    sent = sent.join(F.broadcast(parts), ["cell", "ring"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).drop("parts")  # four rows a pivot
 
     keys = ["cell", "ring", "part", "chunk"]
     copied = copies_of(blocked, sent)
@@ -160,9 +170,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
         for at in range(0, len(own), 256):
             some = own.iloc[at : at + 256]
             scores = products(_padded(some["v"], width), b)
-            n = min(enough, scores.shape[1])  # the query's own vectors may be among them
-            cut = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
-            for q, line, least in zip(some["query_id"], scores, cut, strict=True):
+            for q, line, least in zip(some["query_id"], scores, nth_largest(scores, some["takes"].to_numpy()), strict=True):
                 # all vectors that tie with the last one stay: ids decide between them
                 best = [(-int(line[j]), x) for j in np.flatnonzero(line >= least) for x in ids[j] if x != q]
                 out += [(q, x, -s) for s, x in sorted(best)[:k]]
@@ -173,6 +181,19 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
     return solved.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
+def pivots_for(vectors: int, block: int) -> int:
+    """The root of the number of vectors, but no more than leave a block to each, and PIVOTS to MOST_PIVOTS."""
+    return max(PIVOTS, min(math.isqrt(vectors), vectors // block, MOST_PIVOTS))
+
+
+def nth_largest(m: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Of each row of m the value of its rank from the largest, 1; its smallest where it has no more."""
+    ranks, out = np.minimum(ranks, m.shape[1]), np.empty(len(m), m.dtype)
+    for n in np.unique(ranks):
+        out[ranks == n] = np.partition(m[ranks == n], -n, axis=1)[:, -n]
+    return out
+
+
 def query_chunks(counts: dict[int, int], points: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(first chunk, chunks) by cell, from the number of queries in each.
 
@@ -180,10 +201,10 @@ def query_chunks(counts: dict[int, int], points: np.ndarray, limit: int) -> tupl
     nearest pivot share one, so that a chunk's queries need much the same blocks.
     """
     first, many = np.zeros(len(points), np.int64), np.ones(len(points), np.int64)
-    left, at, number, fill = list(range(len(points))), 0, 0, 0
-    while left:
-        at = min(left, key=lambda i: ((points[i] - points[at]) ** 2).sum())
-        left.remove(at)
+    left, at, number, fill = np.ones(len(points), bool), 0, 0, 0
+    while left.any():
+        at = int(np.where(left, ((points - points[at]) ** 2).sum(1), np.inf).argmin())
+        left[at] = False
         n = counts.get(at, 0)
         if fill and fill + n > limit:
             number, fill = number + 1, 0

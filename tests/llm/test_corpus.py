@@ -396,6 +396,41 @@ def test_few_blocks_are_needed(spark, monkeypatch):
     assert chunks > 3 and copied < all_rows * chunks / 2
 
 
+def test_one_id_of_many_vectors_changes_nothing_for_others(spark, monkeypatch):
+    rng, sent = np.random.default_rng(2), []
+    centres = 40 * np.eye(16)
+    rows = [(i, (centres[i % 16] + rng.normal(size=16)).tolist()) for i in range(1600)]
+    more = [(centres[i % 16] + rng.normal(size=16)).tolist() for i in range(800)]
+    own = knn.copies_of
+    monkeypatch.setattr(knn, "copies_of", lambda blocked, s: sent.append(Counter(r["query_id"] for r in s.collect())) or own(blocked, s))
+    for extra in ([(0, v) for v in more], [(10_001 + 50 * i, v) for i, v in enumerate(more)]):
+        found = knn.top_k(spark.createDataFrame(rows + extra, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5, block=64)
+        assert found.count() == 160
+    hot, plain = sent
+    assert hot.pop(0) > plain.pop(0)
+    assert hot == plain
+
+
+def test_top_k_sent_in_small_batches(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=12).tolist()) for i in range(400)] + [(400 + i, [0.5] * 12) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {tuple(r) for r in knn.top_k(df, F.col("vec_id") % 50 == 0, 5, block=16, pivots=5).collect()}
+    monkeypatch.setattr(knn, "SENT", 24)
+    monkeypatch.setattr(knn, "BOUNDS", 1)
+    monkeypatch.setattr(knn, "SUMMARIES", 10)
+    assert {tuple(r) for r in knn.top_k(df, F.col("vec_id") % 50 == 0, 5, block=16, pivots=5).collect()} == want and len(want) == 50
+
+
+def test_pivots_grow_with_the_root_of_vectors():
+    assert [knn.pivots_for(n, 2048) for n in (0, 10**4, 10**6, 10**7, 10**9)] == [64, 64, 488, 3162, 4096]
+
+
+def test_nth_largest():
+    m = np.array([[3, 1, 2], [9, 7, 8], [5, 5, 4]])
+    assert knn.nth_largest(m, np.array([1, 2, 7])).tolist() == [3, 8, 4]
+
+
 def test_top_k_of_few(spark):
     two = spark.createDataFrame([(0, [1.0]), (50, [2.0])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in knn.top_k(two, F.col("vec_id") % 50 == 0, 5).collect()} == {(0, 1, 50, 256 * 512), (50, 1, 0, 256 * 512)}
