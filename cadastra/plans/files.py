@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from cadastra.operators import gates as gt
+from cadastra.operators import versions as vs
 from cadastra.operators.ranking import ranked
 from cadastra.operators.releases import release_problems
-from cadastra.operators.sync import sync_layers
+from cadastra.operators.sync import sync_layers, unseen
 from cadastra.plans.queries import Queries
 from cadastra.scratch import shared_folder
 from cadastra.session import load
@@ -132,4 +133,22 @@ def release_records(spark, sf_dir):
     return release_problems(base, head, contracts)
 
 
+@Q.add("""
+WITH v AS (SELECT CAST(o_orderkey AS BIGINT) AS k, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS since FROM orders),
+n AS (SELECT CAST(1 AS BIGINT) AS version UNION ALL SELECT 2 UNION ALL SELECT 3)
+SELECT version, status, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN since = version THEN 1 ELSE 0 END) AS BIGINT) AS added, CAST(min(k) AS BIGINT) AS first_key
+FROM n JOIN v ON since <= version AND (version < 3 OR status <> 'P') GROUP BY version, status""")
+def versioned_orders(spark, sf_dir):
+    """Orders in versions of a table: some, all (twice, which adds none), then without those pending; what each version has and what it added."""
+    table, schema = _folder(spark, "versions"), "k long, status string"
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_orderstatus").alias("status"))
+    for batch in (orders.where("status = 'F'"), orders, orders):
+        vs.update(spark, table, schema, lambda old, batch=batch: unseen(batch, old, ["k"], "status"), keep=True)
+    vs.update(spark, table, schema, lambda old: old.where("status <> 'P'"))
+    each = [vs.read(spark, table, schema, v).withColumn("version", F.lit(v).cast("long")) for v in (1, 2, 3)]
+    seen = each[0].unionByName(each[1]).unionByName(each[2]).groupBy("k", "status").agg(F.min("version").alias("since"), F.collect_list("version").alias("versions"))
+    rows = seen.select("k", "status", "since", F.explode("versions").alias("version"))
+    return rows.groupBy("version", "status").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("since") == F.col("version")).cast("long")).alias("added"), F.min("k").alias("first_key"))
+
+
 QUERIES, ORACLE_SQL = Q.found, Q.sql
