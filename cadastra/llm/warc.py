@@ -126,11 +126,12 @@ def write_responses(pages: DataFrame, folder: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         name = f"raw-{context.partitionId():06d}.warc.gz"
-        rows: list[dict] = []
+        headers: list[pa.RecordBatch] = []
 
         def content():
             at = number = 0
             for batch in batches:
+                rows = []
                 for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                     payload = (html or "").encode()
                     digest, rid = digest_of(payload), record_id(f"{folder}/{name}", number)
@@ -138,9 +139,10 @@ def write_responses(pages: DataFrame, folder: str) -> DataFrame:
                     rows.append({"file": f"{folder}/{name}", "offset": at, "page_id": text_of(page_id), "record_type": "response", "record_id": rid, "payload_digest": digest, "payload_bytes": len(payload), "target": url})
                     at, number = at + len(packed), number + 1
                     yield packed
+                headers.append(arrow_batch(rows, schema))
 
         put_file(f"{folder}/{name}", content(), context.taskAttemptId())
-        yield arrow_batch(rows, schema)
+        yield from headers
 
     return held(pages.select("page_id", "url", "html").mapInArrow(write, HEADERS.format(id_type)))
 
