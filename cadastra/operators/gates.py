@@ -171,12 +171,12 @@ def invalid_geometries(features: DataFrame, key: str, geometry: str) -> DataFram
 
 def wrong_declared_counts(documents: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, path, problem) of JSON objects at any depth whose declared counts are not those of their lists."""
-    return nd.miscounted(nd.tree(documents, payload, [key]))
+    return nd.miscounted(nd.tree(documents, payload, [key], context=False))
 
 
 def unreadable_documents(documents: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, problem) of the documents that are no JSON, or too deep."""
-    return nd.shapes(nd.tree(documents, payload, [key])).where("problem IS NOT NULL").select(key, "problem")
+    return nd.shapes(nd.tree(documents, payload, [key], context=False)).where("problem IS NOT NULL").select(key, "problem")
 
 
 def unidentified(records: DataFrame, key: str, payload: str, options: Sequence[Sequence[str]], fallback: Column) -> DataFrame:

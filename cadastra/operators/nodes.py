@@ -23,6 +23,7 @@ from cadastra.functions.variants import CONTAINERS, as_list, as_object, kind_of,
 from cadastra.scratch import stored
 
 MAX_DEPTH = 40
+FILE_ROWS = 100_000  # of a level's files: a few large documents' members are dealt over many tasks from there on
 NOTHING = "_nothing"  # stands for kept columns where there are none
 # Keys of which a path may show the name.
 SAFE_KEY = r"^[A-Za-z_฀-๿][A-Za-z0-9_\-฀-๿]{0,79}$"
@@ -45,7 +46,9 @@ REVIEW_THAI = ("ทดลอง", "ต้องตรวจ", "รับรอ
 AREA_KEYS = ("definition", "fields", "grain", "level", "meaning", "scope")
 AREA_PARTS = ("geographic_semantics", "geography", "geography_semantics")
 SUBJECTS = ("dataset_key", "indicator_id", "indicator_key", "measure_id", "measure_key", "metric_id", "metric_key", "section_key", "source_id")
+SOURCES, GEOMETRY = ("source_id", "source_ids"), ("coordinates", "geometries")
 TEMPORAL = ("as_of", "observed_as_of")
+AROUND = "struct<subject: string, sources: array<string>, sourced: int, shaped: boolean>"
 HIDDEN, MORE = "[hidden]", "…"
 LINK_WORDS = ("link", "href", "uri", "website")
 
@@ -60,29 +63,36 @@ def children(value: Column, stop: Callable[[Column], Column] | None) -> Column:
     return F.coalesce(named, listed)
 
 
-def tree(documents: DataFrame, payload: str, keep: Sequence[str] = (), stop: Callable[[Column], Column] | None = None, depth: int = MAX_DEPTH) -> DataFrame:
-    """A row for each value in each document: of (the kept columns, a struct), doc, node, parent, level, names, name, pos, kind, cut, value.
+def tree(documents: DataFrame, payload: str, keep: Sequence[str] = (), stop: Callable[[Column], Column] | None = None, depth: int = MAX_DEPTH, context: bool = True) -> DataFrame:
+    """A row for each value in each document: of (the kept columns, a struct), doc, node, parent, level, names, name, pos, kind, cut, value, around.
 
     doc numbers the rows of ``documents``; node is the way from the root by members' numbers, parent that of the value around it (null for a root).
     names are the keys on the way, null for members of lists. Members under a key that ``stop`` names are left out. Null payloads have no
     nodes. cut: a value at ``depth`` that has members, which are not there. Extra columns of ``documents`` are not looked at.
+
+    around is what the objects around a value say, handed down from each to its members, so that nothing has to be joined to know it:
+    subject (of the nearest that names one), sources (of the nearest that names any) and sourced (its level), shaped (whether the value just
+    around is a geometry). meanings() and sourced_urls() need it; without ``context`` there is none.
     """
     text = F.col(payload) if isinstance(payload, str) else payload
     own = F.struct(*(F.col(c) for c in keep)) if keep else F.struct(F.lit(0).alias(NOTHING))
     parsed = F.when(~text.startswith("﻿"), F.try_parse_json(text))
     root = documents.where(text.isNotNull()).select(own.alias("of"), F.monotonically_increasing_id().alias("doc"), F.lit("").alias("node"), F.lit(None).cast("string").alias("parent"), F.expr("cast(array() AS array<string>)").alias("names"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("pos"), parsed.alias("value"))
+    root = root.withColumn("around", F.lit(None).cast(AROUND)) if context else root
+    handed = ["around"] if context else []
     levels = []
     for level in range(depth + 1):
         kind = F.coalesce(kind_of(F.col("value")), F.lit("invalid"))
         now = root.withColumns({"kind": kind, "level": F.lit(level)})
-        now = stored(now.withColumn("cut", F.col("kind").isin(*CONTAINERS) & F.lit(level == depth)), f"nodes-{level}")
+        now = stored(now.withColumn("cut", F.col("kind").isin(*CONTAINERS) & F.lit(level == depth)), f"nodes-{level}", FILE_ROWS)
         levels.append(now)
         open_ = now.where(F.col("kind").isin(*CONTAINERS))
         if level == depth or not open_.limit(1).count():
             break
-        below = open_.select("of", "doc", F.col("node").alias("parent"), F.col("names").alias("_names"), F.explode(children(F.col("value"), stop)).alias("m"))
-        root = below.select("of", "doc", F.concat("parent", F.lit("."), F.lpad(F.col("m.pos").cast("string"), 9, "0")).alias("node"), "parent", F.concat("_names", F.array("m.name")).alias("names"), "m.name", "m.pos", "m.value")
-    columns = ["of", "doc", "node", "parent", "level", "names", "name", "pos", "kind", "cut", "value"]
+        open_ = handed_down(open_) if context else open_
+        below = open_.select("of", "doc", F.col("node").alias("parent"), F.col("names").alias("_names"), *handed, F.explode(children(F.col("value"), stop)).alias("m"))
+        root = below.select("of", "doc", *handed, F.concat("parent", F.lit("."), F.lpad(F.col("m.pos").cast("string"), 9, "0")).alias("node"), "parent", F.concat("_names", F.array("m.name")).alias("names"), "m.name", "m.pos", "m.value")
+    columns = ["of", "doc", "node", "parent", "level", "names", "name", "pos", "kind", "cut", "value", *handed]
     return reduce(DataFrame.unionByName, [x.select(*columns) for x in levels])
 
 
@@ -145,20 +155,14 @@ def rebuilt(nodes: DataFrame, text: Callable[[Column], Column] = lambda t: t) ->
     return below.select(*kept(below), "json")
 
 
-def inherited(nodes: DataFrame, own: Column) -> DataFrame:
-    """(doc, node, nearest) of all objects and lists: ``own`` of the nearest value from the node itself outwards that has one, else null.
-
-    Pointers double: in each round a node without a value takes that of the node it points to, or points to where that one does. So it
-    takes a join for each doubling of the depth, whatever lies between.
-    """
-    rows = nodes.where(F.col("kind").isin(*CONTAINERS)).select("doc", "node", "level", own.alias("nearest"), F.when(own.isNull(), F.col("parent")).alias("to"))
-    deepest = rows.agg(F.max("level")).head()[0] or 0
-    for _ in range(deepest.bit_length()):
-        rows = stored(rows, "inherited")
-        up = rows.select("doc", F.col("node").alias("to"), F.col("nearest").alias("_nearest"), F.col("to").alias("_to"))
-        waiting = rows.where(F.col("to").isNotNull()).join(up, ["doc", "to"], "left").select("doc", "node", "level", F.col("_nearest").alias("nearest"), F.col("_to").alias("to"))
-        rows = rows.where(F.col("to").isNull()).unionByName(waiting)
-    return rows.select("doc", "node", "nearest")
+def handed_down(containers: DataFrame) -> DataFrame:
+    """around becomes what the members have around them: what the value says itself, or else what is around it."""
+    named = F.transform(F.map_entries(as_object(F.col("value"))), lambda e: F.struct(snake_key(e["key"]).alias("k"), e["value"].alias("v")))
+    said = containers.withColumn("_said", F.filter(named, lambda s: s["k"].isin(*SUBJECTS, *SOURCES, *GEOMETRY)))
+    own = said.withColumns({"_subject": own_subject(F.col("_said")), "_sources": own_sources(F.col("_said")), "_shaped": F.coalesce(F.exists("_said", lambda s: s["k"].isin(*GEOMETRY)), F.lit(False))})
+    around, names = F.col("around"), F.col("_sources").isNotNull()
+    nearest = {"subject": F.coalesce("_subject", around["subject"]), "sources": F.coalesce("_sources", around["sources"]), "sourced": F.when(names, F.col("level")).otherwise(around["sourced"]), "shaped": F.col("_shaped")}
+    return own.withColumn("around", F.struct(*(c.alias(n) for n, c in nearest.items())))
 
 
 class Key(NamedTuple):
@@ -191,9 +195,9 @@ MEANING_RULES: dict[str, Callable[[Key], Column]] = {
 }
 
 
-def own_subject(value: Column) -> Column:
-    """The subjects that an object names itself, as JSON pairs in order of their keys; null without any."""
-    named = F.transform(F.map_entries(as_object(value)), lambda e: F.struct(snake_key(e["key"]).alias("k"), F.when(kind_of(e["value"]) != "null", e["value"]).alias("v")))
+def own_subject(said: Column) -> Column:
+    """The subjects that an object's members (k in snake case, v) name, as JSON pairs in order of their keys; null without any."""
+    named = F.transform(said, lambda e: F.struct(e["k"].alias("k"), F.when(kind_of(e["v"]) != "null", e["v"]).alias("v")))
     named = F.filter(named, lambda s: s["k"].isin(*SUBJECTS) & ~kind_of(s["v"]).isin(*CONTAINERS) & (F.to_json(s["v"]) != '""'))
     pairs = F.array_sort(F.transform(named, lambda s: F.struct(s["k"].alias("k"), F.to_json(s["v"]).alias("v"))))
     said = F.array_join(F.transform(pairs, lambda s: F.concat(F.lit("["), quoted(s["k"]), F.lit(","), s["v"], F.lit("]"))), ",")
@@ -205,35 +209,31 @@ def meanings(nodes: DataFrame) -> DataFrame:
 
     context: the subjects that the nearest object around names, as JSON; empty if none does. rule: why, by MEANING_RULES.
     """
-    subject = inherited(nodes, F.when(F.col("kind") == "object", own_subject(F.col("value"))))
-    shaped = F.exists(F.map_keys(as_object(F.col("value"))), lambda k: snake_key(k).isin("coordinates", "geometries"))
-    holders = nodes.where("kind = 'object'").select("doc", F.col("node").alias("parent"), shaped.alias("_shaped")).join(subject.withColumnRenamed("node", "parent"), ["doc", "parent"])
-    members = nodes.where("name IS NOT NULL").join(holders, ["doc", "parent"])
+    members = nodes.where("name IS NOT NULL")
     around = F.transform(F.filter(F.slice("names", F.lit(1), F.size("names") - 1), lambda n: n.isNotNull()), snake_key)
     text = F.when(F.col("kind") == "string", F.col("value").try_cast("string")).otherwise("")
-    key = Key(F.col("_name"), F.col("_around"), F.col("_shaped"), F.col("_text"))
+    key = Key(F.col("_name"), F.col("_around"), F.col("around.shaped"), F.col("_text"))
     rule = reduce(lambda rest, r: F.when(r[1](key), r[0]).otherwise(rest), MEANING_RULES.items(), F.lit(None).cast("string"))
     said = members.withColumns({"_name": snake_key("name"), "_around": around, "_text": text}).withColumn("rule", rule).where("rule IS NOT NULL")
-    columns = [path_of(F.col("names"), safe).alias("path"), F.coalesce("nearest", F.lit("")).alias("context"), F.to_json("value").alias("value"), "rule"]
+    columns = [path_of(F.col("names"), safe).alias("path"), F.coalesce("around.subject", F.lit("")).alias("context"), F.to_json("value").alias("value"), "rule"]
     return said.select("doc", "of", *columns).distinct().select(*kept(nodes), "path", "context", "value", "rule")
 
 
 def meaning_hashes(nodes: DataFrame) -> DataFrame:
     """(doc, meaning): one hash of all that a document's keys mean; documents without any have that of nothing."""
-    said = meanings(nodes.withColumn("of", F.struct("doc")))
-    per = said.groupBy("doc").agg(F.array_sort(F.collect_set(F.to_json(F.array("path", "context", "value")))).alias("said"))
-    every = nodes.where("parent IS NULL").select("doc").join(per, "doc", "left")
-    return every.select("doc", F.sha2(F.coalesce(F.array_join("said", "\n"), F.lit("")), 256).alias("meaning"))
+    said = meanings(nodes.withColumn("of", F.struct("doc"))).select("doc", F.to_json(F.array("path", "context", "value")).alias("said"))
+    every = nodes.where("parent IS NULL").select("doc", F.lit(None).cast("string").alias("said"))
+    per = every.unionByName(said).groupBy("doc").agg(F.array_sort(F.collect_set("said")).alias("said"))
+    return per.select("doc", F.sha2(F.array_join("said", "\n"), 256).alias("meaning"))
 
 
-def own_sources(value: Column, name: Column, declared: Sequence[str]) -> Column:
-    """The sources that an object names itself (source_id, source_ids), or else those that its own key names; null without any."""
-    entries = F.map_entries(as_object(value))
-    pick = lambda key: F.transform(F.filter(entries, lambda e: snake_key(e["key"]) == key), lambda e: e["value"])
+def own_sources(said: Column) -> Column:
+    """The sources that an object's members (k in snake case, v) name (source_id, source_ids); null without any."""
+    pick = lambda key: F.transform(F.filter(said, lambda e: e["k"] == key), lambda e: e["v"])
     texts = lambda values: F.filter(F.transform(values, lambda v: F.when(kind_of(v) == "string", v.try_cast("string"))), lambda t: F.coalesce(t != "", F.lit(False)))
     listed = F.flatten(F.transform(pick("source_ids"), lambda v: F.coalesce(as_list(v), F.expr("cast(array() AS array<variant>)"))))
     named = F.array_sort(F.array_distinct(F.concat(texts(pick("source_id")), texts(listed))))
-    return F.when(F.size(named) > 0, named).when(name.isin(*declared), F.array(name)) if declared else F.when(F.size(named) > 0, named)
+    return F.when(F.size(named) > 0, named)
 
 
 def sourced_urls(nodes: DataFrame, declared: Sequence[str] = ()) -> DataFrame:
@@ -243,12 +243,15 @@ def sourced_urls(nodes: DataFrame, declared: Sequence[str] = ()) -> DataFrame:
     what is below. Where nothing names a source, all declared ones apply.
     """
     every = F.array(*(F.lit(d) for d in sorted(declared))) if declared else F.expr("cast(array() AS array<string>)")
-    sources = inherited(nodes, own_sources(F.col("value"), F.col("name"), declared))
+    nearest, ways = F.col("around.sources"), F.slice("names", F.lit(1), F.greatest(F.size("names") - 1, F.lit(0)))
+    if declared:  # a key counts from the level of the value under it on, but less than what that value names itself
+        level = F.array_max(F.transform(ways, lambda n, i: F.when(n.isin(*declared), i + 1)))
+        by_key = F.array(F.try_element_at("names", level))
+        nearest = F.when(level.isNull() | F.coalesce(F.col("around.sourced") >= level, F.lit(False)), nearest).otherwise(by_key)
     spoken = F.coalesce("name", F.try_element_at("names", F.lit(-2)))  # members of a list are under its key
     address = snake_key(spoken).rlike("(^|_)(url|" + "|".join(LINK_WORDS) + ")s?$")
     texts = nodes.where((F.col("kind") == "string") & F.coalesce(address, F.lit(False)))
-    bound = texts.join(sources.withColumnRenamed("node", "parent"), ["doc", "parent"])
-    return bound.select(*kept(nodes), path_of(F.col("names")).alias("path"), F.coalesce("nearest", every).alias("sources"), F.col("value").try_cast("string").alias("url"))
+    return texts.select(*kept(nodes), path_of(F.col("names")).alias("path"), F.coalesce(nearest, every).alias("sources"), F.col("value").try_cast("string").alias("url"))
 
 
 def times(nodes: DataFrame) -> DataFrame:
@@ -271,12 +274,12 @@ def forbidden(nodes: DataFrame) -> DataFrame:
 
 def sanitised(documents: DataFrame, payload: str, keep: Sequence[str] = ()) -> DataFrame:
     """(kept columns, json): without forbidden keys at any depth, and with contacts in texts redacted."""
-    return rebuilt(tree(documents, payload, keep, stop=lambda k: forbidden_key(k).isNotNull()), redact)
+    return rebuilt(tree(documents, payload, keep, stop=lambda k: forbidden_key(k).isNotNull(), context=False), redact)
 
 
 def without_keys(documents: DataFrame, payload: str, keep: Sequence[str] = (), keys: Sequence[str] = PRESENTATION) -> DataFrame:
     """(kept columns, json): without those keys at any depth."""
-    return rebuilt(tree(documents, payload, keep, stop=lambda k: k.isin(*keys)))
+    return rebuilt(tree(documents, payload, keep, stop=lambda k: k.isin(*keys), context=False))
 
 
 def previews(documents: DataFrame, payload: str, keep: Sequence[str] = (), depth: int = 6, keys: int = 40, items: int = 12, chars: int = 800, nodes: int = 320) -> DataFrame:
@@ -284,7 +287,7 @@ def previews(documents: DataFrame, payload: str, keep: Sequence[str] = (), depth
     ellipsis stands for what is too deep or one value too many."""
     steps = F.split("node", r"\.")
     early = F.transform("names", lambda n, i: F.element_at(steps, i + 2).cast("int") < F.when(n.isNull(), items).otherwise(keys))
-    shown = tree(documents, payload, keep, depth=depth + 1).where(F.forall(early, lambda e: e) & ~F.exists(F.slice("names", F.lit(1), F.greatest(F.size("names") - 1, F.lit(0))), lambda n: F.coalesce(forbidden_key(n).isNotNull(), F.lit(False))))
+    shown = tree(documents, payload, keep, depth=depth + 1, context=False).where(F.forall(early, lambda e: e) & ~F.exists(F.slice("names", F.lit(1), F.greatest(F.size("names") - 1, F.lit(0))), lambda n: F.coalesce(forbidden_key(n).isNotNull(), F.lit(False))))
     numbered = shown.withColumn("_n", F.row_number().over(Window.partitionBy("doc").orderBy("node")))  # a document's nodes, of limited depth and width
     text = F.when(forbidden_key("name").isNotNull(), HIDDEN).when((F.col("level") > depth) | (F.col("_n") > nodes), MORE).when(F.col("kind") == "string", F.substring(F.col("value").try_cast("string"), 1, chars))
     return rebuilt(numbered.withColumns({"kind": F.when(text.isNotNull(), "string").otherwise(F.col("kind")), "value": F.when(text.isNotNull(), F.try_parse_json(quoted(text))).otherwise(F.col("value"))}))
@@ -362,7 +365,7 @@ GEOMETRIES: dict[str, Callable[[Column], Column]] = {
 
 def wrong_geometries(features: DataFrame, geometry: str, keep: Sequence[str]) -> DataFrame:
     """(kept columns, problem) of the features whose GeoJSON geometry, as text, is not valid: of any of the seven types, collections within collections too."""
-    nodes = tree(features, geometry, keep, stop=lambda k: k != "geometries")
+    nodes = tree(features, geometry, keep, stop=lambda k: k != "geometries", context=False)
     own = nodes.where("kind <> 'array'")  # roots, and the members of geometries
     members = as_object(F.col("value"))
     name = F.when(kind_of(members["type"]) == "string", members["type"].try_cast("string"))

@@ -304,7 +304,7 @@ UNION ALL SELECT nation, '$/source_id', 1, NULL FROM c GROUP BY 1 UNION ALL SELE
 UNION ALL SELECT nation, '$/customers[]/orders[]/orderStatus', count(*), NULL FROM o WHERE id % 50 = 0 GROUP BY 1""")
 def nested_leaves(spark, sf_dir):
     """The scalars of documents three levels deep, counted and summed by path."""
-    leaves = nd.leaves(nd.tree(nation_documents(spark, sf_dir), "payload", ["nation"]))
+    leaves = nd.leaves(nd.tree(nation_documents(spark, sf_dir), "payload", ["nation"], context=False))
     return leaves.groupBy("nation", "path").agg(F.count(F.lit(1)).alias("leaves"), F.sum(F.col("value").try_cast("long")).alias("total"))
 
 
@@ -315,13 +315,13 @@ WITH {NATION_ORDERS}, l AS (
  UNION ALL SELECT nation, unnest(['$/customers[]/orders:array', '$/customers[]/orders[]:object', '$/customers[]/orders[]/id:integer']) FROM o)
 SELECT nation, sha256(string_agg(line, chr(10) ORDER BY line)) AS shape FROM (SELECT DISTINCT * FROM l) GROUP BY 1""")
 def nested_shapes(spark, sf_dir):
-    return nd.shapes(nd.tree(nation_documents(spark, sf_dir), "payload", ["nation"])).drop("problem")
+    return nd.shapes(nd.tree(nation_documents(spark, sf_dir), "payload", ["nation"], context=False)).drop("problem")
 
 
 @Q.add("SELECT c_nationkey AS nation, 'root.customers' AS path, count(*) AS records, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1")
 def nested_records(spark, sf_dir):
     """Customers are the nearest list of objects; their orders stay within them."""
-    found = nd.records(nd.tree(nation_documents(spark, sf_dir), "payload", ["nation"]))
+    found = nd.records(nd.tree(nation_documents(spark, sf_dir), "payload", ["nation"], context=False))
     return found.groupBy("nation", "path").agg(F.count(F.lit(1)).alias("records"), F.sum(F.get_json_object("record", "$.key").cast("long")).alias("keys"))
 
 

@@ -29,7 +29,7 @@ def nested_times(spark, sf_dir):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     part = lambda seen: F.struct(F.when(F.lit(seen), day).alias("observedAsOf"), day.alias("fetched_at"), day.alias("updated_at"))
     payload = F.to_json(F.struct(F.when(F.col("o_orderkey") % 4 == 0, "2569").alias("as_of"), F.array(part(False), part(True)).alias("parts")))
-    return nd.times(nd.tree(load(spark, sf_dir, "orders").select("o_orderkey", payload.alias("payload")), "payload", ["o_orderkey"]))
+    return nd.times(nd.tree(load(spark, sf_dir, "orders").select("o_orderkey", payload.alias("payload")), "payload", ["o_orderkey"], context=False))
 
 
 @Q.add("""

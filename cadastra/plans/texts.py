@@ -88,7 +88,7 @@ def payload_identities(spark, sf_dir):
 
 @Q.add("SELECT event_id, '$/' || key AS path, props->>('$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
 def payload_leaves(spark, sf_dir):
-    return nd.leaves(nd.tree(load(spark, sf_dir, "events"), "props", ["event_id"]))
+    return nd.leaves(nd.tree(load(spark, sf_dir, "events"), "props", ["event_id"], context=False))
 
 
 @Q.add("""
@@ -100,13 +100,13 @@ WITH e AS (SELECT event_id, event_type, props, unnest(json_keys(props)) AS k FRO
 SELECT event_type, shape, count(*) AS payloads FROM events JOIN h USING (event_id) GROUP BY 1, 2""")
 def payload_shapes(spark, sf_dir):
     """How many payloads have each shape: the hash of all paths and kinds."""
-    shapes = nd.shapes(nd.tree(load(spark, sf_dir, "events"), "props", ["event_type"])).where("shape IS NOT NULL")
+    shapes = nd.shapes(nd.tree(load(spark, sf_dir, "events"), "props", ["event_type"], context=False)).where("shape IS NOT NULL")
     return shapes.groupBy("event_type", "shape").agg(F.count(F.lit(1)).alias("payloads"))
 
 
 @Q.add("SELECT event_id, 'root' AS path, regexp_replace(props, '\\s', '', 'g') AS record FROM events")
 def payload_records(spark, sf_dir):
-    return nd.records(nd.tree(load(spark, sf_dir, "events"), "props", ["event_id"]))
+    return nd.records(nd.tree(load(spark, sf_dir, "events"), "props", ["event_id"], context=False))
 
 
 @Q.add()

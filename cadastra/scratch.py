@@ -21,8 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: computed once, without lineage."""
+def stored(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: computed once, without lineage; in files of at most ``file_rows`` rows, if given."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -47,7 +47,7 @@ def read_json_lines(spark: SparkSession, path: str | list[str], strict: bool = F
 def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(dataset, path, record) of the nearest object lists of whole JSON files."""
     files = spark.read.text(path, wholetext=True).select(dataset_name(F.col("_metadata.file_path")).alias("dataset"), "value")
-    return nd.records(nd.tree(files, "value", ["dataset"]))
+    return nd.records(nd.tree(files, "value", ["dataset"], context=False))
 
 
 def read_release(spark: SparkSession, folder: str) -> DataFrame:

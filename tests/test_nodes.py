@@ -112,6 +112,14 @@ def test_wide_objects_cost_no_square(spark):
     assert nd.meanings(tree_of(spark, wide)).count() == 4000
 
 
+def test_what_is_around_needs_no_join(spark):
+    """Each level hands down what it says: there is no table of nodes that could be broadcast."""
+    nodes = tree_of(spark, {"source_id": "s", "rows": [{"unit": "m", "url": "u"}]})
+    for found in (nd.meanings(nodes), nd.meaning_hashes(nodes), nd.sourced_urls(nodes, ["rows"])):
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(nd.sourced_urls(nodes)) == [(0, "$/rows[]/url", ["s"], "u")] and rows(nd.sourced_urls(nodes, ["rows"])) == [(0, "$/rows[]/url", ["rows"], "u")]
+
+
 def test_nearest_value_around(spark):
     """At any depth, against going up step by step."""
     rng = random.Random(5)
