@@ -24,7 +24,7 @@ def record_digests(release: DataFrame) -> tuple[DataFrame, DataFrame]:
     shapes = nd.shapes(tree).groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.min("shape").alias("shape"), F.max(F.col("problem").isNotNull()).alias("unreadable"))
     said = nd.meanings(tree).where("record IS NOT NULL").groupBy(*KEY).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.to_json(F.array("path", "context", "value")))), "\n"), 256).alias("meaning"))
     times = nd.times(tree).withColumn("time", iso_time("value")).where("time IS NOT NULL").groupBy(*KEY, "path").agg(F.min("time").alias("time"))
-    return stored(shapes.join(said, KEY, "left"), "digests"), times
+    return stored(shapes.join(said.hint("merge"), KEY, "left"), "digests"), times
 
 
 def release_problems(base: DataFrame, head: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -35,10 +35,12 @@ def release_problems(base: DataFrame, head: DataFrame, contracts: DataFrame) ->
     meaning differs between the releases, or a new record has a shape that no record of base has; counts fall or rise by more
     than they may; identities churn by more; a time that a record had is gone or earlier in the same record; and in head,
     records are repeated, have no identity, or are no JSON (or too deep).
+
+    Tables of records are joined by sorting: their files are so much smaller than their rows that Spark would take them for fit to broadcast.
     """
     (old, old_times), (new, new_times) = record_digests(base), record_digests(head)
     side = lambda df, p: df.where("record IS NOT NULL").select(*KEY, *(F.col(c).alias(f"{p}{c}") for c in ("copies", "shape", "meaning", "unreadable")))
-    both = side(old, "b_").join(side(new, "h_"), KEY, "full")
+    both = stored(side(old, "b_").join(side(new, "h_"), KEY, "full"), "compared")
     shared = F.col("b_copies").isNotNull() & F.col("h_copies").isNotNull()
     differs = lambda c: F.max(shared & ~F.col(f"b_{c}").eqNullSafe(F.col(f"h_{c}")))
     compared = both.groupBy("artifact").agg(
@@ -47,7 +49,7 @@ def release_problems(base: DataFrame, head: DataFrame, contracts: DataFrame) ->
     counted = lambda df, p: df.groupBy("artifact").agg(F.sum("copies").alias(f"{p}rows"), F.max(F.col("record").isNotNull() & (F.col("copies") > 1)).alias(f"{p}repeated"), F.max(F.col("record").isNull()).alias(f"{p}nameless"), F.max("unreadable").alias(f"{p}unreadable"))
     added = both.where("b_copies IS NULL").select("artifact", F.col("h_shape").alias("shape")).distinct()
     unseen = added.join(old.where("record IS NOT NULL").select("artifact", "shape").distinct(), ["artifact", "shape"], "left_anti").groupBy("artifact").agg(F.lit(True).alias("unseen"))
-    kept_times = old_times.join(new.where("record IS NOT NULL").select(*KEY), KEY, "left_semi").join(new_times.withColumnRenamed("time", "_now"), [*KEY, "path"], "left")
+    kept_times = old_times.join(new.where("record IS NOT NULL").select(*KEY).hint("merge"), KEY, "left_semi").join(new_times.withColumnRenamed("time", "_now").hint("merge"), [*KEY, "path"], "left")
     back = kept_times.where("_now IS NULL OR _now < time").groupBy("artifact").agg(F.lit(True).alias("back"))
 
     per = counted(old, "b_").join(counted(new, "h_"), "artifact", "full")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from cadastra.operators.releases import record_digests, release_problems
 
@@ -31,3 +32,10 @@ def test_problems_of_releases(spark):
     assert release_problems(base.limit(0), base.limit(0), contracts).count() == 0
     digests, times = record_digests(release([(None, "1", "[1]"), ("a", "1", say()), ("a", "1", say("no"))]))
     assert {(r.artifact, r.record, r.copies) for r in digests.collect()} == {("", "1", 1), ("a", "1", 2)} and times.count() == 1
+
+
+def test_records_are_never_broadcast(spark):
+    """Files of digests are small against their rows, whatever Spark takes them for."""
+    release = spark.createDataFrame([("a", "1", '{"as_of": "2026-01-02", "status": "ok"}')], "artifact string, record string, payload string")
+    found = release_problems(release, release, spark.createDataFrame([("a", 0.1, None, 0.9)], "artifact string, fall double, rise double, churn double"))
+    assert found.count() == 0 and not re.search(r"BroadcastHashJoin \[artifact#\d+, record#", found._jdf.queryExecution().executedPlan().toString())
