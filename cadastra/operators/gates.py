@@ -171,7 +171,7 @@ def invalid_geometries(features: DataFrame, key: str, geometry: str) -> DataFram
 
 def wrong_declared_counts(documents: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, path, problem) of JSON objects at any depth whose declared counts are not those of their lists."""
-    return nd.miscounted(nd.tree(documents, payload, [key], context=False))
+    return nd.miscounted(nd.tree(documents, payload, [key], context=False, scalars=False))
 
 
 def unreadable_documents(documents: DataFrame, key: str, payload: str) -> DataFrame:

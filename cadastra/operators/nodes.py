@@ -63,7 +63,7 @@ def children(value: Column, stop: Callable[[Column], Column] | None) -> Column:
     return F.coalesce(named, listed)
 
 
-def tree(documents: DataFrame, payload: str, keep: Sequence[str] = (), stop: Callable[[Column], Column] | None = None, depth: int = MAX_DEPTH, context: bool = True) -> DataFrame:
+def tree(documents: DataFrame, payload: str, keep: Sequence[str] = (), stop: Callable[[Column], Column] | None = None, depth: int = MAX_DEPTH, context: bool = True, scalars: bool = True) -> DataFrame:
     """A row for each value in each document: of (the kept columns, a struct), doc, node, parent, level, names, name, pos, kind, cut, value, around.
 
     doc numbers the rows of ``documents``; node is the way from the root by members' numbers, parent that of the value around it (null for a root).
@@ -72,7 +72,8 @@ def tree(documents: DataFrame, payload: str, keep: Sequence[str] = (), stop: Cal
 
     around is what the objects around a value say, handed down from each to its members, so that nothing has to be joined to know it:
     subject (of the nearest that names one), sources (of the nearest that names any) and sourced (its level), shaped (whether the value just
-    around is a geometry). meanings() and sourced_urls() need it; without ``context`` there is none.
+    around is a geometry). meanings() and sourced_urls() need it; without ``context`` there is none. Without ``scalars`` there are rows for
+    objects and lists alone.
     """
     text = F.col(payload) if isinstance(payload, str) else payload
     own = F.struct(*(F.col(c) for c in keep)) if keep else F.struct(F.lit(0).alias(NOTHING))
@@ -84,6 +85,7 @@ def tree(documents: DataFrame, payload: str, keep: Sequence[str] = (), stop: Cal
     for level in range(depth + 1):
         kind = F.coalesce(kind_of(F.col("value")), F.lit("invalid"))
         now = root.withColumns({"kind": kind, "level": F.lit(level)})
+        now = now if scalars else now.where(F.col("kind").isin(*CONTAINERS))
         now = stored(now.withColumn("cut", F.col("kind").isin(*CONTAINERS) & F.lit(level == depth)), f"nodes-{level}", FILE_ROWS)
         levels.append(now)
         open_ = now.where(F.col("kind").isin(*CONTAINERS))
@@ -317,7 +319,9 @@ def miscounted(nodes: DataFrame) -> DataFrame:
         problem = F.when(as_list(members[listed]).isNull() | n.isNull(), f"{listed} and {total} are not a list and a whole number").when(n < 0, f"{total} is negative").when(held & (size != n) & ~grouped, f"{total} is not the size of {listed}")
         found.append(F.when(F.map_contains_key(members, listed) & F.map_contains_key(members, total), problem))
     problems = F.filter(F.array(*found), lambda p: p.isNotNull())
-    return nodes.where("kind = 'object'").select(*kept(nodes), path_of(F.col("names"), lambda n: F.when(n.rlike(SAFE_KEY), n).otherwise("<map-key>")).alias("path"), F.explode(problems).alias("problem"))
+    given = lambda k: F.try_variant_get(F.col("value"), F.lit(f"$.{k}"), "variant").isNotNull()
+    declaring = (given("rows") & given("row_count")) | (given("items") & given("total_records"))  # looked up, before all members are taken apart
+    return nodes.where("kind = 'object'").where(declaring).select(*kept(nodes), path_of(F.col("names"), lambda n: F.when(n.rlike(SAFE_KEY), n).otherwise("<map-key>")).alias("path"), F.explode(problems).alias("problem"))
 
 
 def keyed_records(nodes: DataFrame) -> DataFrame:

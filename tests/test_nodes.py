@@ -160,6 +160,13 @@ def test_declared_counts(spark):
     assert {r[2] for r in got if r[1] in ("$/c", "$/d", "$/f")} == {"rows and row_count are not a list and a whole number", "row_count is negative"}
 
 
+def test_declared_counts_look_at_no_scalars(spark):
+    documents = of(spark, {"rows": None, "row_count": 1}, {"a": [{"items": [1, 2], "total_records": 3}, 4]}, {"rows": [], "total_records": 1}, 5, "{")
+    nodes = nd.tree(documents, "p", ["id"], context=False, scalars=False)
+    assert rows(nodes.groupBy("kind").count()) == [("array", 3), ("object", 4)]
+    assert [r[:2] for r in rows(nd.miscounted(nodes))] == [(0, "$"), (1, "$/a[]")] and rows(nd.miscounted(nodes)) == rows(nd.miscounted(nd.tree(documents, "p", ["id"])))
+
+
 RING = [[0, 0], [1, 0], [1, 1], [0, 0]]
 
 
